@@ -18,6 +18,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscan.llm.rules import clean_lines
+
+    return clean_lines(table(spark, sf_dir, "documents"), texts_too=False)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscan.llm.simhash import near_duplicates
 
@@ -25,8 +31,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_simhash, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from folioscan.llm import rules
+
+    return {"op2_quality_rules": rules.SQL}
