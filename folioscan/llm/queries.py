@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from folioscan.llm.common import table
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscan.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,7 +37,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_simhash, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_simhash, op7_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
