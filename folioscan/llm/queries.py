@@ -16,6 +16,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscan.llm.langid import predict_language
+
+    return predict_language(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,7 +43,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_simhash, op7_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_simhash, op7_quality, op8_language, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
