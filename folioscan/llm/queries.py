@@ -16,6 +16,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscan.llm.secrets import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscan.llm.chunking import repeated_passages
 
@@ -67,7 +73,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_simhash, op4_pii, op6_chunk_dedup, op7_quality, op8_language, op9_suffix_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_simhash, op4_pii, op5_secrets, op6_chunk_dedup, op7_quality, op8_language, op9_suffix_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
