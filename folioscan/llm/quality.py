@@ -138,6 +138,24 @@ def score_documents(docs: DataFrame, model: tuple[Chain, float, float] | None) -
     return texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are predicted good, with all their columns; scored in passing, without a join."""
+    spark = docs.sparkSession
+    arrow_limits(spark)
+    shared = spark.sparkContext.broadcast(learn(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for rows, data, offsets in steps(batches):
+            good = np.ones(rows.num_rows, bool)
+            if known is not None:
+                chain, a, b = known
+                good = 1 / (1 + np.exp(-(a * share_good(chain, data, offsets) + b).clip(-30, 30))) >= threshold
+            yield rows.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs, learnt from labels outside the held-out fold."""
     scored = score_documents(docs, learn(docs, labels))
