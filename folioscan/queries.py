@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.plans import search
+from folioscan.plans import archive, search
 
-PLANS = (search,)
+PLANS = (search, archive)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
