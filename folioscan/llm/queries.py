@@ -57,7 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscan.llm.decontaminate import contaminated
 
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hamming")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_simhash, op4_pii, op5_secrets, op6_chunk_dedup, op7_quality, op8_language, op9_suffix_dedup, op10_byte_bpe)}
 
 
+DECONTAMINATE = r"""
+WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+b AS (SELECT item_id, unnest(range(0, len(w) - 4)) AS q, w, len(w) - 4 AS n FROM t WHERE len(w) >= 5),
+item AS (SELECT item_id, n, q, array_to_string(w[q + 1:q + 5], ' ') AS h FROM b),
+weight AS (SELECT h, 1 / count(DISTINCT item_id)::DOUBLE AS w FROM item GROUP BY h),
+own AS (SELECT DISTINCT item_id, h, w FROM item JOIN weight USING (h)),
+total AS (SELECT item_id, sum(w) AS total FROM own GROUP BY item_id),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS p, w FROM d WHERE len(w) >= 5),
+doc AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS h FROM x),
+win AS (SELECT DISTINCT doc_id, item_id, n, p - q AS start FROM doc JOIN item USING (h)),
+held AS (SELECT DISTINCT win.*, doc.h FROM win JOIN doc ON doc.doc_id = win.doc_id AND p >= start AND p < start + n),
+score AS (SELECT doc_id, item_id, start, sum(coalesce(w, 0)) AS inside, count(*) FILTER (w IS NULL) AS rest FROM held LEFT JOIN own USING (item_id, h) GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, start, 2 * inside / (inside + rest + total) AS similarity FROM score JOIN total USING (item_id))
+SELECT doc_id, item_id, round(similarity, 9) AS similarity, start FROM sim WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
+SUBSTRINGS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 400)) AS h, md5_number(substr(x, 2 * i + 1, 400)) AS g FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+dup AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY h, g) > 1),
+edge AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true)::INT AS new FROM dup),
+isle AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM edge),
+span AS (SELECT doc_id, s, min(i) AS a, max(i) + 200 AS z FROM isle GROUP BY ALL),
+gap AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, max(z) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from folioscan.llm import rules
 
-    return {"op2_quality_rules": rules.SQL}
+    return {"op1_decontaminate": DECONTAMINATE, "op2_quality_rules": rules.SQL, "op9_suffix_dedup": SUBSTRINGS}
