@@ -12,33 +12,39 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
-#: Fixed values of Bob Jenkins's published 64-bit hash: the start of c, and its shifts in rounds of (a right, b left, c right).
-GOLDEN = 0x9E3779B97F4A7C13
-ROUNDS = ((43, 9, 8), (38, 23, 5), (35, 49, 11), (12, 18, 22))
+#: Fixed values of Bob Jenkins's published lookup3 hash: its start, and the rotations of stirring and of the end.
+START, STIR, END = 0xDEADBEEF, (4, 6, 8, 16, 19, 4), (14, 11, 25, 16, 4, 14, 24)
 #: Fixed values of FNV-1a with 64 bits.
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
+def _rotated(x: int, k: int) -> int:
+    return ((x << k) | (x >> (32 - k))) & 0xFFFFFFFF
+
+
 def jenkins64(data: bytes, seed: int = 0) -> int:
-    """Bob Jenkins's 64-bit hash (1997): blocks of three little-endian words, stirred; the length enters with the rest."""
-
-    def stir(a: int, b: int, c: int) -> tuple[int, int, int]:
-        for x, y, z in ROUNDS:
-            a = ((a - b - c) & MASK) ^ (c >> x)
-            b = ((b - c - a) & MASK) ^ ((a << y) & MASK)
-            c = ((c - a - b) & MASK) ^ (b >> z)
-        return a, b, c
-
-    a, b, c = seed, seed, GOLDEN
-    whole = len(data) // 24 * 24
-    for at in range(0, whole, 24):
-        x, y, z = (int.from_bytes(data[at + k : at + k + 8], "little") for k in (0, 8, 16))
-        a, b, c = stir((a + x) & MASK, (b + y) & MASK, (c + z) & MASK)
-    rest = data[whole:]
-    a += int.from_bytes(rest[:8], "little")
-    b += int.from_bytes(rest[8:16], "little")
-    c += (int.from_bytes(rest[16:], "little") << 8) + len(data)
-    return stir(a & MASK, b & MASK, c & MASK)[2]
+    """Both 32-bit words of lookup3 (hashlittle2), the primary one high; the seed's halves start them.
+
+    The state is a wheel of three words. Each block of twelve bytes is added as three little-endian words and stirred;
+    the last block, padded with zeros, goes through the closing rotations instead.
+    """
+    low = 0xFFFFFFFF
+    state = [(START + len(data) + (seed >> 32)) & low] * 3
+    state[2] = (state[2] + seed) & low
+    if not data:
+        return (state[2] << 32) | state[1]
+    blocks = [data[i : i + 12].ljust(12, b"\0") for i in range(0, len(data), 12)]
+    for block in blocks:
+        state = [(x + int.from_bytes(block[4 * k : 4 * k + 4], "little")) & low for k, x in enumerate(state)]
+        if block is not blocks[-1]:
+            for step, turn in enumerate(STIR):  # a takes from c, b from a, c from b, twice around
+                i, j, other = step % 3, (step + 2) % 3, (step + 1) % 3
+                state[i] = ((state[i] - state[j]) & low) ^ _rotated(state[j], turn)
+                state[j] = (state[j] + state[other]) & low
+    for step, turn in enumerate(END):  # c takes from b, a from c, b from a, and so on
+        i, j = (step + 2) % 3, (step + 1) % 3
+        state[i] = ((state[i] ^ state[j]) - _rotated(state[j], turn)) & low
+    return (state[2] << 32) | state[1]
 
 
 def fnv1a64(data: bytes) -> int:

@@ -1,0 +1,178 @@
+"""Published values, and operators against plain versions."""
+
+import itertools
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from folioscan.functions import hashing, text
+from folioscan.operators import dedup, index, keywords, segment, spell
+
+
+def test_jenkins():
+    assert hashing.jenkins64("你好".encode()) == 17676873585679812141
+
+
+def test_jenkins_column(spark):
+    df = spark.createDataFrame([("你好",), (None,), ("",)], "t string")
+    got = [r[0] for r in df.select(text.unsigned(hashing.jenkins64_column(F.col("t")))).collect()]
+    assert got == ["17676873585679812141", None, str(hashing.jenkins64(b""))]
+
+
+@pytest.mark.parametrize(("a", "b", "distance"), [("100010110110", "110001110011", 5), ("100010110110", "110010110111", 2)])
+def test_hamming(spark, a, b, distance):
+    x, y = (text.from_binary_string(F.lit(s)) for s in (a, b))
+    got = spark.range(1).select(text.hamming(x, y), text.binary_string(x)).first()
+    assert 3 < got[0] <= 5 if distance == 5 else got[0] <= 3
+    assert got[1] == a.rjust(64, "0")
+
+
+def test_fnv_and_key():
+    assert hashing.fnv1a64(b"") == 0xCBF29CE484222325
+    assert hashing.fnv1a64(b"a") == 0xAF63DC4C8601EC8C
+    assert hashing.cache_key(3, "a") == "ris:v3:af63dc4c8601ec8c"
+
+
+def test_tokens_of_access(spark):
+    token = hashing.sign_token({"sub": "u", "exp": 100}, "k")
+    assert hashing.verify_token(token, "k", 99) == (True, "")
+    assert hashing.verify_token(token, "k", 100) == (False, "expired")
+    assert hashing.verify_token(token, "other", 1)[1] == "bad signature"
+    assert hashing.verify_token("a.b", "k", 1)[1] == "malformed"
+    claims = spark.createDataFrame([(token,)], "t string").select(hashing.claims_column(F.col("t"), "sub string, exp long").alias("c")).select("c.*").first()
+    assert (claims["sub"], claims["exp"]) == ("u", 100)
+    import hashlib
+
+    made = hashlib.pbkdf2_hmac("sha256", b"pw", bytes.fromhex("00ff"), 10).hex()
+    assert hashing.verify_password("pw", "00ff", made, 10) and not hashing.verify_password("no", "00ff", made, 10)
+
+
+def test_text_rank_values():
+    got = keywords.text_rank(["你好", "世界", "世界", "而且", "而且"], ["而且"])
+    assert got["世界"] == pytest.approx(1) and got["你好"] == pytest.approx(0.519787, abs=1e-6)
+    got = keywords.text_rank(["一部", "iPhone6"])
+    assert got["一部"] == pytest.approx(1) and got["iPhone6"] == pytest.approx(0.996126, abs=1e-6)
+    assert keywords.text_rank([]) == {} and keywords.text_rank(["word"]) == {"word": 0.0}
+
+
+def plain_snippet(t, term):
+    data, w = t.encode(), term.encode()
+    if not data or not w:
+        return ""
+    inside = lambda i: i < len(data) and data[i] & 0xC0 == 0x80
+    at = data.find(w)
+    low = max(0, at - 24) if at >= 0 else 0
+    while inside(low):
+        low -= 1
+    high = min(len(data), low + len(w) + 48) if at >= 0 else min(len(data), 48)
+    while inside(high):
+        high += 1 if at >= 0 else -1
+    return "..." * (low > 0) + data[low:high].decode() + "..." * (high < len(data))
+
+
+def test_snippet(spark):
+    r = random.Random(1)
+    made = ["".join(r.choice("aé肺😀 ") for _ in range(r.randint(0, 90))) for _ in range(400)]
+    df = spark.createDataFrame([(t, w) for t in made for w in ("a", "肺", "é😀")], "t string, w string")
+    for row in df.select("t", "w", text.snippet(F.col("t"), F.col("w")).alias("s")).collect():
+        assert row.s == plain_snippet(row.t, row.w)
+
+
+def test_scalars(spark):
+    row = spark.createDataFrame([("19990231", "20240131", "x \0\0", "F", "Q")], "a string, b string, c string, d string, e string").select(
+        text.dicom_date(F.col("a")), text.dicom_date(F.col("b")).cast("string"), text.trim_padding(F.col("c")), text.sex(F.col("d")), text.sex(F.col("e")), text.storage_path(F.lit("1"), F.lit("2"), F.lit("3")), text.masked(F.lit("s"))
+    ).first()
+    assert tuple(row) == (None, "2024-01-31", "x", "F", None, "1/2/3.dcm", "******")
+
+
+def test_search_ngrams(spark):
+    got = spark.createDataFrame([("abcd",), ("ab",), ("abc",)], "w string").select(text.search_ngrams(F.col("w"))).collect()
+    assert [r[0] for r in got] == [["ab", "bc", "cd", "abc", "bcd", "abcd"], ["ab"], ["ab", "bc", "abc"]]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = list(itertools.accumulate(zip(row, row[1:], b), lambda left, c: min(left + 1, c[1] + 1, c[0] + (x != c[2])), initial=i))
+    return row[-1]
+
+
+def test_spelling_equals_all_pairs(spark):
+    r = random.Random(4)
+    words = sorted({"".join(r.choice("ab肺") for _ in range(r.randint(1, 6))) for _ in range(150)})
+    terms = spark.createDataFrame([(w, 1) for w in words], "term string, freq long")
+    asked = [*words[::9], "肺节结"]
+    got = {(x.query, x.term, x.distance) for x in spell.within_distance(spark.createDataFrame([(w,) for w in asked], "query string"), terms).collect()}
+    assert got == {(q, w, d) for q in asked for w in words if (d := distance(q, w)) <= 2}
+
+
+def test_suggest_merges_and_orders(spark):
+    terms = spark.createDataFrame([("肺结节", 2), ("肺结节", 3), ("肺结", 4), ("骨折", 9)], "term string, freq long")
+    got = spell.suggest(spark.createDataFrame([("肺节结",)], "query string"), terms).orderBy("rank").collect()
+    assert [(x.term, x.distance, x.freq) for x in got] == [("肺结", 1, 4), ("肺结节", 2, 5)]
+
+
+def test_near_pairs_equal_all_pairs(spark):
+    r = random.Random(2)
+    base = [r.getrandbits(64) for _ in range(30)]
+    fps = [b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(8)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    got = {(x.a, x.b, x.distance) for x in dedup.near_pairs(spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")).collect()}
+    first = {}
+    for i, f in enumerate(fps):
+        first.setdefault(f, i)
+    assert got == {(min(i, j), max(i, j), (a ^ b).bit_count()) for (a, i), (b, j) in itertools.combinations(first.items(), 2) if (a ^ b).bit_count() <= 3}
+
+
+def test_search_rules(spark):
+    docs = spark.createDataFrame([(1, "lung nodule common"), (2, "bone fracture common"), (3, "lung cyst common")], "doc_id long, text string")
+    built = index.build(docs, {"text": 1})
+    asked = spark.createDataFrame([(1, "lung nodule"), (2, "common"), (3, "unknown"), (4, "")], "qid long, query string")
+    got = index.search(built, asked, 3, 2).orderBy("qid", "rank").collect()
+    assert [(x.qid, x.doc_id) for x in got] == [(1, 1), (1, 3)]  # a term of every document weighs nothing
+    assert index.search(built, asked, 3, 0).count() == 0
+
+
+DICT = segment.Dictionary({"南京": 5, "南京市": 4, "长江": 5, "大桥": 5, "长江大桥": 6, "市长": 2}, {"南京": "ns"})
+
+
+def test_segmentation():
+    assert segment.hidden_markov("IBM,1.2,123", None) == ["IBM", ",", "1.2", ",", "123"]
+    assert segment.most_probable("南京市长江大桥", DICT) == ["南京市", "长江大桥"]
+    assert segment.most_probable("南京市长江大桥", DICT, 2) == ["南京", "市长", "江", "大桥"] or segment.most_probable("南京市长江大桥", DICT, 2) == ["南京", "市", "长江", "大桥"]
+    assert segment.for_search("长江大桥", DICT) == ["长江", "大桥", "长江大桥"]
+    assert set(segment.full("南京市长江", DICT)) == {"南京", "南京市", "市长", "长江"}
+    assert segment.segment("南京，长江 x", DICT) == ["南京", "，", "长江", " ", "x"]
+    assert "云计算" in DICT.insert("云计算").weight and "南京" not in DICT.delete("南京").weight and "南京市" in DICT.delete("南京").weight
+
+
+def test_segmentation_by_states():
+    big, small = 0.0, -50.0
+    hmm = segment.Hmm([-0.1, small, small, -2], [[small, big, -3, small], [-0.5, small, small, -1], [small, -0.2, -2, small], [-0.5, small, small, -1]], [{"你": -1, "世": -1}, {"好": -1, "界": -1}, {}, {"的": -1}])
+    assert segment.hidden_markov("你好的世界abc", hmm) == ["你好", "的", "世界", "abc"]
+
+
+def test_dictionary_lines():
+    d = segment.read_dictionary(["南京 5 ns", "坏行", "长江 4 ns"], ["云计算", "蓝翔 nz", "区块 10 n"], "max")
+    assert d.tags["蓝翔"] == "nz" and d.weight["云计算"] == max(d.weight[w] for w in ("南京", "长江"))
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.text(alphabet="南京市长江大桥ab1. ，", max_size=20))
+def test_modes_keep_text(t):
+    for mode in ("mix", "mp", "hmm"):
+        assert "".join(segment.segment(t, DICT, mode)) == t
+
+
+def test_tags(spark):
+    words = spark.createDataFrame([("南京",), ("12",), ("abc",), ("肺",), ("a1肺肺",), ("x",)], "word string")
+    got = {r.word: r.tag for r in keywords.tagged(words, spark.createDataFrame([("南京", "ns")], "word string, tag string")).collect()}
+    assert got == {"南京": "ns", "12": "m", "abc": "eng", "肺": "x", "a1肺肺": "eng", "x": "x"}
+
+
+def test_unique_adjacent(spark):
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(["a", "a", None, None, "b", "a"])], "k int, i int, v string")
+    assert [r.v for r in dedup.unique_adjacent(df, ["k"], ["i"], "v").orderBy("i").collect()] == ["a", None, "b", "a"]
