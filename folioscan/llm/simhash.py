@@ -4,6 +4,9 @@ Fingerprint bits are grouped by correlation into partitions. A partition of thre
 thresholds of m partitions sum to radius - m + 1, so two fingerprints within the radius meet in at least one partition
 (General Pigeonhole, Qin et al. 2018). A dynamic program picks the thresholds, unequal where bits are skewed, from the
 expected number of keys and candidates. Copies share a fingerprint and are one row in all of this.
+
+A document has up to three fingerprints: the first is probed, all are compared. Links within a group of candidates are
+reduced to trees before they leave their task, so groups of near copies never become pairs.
 """
 
 from __future__ import annotations
@@ -17,20 +20,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import arrow_limits, saved, steps, texts
+from folioscan.llm.common import arrow_limits, mixed, saved, steps, texts
 from folioscan.llm.components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
+#: Similar documents: words propose within the first radius, shingles decide within the second, of 128 bits. At a
+#: similarity of 0.8 on five-word shingles 4 and 15 bits differ on average, with deviations of 2 and 4.
+SIMILAR = ((slice(0, 1), 8), (slice(1, 3), 22))
 #: Cost of a key that is shuffled, in units of a pair that is compared.
-KEY_COST = 60
-#: Groups of up to so many fingerprints compare all pairs; larger ones grow trees; beyond DEEP they are divided first.
-PAIRS, DEEP = 16, 8192
+KEY_COST = 200
+#: Groups of up to PAIRS fingerprints are compared side by side, up to GRID each as a grid; larger ones grow trees, and
+#: beyond DEEP they are divided first.
+PAIRS, GRID, DEEP = 8, 1500, 8192
+Limits = tuple[tuple[slice, int], ...]
+
+
+def majority(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each run of big-endian hashes between positions: the bits that are set in over half of them."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    ones = np.stack([bits[i:j].sum(axis=0, dtype=np.int32) for i, j in zip(at[:-1].tolist(), at[1:].tolist())])
+    return np.packbits(2 * ones > np.diff(at)[:, None], axis=1).view(">u8").ravel()
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: bool = False) -> DataFrame:
     """(doc_id, fp): 64-bit SimHash of the word shingles of the whole ASCII-lower-cased text, as a signed long.
 
     Words are `[^\\x20\\x09-\\x0D]+`; a text of fewer words than a shingle is one shingle; no word (or null): zero.
+    With more: (doc_id, words, fp, other), where words is the SimHash of the distinct words and other one of the
+    shingles by another hash.
     """
     arrow_limits(docs.sparkSession)
 
@@ -38,7 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         digest, join = xxhash.xxh64_digest, b" ".join
         for rows, data, offsets in steps(batches):
             text, cuts = data.tobytes().lower(), offsets.tolist()
-            parts, counts = [], []
+            parts, counts, single, distinct = [], [], [], []
             for a, b in zip(cuts, cuts[1:]):
                 words = text[a:b].split()
                 if len(words) >= shingle:
@@ -49,20 +66,28 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     counts.append(1)
                 else:
                     counts.append(0)
-            out, n = np.zeros(len(counts), np.uint64), np.array(counts)
-            some = np.flatnonzero(n)
+                if more:
+                    kinds = set(words)
+                    single += [digest(w, SEED) for w in kinds]
+                    distinct.append(len(kinds))
+            some = np.flatnonzero(counts)
+            hashes = np.frombuffer(b"".join(parts), ">u8").astype(np.uint64)
+            sets = [(hashes, counts)]
+            if more:
+                sets = [(np.frombuffer(b"".join(single), ">u8").astype(np.uint64), distinct), (hashes, counts), (mixed(hashes), counts)]
+            out = [np.zeros(len(counts), np.uint64) for _ in sets]
             if len(some):
-                bits = np.unpackbits(np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 8), axis=1)
-                at = np.concatenate([[0], np.cumsum(n[some])])
-                ones = np.stack([bits[i:j].sum(axis=0, dtype=np.int32) for i, j in zip(at[:-1].tolist(), at[1:].tolist())])
-                out[some] = np.packbits(2 * ones > n[some, None], axis=1).view(">u8").ravel()
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+                for x, (h, n) in zip(out, sets):
+                    x[some] = majority(h, np.concatenate([[0], np.cumsum(np.array(n)[some])]))
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x.view(np.int64)) for x in out)], names)
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    names = ["doc_id", "words", "fp", "other"] if more else ["doc_id", "fp"]
+    return texts(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """(number of fingerprints, how often bits i and j are both set), over all of them: 2,081 sums reach the driver."""
+    """(number of fingerprints, how often bits i and j are both set) over all rows of the one column: 2,081 sums reach
+    the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((BITS, BITS)), 0
@@ -75,7 +100,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
         cells = np.concatenate([[-1], i * BITS + j]), np.concatenate([[n], total[i, j]])
         yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int32()), pa.array(cells[1].astype(np.int64))], ["cell", "n"])
 
-    found = dict(fps.select("fp").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect())
+    found = dict(fps.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect())
     n, both = found.pop(-1, 0), np.zeros((BITS, BITS))
     for cell, count in found.items():
         both[cell // BITS, cell % BITS] = both[cell % BITS, cell // BITS] = count
@@ -144,32 +169,41 @@ def masks(plan: list[tuple[list[int], int]]) -> list[int]:
     return out
 
 
-def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= radius
+def near(a: np.ndarray, b: np.ndarray, limits: Limits) -> np.ndarray:
+    """Whether fingerprints (last axis) differ in few enough bits, for each limit."""
+    ok = True
+    for which, most in limits:
+        ok = ok & (np.bitwise_count(a[..., which] ^ b[..., which]).sum(axis=-1, dtype=np.int16) <= most)
+    return ok
 
 
-def tree_links(fp: np.ndarray, rep: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links (a, b) that span every component of the distinct fingerprints under `near`, not all of its pairs."""
-    out = []
-    if len(fp) > DEEP:
-        varying = [b for b in range(BITS) if len(np.unique((fp >> np.uint64(b)) & np.uint64(1))) > 1]
+def tree_links(fp: np.ndarray, rep: np.ndarray, limits: Limits) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links (a, b) that span every component of the fingerprints under `near`, not all of its pairs."""
+    out, first, radius = [], fp[:, 0], limits[0][1]
+    if len(fp) > DEEP:  # by plain pigeonhole over the bits that vary here
+        varying = [b for b in range(BITS) if len(np.unique((first >> np.uint64(b)) & np.uint64(1))) > 1]
         if len(varying) > radius:
             for k in range(radius + 1):
                 part = np.zeros(len(fp), np.uint64)
                 for b in varying[k :: radius + 1]:
-                    part |= fp & np.uint64(1 << b)
+                    part |= first & np.uint64(1 << b)
                 order = np.argsort(part, kind="stable")
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(fp)]])
                 for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     if 1 < j - i < len(fp):
-                        out += tree_links(fp[order[i:j]], rep[order[i:j]], radius)
+                        out += tree_links(fp[order[i:j]], rep[order[i:j]], limits)
             return out
+    if len(fp) <= GRID:
+        i, j = np.nonzero(np.triu(near(fp[:, None, :1], fp[None, :, :1], limits[:1]), 1))
+        ok = near(fp[i], fp[j], limits) if len(limits) > 1 else np.ones(len(i), bool)
+        if ok.sum() <= 2 * len(fp):
+            return [(rep[i[ok]], rep[j[ok]])]
     left, left_rep = fp, rep
     while len(left) > 1:
         front, left, left_rep = [(left[0], left_rep[0])], left[1:], left_rep[1:]
         while front and len(left):
             f, r = front.pop()
-            hit = near(left, f, radius)
+            hit = near(left, f, limits)
             if hit.any():
                 new, new_rep = left[hit], left_rep[hit]
                 out.append((np.full(len(new), r), new_rep))
@@ -178,7 +212,7 @@ def tree_links(fp: np.ndarray, rep: np.ndarray, radius: int) -> list[tuple[np.nd
     return out
 
 
-def group_links(fp: np.ndarray, rep: np.ndarray, cuts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def group_links(fp: np.ndarray, rep: np.ndarray, cuts: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
     """Links in each group of rows between cuts."""
     sizes, out = np.diff(cuts), []
     which = np.repeat(np.arange(len(sizes)), np.where(sizes <= PAIRS, sizes, 0))
@@ -186,38 +220,39 @@ def group_links(fp: np.ndarray, rep: np.ndarray, cuts: np.ndarray, radius: int)
     for k in range(1, int(sizes[sizes <= PAIRS].max(initial=0))):
         same = np.flatnonzero(which[k:] == which[:-k])
         i, j = rows[same], rows[same + k]
-        ok = near(fp[i], fp[j], radius)
+        ok = near(fp[i], fp[j], limits)
         out.append((rep[i[ok]], rep[j[ok]]))
     for g in np.flatnonzero(sizes > PAIRS).tolist():
-        out += tree_links(fp[cuts[g] : cuts[g + 1]], rep[cuts[g] : cuts[g + 1]], radius)
+        out += tree_links(fp[cuts[g] : cuts[g + 1]], rep[cuts[g] : cuts[g + 1]], limits)
     return tuple(np.concatenate([np.zeros(0, np.int64), *(x[s] for x in out)]) for s in (0, 1))
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b) over the reps of distinct fingerprints (fp, rep) that spans all components of Hamming distance <= radius."""
-    kept = masks(allocation(*bit_statistics(fps), radius))
+def links(fps: DataFrame, prints: list[str], limits: Limits) -> DataFrame:
+    """(a, b) over the reps of distinct rows (prints..., rep) that spans all components under the limits; keys are made
+    of the first print."""
+    kept = masks(allocation(*bit_statistics(fps.select(prints[0])), limits[0][1]))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keys = fps.select("fp", "rep", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in kept))).alias("k", "key"))
+    keys = fps.select(*prints, "rep", F.posexplode(F.array(*(F.col(prints[0]).bitwiseAND(F.lit(signed(m)).cast("long")) for m in kept))).alias("k", "key"))
     keys = keys.repartition("k", "key").sortWithinPartitions("k", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def linked(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            k, key, fp, rep = (np.concatenate(x) for x in zip(*parts))
+            *fp, rep, k, key = (np.concatenate(x) for x in zip(*parts))
             cuts = np.concatenate([[0], np.flatnonzero((np.diff(k) != 0) | (key[1:] != key[:-1])) + 1, [len(k)]])
-            a, b = group_links(fp.view(np.uint64), rep, cuts, radius)
+            a, b = group_links(np.stack(fp, axis=1).view(np.uint64), rep, cuts, limits)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp, rep, k, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            now = [k, key, fp, rep]
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            k, key = now[-2:]
             last = np.flatnonzero((k != k[-1]) | (key != key[-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
-            if held and (cut or (held[-1][0][-1], held[-1][1][-1]) != (k[0], key[0])):
+            if held and (cut or (held[-1][-2][-1], held[-1][-1][-1]) != (k[0], key[0])):
                 yield from linked([*held, [x[:cut] for x in now]])
                 held = []
             elif cut:
@@ -229,15 +264,29 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return keys.mapInArrow(run, "a long, b long")
 
 
+def _components(own: DataFrame, prints: list[str], limits: Limits) -> DataFrame:
+    """own (doc_id, prints...) with component_id. Rows of equal prints are one until the end; a null doc_id takes the
+    component of its prints but gives it no name."""
+    fps = saved(own.where(F.col("doc_id").isNotNull()).groupBy(*prints).agg(F.min("doc_id").alias("rep")))
+    found = connected_components(links(fps, prints, limits))
+    whole = fps.join(found, fps.rep == found.node, "left").select(*prints, F.coalesce("component", "rep").alias("component_id"))
+    return own.join(whole, prints, "left").select("doc_id", *prints, F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def similar_documents(docs: DataFrame, limits: Limits = SIMILAR) -> DataFrame:
+    """(doc_id, words, fp, other, component_id) for each row of docs: components of documents that are similar as whole
+    texts (five-word shingles in common as at a similarity of 0.8 or more, as far as 128 bits can tell).
+
+    Candidates agree within the radius on the SimHash of their distinct words; all three fingerprints decide. Nulls,
+    texts without a word, repeated rows and empty tables are as in near_duplicates.
+    """
+    return _components(saved(fingerprints(docs, more=True)), ["words", "fp", "other"], limits)
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs: component_id is the smallest doc_id of its component.
 
     Fingerprints link at `radius` differing bits or fewer. Texts without a word have fingerprint zero and link like
     any other; repeated rows share their component; an empty table gives an empty result.
     """
-    arrow_limits(docs.sparkSession)
-    own = saved(fingerprints(docs, shingle))
-    fps = saved(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(links(fps, radius))
-    whole = fps.join(found, fps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(whole, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _components(saved(fingerprints(docs, shingle)), ["fp"], ((slice(0, 1), radius),))
