@@ -19,8 +19,8 @@ from folioscan.llm.common import texts
 SHINGLE, SIMILARITY = 5, 0.8
 #: SimHashes within the radius are candidates: similarity 0.8 differs in 13 of 64 bits on average, with a deviation of 3.
 BITS, RADIUS, BLOCKS = 64, 20, 7
-#: Rows of the benchmark's shingles or index that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a few numbers, and items with their shingles, that may be broadcast (some 50 MB); more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_ITEMS = 500_000, 10_000
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -93,14 +93,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     windows = held.select("doc_id", F.explode(F.transform("starts", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), cut(s).alias("window")))).alias("x")).select("doc_id", "x.*")
     windows = windows.withColumn("fp", simhash(F.col("window")))
     probes = windows.withColumn("key", F.explode(F.array(*(F.struct(F.lit(k).alias("block"), block_value(F.col("fp"), low, width).alias("value")) for k, (low, width) in enumerate(blocks()))))).select("doc_id", "start", "n", "window", "fp", "key.block", "key.value")
-    index = multi_index(items.join(weighed, "item_id").select("item_id", "n", "weights", simhash(F.col("item")).alias("item_fp")))
+    index = multi_index(items.select("item_id", F.size("item").alias("n"), simhash(F.col("item")).alias("item_fp")))
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     inside = F.aggregate("weights", F.lit(0.0), lambda s, x: s + F.when(F.array_contains("window", x["h"]), x["w"]).otherwise(0.0))
     total = F.aggregate("weights", F.lit(0.0), lambda s, x: s + x["w"])
     # a window's own weight: what it shares with the item, and one for each other shingle
     own = F.col("inside") + F.size(F.array_except("window", F.transform("weights", lambda x: x["h"])))
     near = probes.join(small(index), ["n", "block", "value"]).withColumn("hamming", hamming).where(F.col("hamming") <= RADIUS)
-    scored = near.withColumn("inside", inside).select("doc_id", "item_id", "start", "hamming", (2 * F.col("inside") / (own + total)).alias("similarity")).where(F.col("similarity") >= similarity)
+    near = near.groupBy("doc_id", "item_id", "start", "hamming").agg(F.first("window").alias("window"))  # several blocks may agree
+    scored = near.join(small(weighed.select("item_id", "weights"), BROADCAST_ITEMS), "item_id").withColumn("inside", inside).select("doc_id", "item_id", "start", "hamming", (2 * F.col("inside") / (own + total)).alias("similarity")).where(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("hamming")).alias("d"))).alias("x"))
     return best.select("doc_id", "item_id", F.round("x.similarity", 9).alias("similarity"), (-F.col("x.d")).cast("int").alias("hamming"), (-F.col("x.s")).alias("start"))
 
