@@ -1,8 +1,9 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text is built. A text is parsed greedily into the longest phrases
-that occur in that language's text (Ziv-Merhav cross parsing); phrases * log2(size of the text learnt) / bytes
-estimates the cross entropy in bits a byte, and the language that needs the least wins.
+that occur in that language's text (Ziv-Merhav cross parsing); phrases * log2(size of the texts learnt) / bytes
+estimates the cross entropy in bits a byte, and the language that needs the least wins. As much is learnt of each
+language where there is as much, and the greatest size counts for all: a small one must not make phrases cheap.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ class Parser:
         self.kinds = len(seen) + 1
         self.names = sorted(learnt)
         self.tables = [self._table(learnt[x]) for x in self.names]
-        self.bits = np.array([math.log2(max(len(learnt[x]), 2)) for x in self.names])
+        self.bits = math.log2(max(2, *(len(learnt[x]) for x in self.names)))
 
     def _table(self, text: bytes) -> np.ndarray:
         table = parser_table(text, self.symbols)

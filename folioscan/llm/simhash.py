@@ -138,7 +138,8 @@ def allocation(n: int, both: np.ndarray, radius: int = RADIUS, key_cost: float =
     For each number of partitions a dynamic program runs over (partition, threshold sum so far); the cost of a
     threshold is its keys (the choices of bits to mask) and its candidates (pairs expected to agree within it).
     """
-    p = np.diag(both) / max(n, 1)
+    n = max(n, 1)
+    p = np.diag(both) / n
     agree = p * p + (1 - p) * (1 - p)
     best: tuple[float, list[tuple[list[int], int]]] | None = None
     for parts in range(1, radius + 6):
