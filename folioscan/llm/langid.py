@@ -71,9 +71,11 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 
 def parser_table(text: bytes, symbols: np.ndarray) -> np.ndarray:
     """table[state * kinds + symbol] = 2 * next state + 1 if a phrase ends before the symbol. A symbol without a
-    transition ends the phrase and starts the next; one that the text lacks is a phrase of its own."""
+    transition ends the phrase and starts the next; one that the text lacks is a phrase of its own, after which only a
+    new one can start: that is the last state."""
     after, kinds = suffix_automaton(text), int(symbols.max()) + 1
-    first = np.ones(kinds, np.int32)
+    after.append({})
+    first = np.full(kinds, 2 * (len(after) - 1) + 1, np.int32)
     for c, to in after[0].items():
         first[symbols[c]] = 2 * to + 1
     table = np.tile(first, (len(after), 1))

@@ -57,8 +57,8 @@ def may_match(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             out[row] = True
             at = where.find(needle, cuts[row + 1])
     hexa = np.isin(np.arange(256), list(b"0123456789abcdef"))[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], hexa, [False]]).astype(np.int8)))
-    long = edge[::2][edge[1::2] - edge[::2] >= LEAST_HEX]
+    cuts_at = np.union1d(offsets, np.flatnonzero(np.diff(hexa.astype(np.int8))) + 1)  # runs end with their row
+    long = cuts_at[:-1][(np.diff(cuts_at) >= LEAST_HEX) & hexa[cuts_at[:-1]]] if len(data) else cuts_at[:0]
     out[np.searchsorted(offsets, long, "right") - 1] = True
     return out
 

@@ -12,6 +12,7 @@ reduced to trees before they leave their task, so groups of near copies never be
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 SIMILAR = ((slice(0, 1), 8), (slice(1, 3), 22))
 #: Cost of a key that is shuffled, in units of a pair that is compared.
 KEY_COST = 200
+#: Keys of a partition beyond which its threshold is not considered; a threshold of 0 always is.
+MOST_KEYS = 2000
 #: Groups of up to PAIRS fingerprints are compared side by side, up to GRID each as a grid; larger ones grow trees, and
 #: beyond DEEP they are divided first.
 PAIRS, GRID, DEEP = 8, 1500, 8192
@@ -147,11 +150,11 @@ def allocation(n: int, both: np.ndarray, radius: int = RADIUS, key_cost: float =
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for bits in groups:
             chance, then = within(agree[bits]), {}
-            for t in range(-1, radius + 1):
-                keys = 1
-                for k in range(max(t, 0)):
-                    keys = keys * (len(bits) - k) // (k + 1)
-                cost = 0.0 if t < 0 else n * keys * key_cost + 0.5 * n * n * chance[min(t, len(bits))]
+            for t in range(-1, min(radius + 1, len(bits))):
+                keys = math.comb(len(bits), max(t, 0))
+                if keys > MOST_KEYS:
+                    break
+                cost = 0.0 if t < 0 else n * keys * key_cost + 0.5 * n * n * chance[t]
                 for total, (so_far, chosen) in table.items():
                     if total + t + 1 <= radius + 1 and (total + t + 1 not in then or then[total + t + 1][0] > so_far + cost):
                         then[total + t + 1] = (so_far + cost, [*chosen, t])
