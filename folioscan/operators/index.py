@@ -11,6 +11,8 @@ from folioscan.functions.text import tokens
 
 #: Rows of a query side that may be broadcast; a larger batch of queries is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Query terms that are pushed into the scan as a filter.
+PUSHED_TERMS = 500
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -60,22 +62,22 @@ def build(docs: DataFrame, fields: Mapping[str, int], id: str = "doc_id", stop_w
     return normalised(postings(term_frequencies(docs, fields, id, stop_words), docs.count(), id), id)
 
 
-def query_weights(queries: DataFrame, terms: DataFrame, documents: int, stop_words: Sequence[str] = ()) -> DataFrame:
-    """(qid, term, q): unit-length weights of the query terms that the index knows and that weigh something."""
-    words = queries.select("qid", F.explode(tokens(F.col("query"), stop_words)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    weighed = terms.join(small(words), "term").withColumn("q", F.col("qtf") * idf(F.col("df"), documents)).where("q > 0")
-    norm = F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("qid")))
-    return weighed.select("qid", "term", (F.col("q") / norm).alias("q"))
-
-
 def search(index: DataFrame, queries: DataFrame, documents: int, k: int, id: str = "doc_id", stop_words: Sequence[str] = ()) -> DataFrame:
     """(qid, id, score, rank): the k best documents of each query (qid, query) by cosine, score at six decimals, ties by id.
 
+    Only postings of the queries' terms are read: a few terms become a filter that reaches the scan, many are joined.
     A query without a known term of some weight has no hits.
     """
-    terms = index.select("term", "df").distinct()
-    weights = query_weights(queries, terms, documents, stop_words)
-    scores = index.select(id, "term", "weight").join(small(weights), "term").groupBy("qid", id).agg(F.round(F.sum(F.col("weight") * F.col("q")), 6).alias("score"))
+    words = queries.select("qid", F.explode(tokens(F.col("query"), stop_words)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    asked = [r.term for r in words.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    rows = index.select(id, "term", "df", "weight")
+    if len(asked) <= PUSHED_TERMS:
+        rows = rows.where(F.col("term").isin(asked))
+    found = rows.join(small(words), "term").withColumn("q", F.col("qtf") * idf(F.col("df"), documents)).where("q > 0")
+    # the query's norm is over its distinct terms, the dot product over postings
+    norms = found.groupBy("qid", "term").agg(F.first("q").alias("q")).groupBy("qid").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
+    dots = found.groupBy("qid", id).agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
+    scores = dots.join(norms, "qid").select("qid", id, F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc(id))
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

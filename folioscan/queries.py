@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.plans import archive, search
+from folioscan.plans import archive, extensions, search
 
-PLANS = (search, archive)
+PLANS = (search, archive, extensions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
