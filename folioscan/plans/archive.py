@@ -245,5 +245,5 @@ SELECT event_id, task_id, CASE WHEN task_id LIKE '%3' THEN 'missing' WHEN task_i
     "rbac_decisions": """SELECT *, role = 'admin' OR (role = 'radiologist' AND action IN ('images:import', 'studies:read')) AS allowed
 FROM (SELECT event_id, ['admin', 'radiologist', 'guest'][event_id % 3 + 1] AS role, ['images:import', 'studies:read', 'admin:backup'][(event_id // 3) % 3 + 1] AS action FROM events)""",
     "page_rejects": "SELECT page_id, CASE WHEN NOT contains(lower(html), '<html') THEN 'no html' WHEN NOT contains(lower(html), '<title') THEN 'no title' WHEN NOT contains(lower(html), '<body') THEN 'no body' WHEN NOT contains(lower(html), '<p') THEN 'no paragraph' ELSE 'accepted' END AS reason FROM pages",
-    "tlv_frames": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS seq, 'OK' AS status, CASE WHEN role = 'user' THEN 1 ELSE 17 END AS type, octet_length(encode(coalesce(text, ''))) AS bytes FROM conversations",
+    "tlv_frames": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS seq, 'OK' AS status, CASE WHEN role = 'user' THEN 1 ELSE 17 END AS type, octet_length(encode(coalesce(text, '')))::INT AS bytes FROM conversations",
 }

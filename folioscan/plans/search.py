@@ -165,7 +165,7 @@ qt AS (SELECT qid, term, count(*) AS qtf FROM qw WHERE strlen(term) > 1 GROUP BY
 q1 AS (SELECT qid, term, qtf * ln(n / df) AS q FROM qt JOIN df USING (term), n WHERE ln(n / df) > 0),
 q2 AS (SELECT qid, term, q / sqrt(sum(q * q) OVER (PARTITION BY qid)) AS q FROM q1),
 s AS (SELECT qid, doc_id, round(sum(weight * q), 6) AS score FROM ix JOIN q2 USING (term) GROUP BY ALL),
-h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= {PAGE})
+h AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INT AS rank FROM s QUALIFY rank <= {PAGE})
 {tail}"""
 
 
@@ -184,7 +184,7 @@ _SUGGEST = """WITH {tf},
 t AS (SELECT term, df AS freq FROM df WHERE regexp_matches(term, '^[A-Za-z0-9]+$')),
 q AS (SELECT unnest([{words}]) AS query),
 d AS (SELECT query, term, levenshtein(query, term)::INT AS distance, freq FROM q, t WHERE abs(len(query) - len(term)) <= 2)
-SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, freq DESC, term) AS rank FROM d WHERE distance <= 2 QUALIFY rank <= 5"""
+SELECT *, (row_number() OVER (PARTITION BY query ORDER BY distance, freq DESC, term))::INT AS rank FROM d WHERE distance <= 2 QUALIFY rank <= 5"""
 
 SQL = {
     "tfidf_postings": f"WITH {_TF} SELECT doc_id, term, tf, round(weight, 5) AS weight FROM p",
@@ -207,7 +207,7 @@ SELECT doc_id, CASE WHEN n = 0 THEN ''
   ELSE decode(unhex(substr(c, 1, 2 * open))) || CASE WHEN n > open THEN '...' ELSE '' END END AS snippet FROM e""",
     "spell_suggest": _SUGGEST.format(tf=_TF, words=f"'{MISSPELT[0]}'"),
     "spell_suggest_batch": _SUGGEST.format(tf=_TF, words=", ".join(f"'{w}'" for w in MISSPELT)),
-    "keyword_topn": f"""WITH {_TF} SELECT doc_id, rank, term, weight FROM (SELECT doc_id, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 6) DESC, term) AS rank FROM p) WHERE rank <= 5""",
+    "keyword_topn": f"""WITH {_TF} SELECT doc_id, rank, term, weight FROM (SELECT doc_id, term, round(weight, 6) AS weight, (row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 6) DESC, term))::INT AS rank FROM p) WHERE rank <= 5""",
     "keyword_default_idf": f"""WITH {_TF},
 m AS (SELECT count(*)::DOUBLE AS m FROM documents WHERE doc_id % 2 = 0),
 k AS (SELECT term, round(ln(m / count(*)), 9) AS idf FROM tf, m WHERE doc_id % 2 = 0 GROUP BY term, m),
@@ -224,5 +224,5 @@ s AS (SELECT term AS word, substr(regexp_replace(term, '[^\\x00-\\x7f]', '', 'g'
 SELECT s.word, coalesce(tag, CASE WHEN seen = '' THEN 'x' WHEN regexp_matches(seen, '^[0-9]+$') THEN 'm' ELSE 'eng' END) AS tag FROM s LEFT JOIN k USING (word)""",
     "top_terms_per_language": f"""WITH {_TF},
 l AS (SELECT lang, term, count(*) AS df FROM tf JOIN documents USING (doc_id) GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY lang ORDER BY df DESC, term) AS rank FROM l QUALIFY rank <= 20""",
+SELECT *, (row_number() OVER (PARTITION BY lang ORDER BY df DESC, term))::INT AS rank FROM l QUALIFY rank <= 20""",
 }

@@ -47,5 +47,6 @@ def unique_reports(records: DataFrame) -> DataFrame:
 def build_counts(files: DataFrame) -> DataFrame:
     """(indexed, duplicates, bad) of a folder's files."""
     records, rejects = parse(files)
-    n = records.agg(F.count("*").alias("good"), F.countDistinct("report_id").alias("indexed"))
-    return n.join(rejects.agg(F.count("*").alias("bad"))).select("indexed", (F.col("good") - F.col("indexed")).alias("duplicates"), "bad")
+    every = records.select("report_id").unionByName(rejects.select(F.lit(None).cast("string").alias("report_id")))
+    counted = every.agg(F.countDistinct("report_id").alias("indexed"), F.count("report_id").alias("good"), F.count("*").alias("files"))
+    return counted.select("indexed", (F.col("good") - F.col("indexed")).alias("duplicates"), (F.col("files") - F.col("good")).alias("bad"))
