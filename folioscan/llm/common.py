@@ -39,6 +39,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def matched(rows: DataFrame, keys: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with keys, whose long columns `names` are unique. Both sides are dealt by the keys' complements, not
+    by what either was dealt by before, because Spark splits a key with very many rows only right after such a deal."""
+    own = {n: f"_not_{n}" for n in names}
+    keys = keys.select(*(F.bitwise_not(n).alias(own[n]) for n in names), *(c for c in keys.columns if c not in names))
+    same = F.lit(True)
+    for n in names:
+        same = same & (F.bitwise_not(rows[n]) == keys[own[n]])
+    return rows.join(keys, same, how).drop(*own.values())
+
+
 def steps(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, UTF-8 bytes of column, offsets from 0 to the byte count) of at most `most` bytes, or of one row. Nulls are empty."""
     for batch in batches:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import arrow_limits, byte_values, mixed, per_row, saved, steps, texts, window_hash
+from folioscan.llm.common import arrow_limits, byte_values, matched, mixed, per_row, saved, steps, texts, window_hash
 
 WIDTH, ANCHOR_LOG2 = 200, 5
 #: Depth in bytes of the quicksort; contexts compared at a time; from so many contexts of an anchor on, digests are used.
@@ -196,10 +196,10 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = texts(docs).select("doc_id", F.hash("text").alias("row"), "text")
     every = _occurrences(rows)
     often = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    again = saved(every.join(often, "h"))
+    again = saved(matched(every, often, ["h"]))
     kinds = again.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "place")).alias("one"))
     variants = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
-    whole = again.join(kinds.where("n > 1").select("h", "c"), ["h", "c"])
+    whole = matched(again, kinds.where("n > 1").select("h", "c"), ["h", "c"])
     start = F.shiftright("place", 16)
     spans = whole.select("doc_id", "row", start.alias("start"), (start + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + (WIDTH - 1)).alias("stop"))
     # contexts that differ: one of each kind, with its bytes
@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     few = pieces.where("not many").repartition("h").sortWithinPartitions("h").mapInArrow(_compare, f"{_ROW}, start long, stop long")
     windows = pieces.where("many").mapInArrow(_windows, f"d1 long, d2 long, {_ROW}, n long, start long")
     twice = windows.groupBy("d1", "d2").agg(F.count("*").alias("copies")).where("copies > 1").select("d1", "d2")
-    many = windows.join(twice, ["d1", "d2"]).where("n = 1").select("doc_id", "row", "start", (F.col("start") + WIDTH).alias("stop"))
+    many = matched(windows, twice, ["d1", "d2"]).where("n = 1").select("doc_id", "row", "start", (F.col("start") + WIDTH).alias("stop"))
     return rows, spans.unionByName(few).unionByName(many)
 
 
