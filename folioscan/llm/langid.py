@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.bpe import LETTER, class_table, code_points
 from folioscan.llm.common import arrow_limits, steps, texts
+from folioscan.llm.decontaminate import small
 from folioscan.llm.quality import held_out
 
 #: What is learnt for a language: the first documents by hash, of at most so many characters, until so many bytes.
@@ -133,7 +134,7 @@ def sample_texts(docs: DataFrame, docs_each: int = SAMPLE_DOCS, chars: int = SAM
     share = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * docs_each) / F.count("*")).alias("share"))
     chance = (F.xxhash64("doc_id") % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.join(share, "lang").where(chance < F.col("share")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_each).select("doc_id", "lang", "place")
+    ids = known.join(small(share, 10_000), "lang").where(chance < F.col("share")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_each).select("doc_id", "lang", "place")
     rows = texts(docs).where(F.length("text") <= chars).join(F.broadcast(ids), "doc_id").dropDuplicates(["lang", "place"]).collect()
     out: dict[str, bytes] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.place)):
