@@ -21,6 +21,17 @@ def top_keywords(tf: DataFrame, idf: DataFrame, n: int, id: str = "doc_id", defa
     return weighed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(id, "term", "weight", "rank")
 
 
+def term_offsets(docs: DataFrame, id: str = "doc_id", text: str = "text", word: str = r"[\p{L}\p{N}]+") -> DataFrame:
+    """(id, term, tf, offsets): the byte offsets of each term of more than one byte, ascending. Words and what is between
+    them alternate, so an offset is a running sum of lengths within the document."""
+    parts = F.arrays_zip(F.split(F.col(text), word, -1).alias("between"), F.regexp_extract_all(F.col(text), F.lit(word), F.lit(0)).alias("term"))
+    rows = docs.select(id, F.posexplode(parts).alias("i", "x")).select(id, "i", "x.*").where(F.col("term").isNotNull())
+    here = Window.partitionBy(id).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = F.sum(F.octet_length("between") + F.octet_length("term")).over(here)
+    placed = rows.withColumn("offset", ends - F.octet_length("term")).where(F.octet_length("term") > 1)
+    return placed.groupBy(id, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("offset")).alias("offsets"))
+
+
 def text_rank(words: Sequence[str], stop_words: Sequence[str] = (), span: int = SPAN, rounds: int = ROUNDS, damping: float = DAMPING) -> dict[str, float]:
     """Word scores. Words of one code point and stop words are skipped and do not use up the window. Scores are updated
     in place, in the order of the words' UTF-8 bytes; the result depends on both."""

@@ -103,6 +103,11 @@ def keyword_default_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.top_keywords(tf, known, 3).select("doc_id", "weight")
 
 
+def keyword_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = keywords.term_offsets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "term", "tf", F.array_join(F.col("offsets").cast("array<string>"), ",").alias("offsets"))
+
+
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(tokens(F.col("text"))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
@@ -144,7 +149,7 @@ def top_terms_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     tfidf_postings, term_document_frequency, postings_l2_normalised, search_topk, search_batch_topk, field_weighted_tf, search_with_link_flag, search_results_json, snippets, spell_suggest, spell_suggest_batch,
-    keyword_topn, keyword_default_idf, word_count, search_mode_ngrams, textrank_keywords, pos_tags, segment_modes, top_terms_per_language,
+    keyword_topn, keyword_default_idf, keyword_offsets, word_count, search_mode_ngrams, textrank_keywords, pos_tags, segment_modes, top_terms_per_language,
 ]
 
 _TF = r"""
@@ -213,6 +218,11 @@ m AS (SELECT count(*)::DOUBLE AS m FROM documents WHERE doc_id % 2 = 0),
 k AS (SELECT term, round(ln(m / count(*)), 9) AS idf FROM tf, m WHERE doc_id % 2 = 0 GROUP BY term, m),
 x AS (SELECT doc_id, term, round(tf * coalesce(idf, (SELECT avg(idf) FROM k)), 6) AS weight FROM tf LEFT JOIN k USING (term))
 SELECT doc_id, weight FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 3""",
+    "keyword_offsets": r"""
+WITH a AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS m, regexp_split_to_array(text, '[\p{L}\p{N}]+') AS b FROM documents),
+c AS (SELECT doc_id, i, m[i] AS term, b[i] AS between_ FROM (SELECT doc_id, m, b, unnest(range(1, len(m) + 1)) AS i FROM a)),
+d AS (SELECT doc_id, term, (sum(strlen(between_) + strlen(term)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) - strlen(term))::BIGINT AS o FROM c)
+SELECT doc_id, term, count(*) AS tf, string_agg(o, ',' ORDER BY o) AS offsets FROM d WHERE strlen(term) > 1 GROUP BY ALL""",
     "word_count": f"WITH {_TF} SELECT term AS word, sum(tf)::BIGINT AS n FROM tf GROUP BY term",
     "search_mode_ngrams": f"""WITH {_TF},
 g AS (SELECT term AS gram FROM df UNION ALL SELECT substr(term, i, 2) FROM (SELECT term, unnest(range(1, length(term))) AS i FROM df WHERE length(term) > 2)

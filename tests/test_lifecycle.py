@@ -107,3 +107,16 @@ def test_policy_and_checks(spark):
     bad = hierarchy.violations(df, "id", {"sex": ["M", "F", "O"], "status": ["A"]}, nullable=["sex"])
     assert {(r.id, r.column, r.value) for r in bad.collect()} == {(2, "sex", "X"), (2, "status", None), (3, "status", "B")}
     assert hierarchy.duplicated_keys(spark.createDataFrame([(1,), (1,), (2,)], "k int"), ["k"]).collect()[0].n == 2
+
+
+def test_streamed_frames(spark, tmp_path):
+    import base64
+
+    from folioscan.sources import frames
+    from folioscan.streaming import frames as stream
+
+    whole = frames.encode(1, "肺".encode()) + frames.encode(2, b"xy")
+    pieces = [("a", i, base64.b64encode(whole[i : i + 3]).decode()) for i in range(0, len(whole), 3)] + [("b", 0, base64.b64encode(frames.encode(0x99, b"")).decode()), ("b", 9, base64.b64encode(whole).decode())]
+    pieces.sort(key=lambda p: p[1])
+    rows = _stream(spark, tmp_path, pieces, "conn string, seq long, data string", lambda s: stream.decode(s.withColumn("data", F.unbase64("data"))), "framed")
+    assert sorted((r.conn, r.n, r.status, bytes(r.payload or b"")) for r in rows) == [("a", 0, "OK", "肺".encode()), ("a", 1, "OK", b"xy"), ("b", 0, "BAD_TYPE", b"")]

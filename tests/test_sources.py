@@ -103,3 +103,20 @@ def test_store(spark, tmp_path):
     assert store.publish(spark, where, {"docs": docs}) == 4
     for text in ("a\tb\n\\n", "", "\\"):
         assert store.unescaped(store.escaped(text)) == text
+
+
+def test_dictionaries(spark, tmp_path):
+    from folioscan.operators import segment
+    from folioscan.sources import dictionaries
+
+    (tmp_path / "d").write_text("南京 5 ns\n长江 4 ns\n坏行\n")
+    (tmp_path / "u1").write_text("云计算\n")
+    (tmp_path / "u2").write_text("蓝翔 nz\n")
+    (tmp_path / "h").write_text("#start\n-0.1 -50 -50 -2\n" + "-50 0 -3 -50\n-0.5 -50 -50 -1\n-50 -0.2 -2 -50\n-0.5 -50 -50 -1\n" + "你:-1,世:-1\n好:-1,界:-1\n无:-9\n的:-1\n")
+    d = dictionaries.load_dictionary(spark, str(tmp_path / "d"), f"{tmp_path}/u1|{tmp_path}/u2", "max", str(tmp_path / "h"))
+    assert d.tags["蓝翔"] == "nz" and "云计算" in d.user and segment.segment("你好的世界南京", d) == ["你好", "的", "世界", "南京"]
+    (tmp_path / "i").write_text("肺 2.0\n骨 4.0\nbad\n")
+    known, default = dictionaries.idf_table(spark, str(tmp_path / "i"))
+    assert {r.term: r.idf for r in known.collect()} == {"肺": 2.0, "骨": 4.0} and default == 2.0
+    (tmp_path / "s").write_text("的\n\n了\n的\n")
+    assert dictionaries.stop_words(spark, str(tmp_path / "s")) == ["了", "的"]
