@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import arrow_limits, byte_values, steps, texts
+from folioscan.llm.common import arrow_limits, byte_values, matched, steps, texts
 
 #: Bytes that the gear hash looks back, zero bits that make a cut, and the sizes a chunk may have (a text's last may be less).
 LOOK_BACK, CUT_BITS, LEAST, MOST = 16, 4, 24, 80
@@ -98,7 +98,7 @@ def repeated_passages(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     every = chunks(docs)
     order = F.struct("doc_id", "start")
     places = every.groupBy("d1", "d2").agg(F.min(order).alias("kept"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "kept")
-    found = every.join(places, ["d1", "d2"]).select("doc_id", "start", "size", (order == F.col("kept")).alias("here"))
+    found = matched(every, places, ["d1", "d2"]).select("doc_id", "start", "size", (order == F.col("kept")).alias("here"))
     # Runs within a document: sorted chunks folded into [start, end, bytes removed] and spans
     listed = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "here")).alias("x"))
 
