@@ -57,7 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscan.llm.decontaminate import contaminated
 
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hamming")
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hamming").withColumn("start", F.col("start").cast("long"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +108,6 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spa
 
 
 def oracle_sql() -> dict[str, str]:
-    from folioscan.llm import rules
+    from folioscan.llm import pii_sql, rules
 
-    return {"op1_decontaminate": DECONTAMINATE, "op2_quality_rules": rules.SQL, "op9_suffix_dedup": SUBSTRINGS}
+    return {"op1_decontaminate": DECONTAMINATE, "op2_quality_rules": rules.SQL, "op4_pii": pii_sql.SQL, "op9_suffix_dedup": SUBSTRINGS}

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioscan.llm import bpe, chunking, components, crf, langid, pii, quality, queries, rules, secrets, simhash, suffixes
+from folioscan.llm import bpe, chunking, components, crf, langid, pii, pii_sql, quality, queries, rules, secrets, simhash, suffixes
 from tests.oracle import compare, connection
 
 ENCODING = None
@@ -150,6 +150,12 @@ def test_disclosing_words(spark):
     got = {x.doc_id: x.spans for x in pii.digests(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     at = docs[0][1].index("Kowalewski")
     assert f"term:{at}:{at + 10}" in got[0] and "term" not in got[103]
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    compare(pii.digests(spark.createDataFrame(docs, "doc_id long, text string")), con, pii_sql.SQL)
     text = {x.doc_id: x.text for x in pii.sanitised(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert "Kowalewski" not in text[0] and "[EMAIL]" in text[0] and "thanks" in text[0] and "letter" in text[103]
 
