@@ -41,8 +41,11 @@ def point_lookup(df: DataFrame, key: str, value, columns: Sequence[str]) -> Data
     return df.where(F.col(key) == F.lit(value)).select(*columns)
 
 
-def with_child_count(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, name: str) -> DataFrame:
-    """parents with the number of their children, 0 when none: children are counted before they are joined."""
+def with_child_count(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, name: str, page: bool = False) -> DataFrame:
+    """parents with the number of their children, 0 when none: children are counted before they are joined. If parents
+    are a page of a listing, only their children are counted: the page's keys filter the scan of the children."""
+    if page:
+        children = children.join(F.broadcast(parents.select(F.col(parent_key).alias("_of"))), F.col(child_key) == F.col("_of"), "left_semi")
     counted = children.groupBy(F.col(child_key).alias("_key")).agg(F.count("*").alias("_n"))
     return parents.join(counted, F.col(parent_key) == F.col("_key"), "left").withColumn(name, F.coalesce("_n", F.lit(0))).drop("_key", "_n")
 

@@ -42,16 +42,11 @@ def simhash_jenkins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.simhash_jenkins(_tf(spark, sf_dir)).select("doc_id", F.conv(F.hex("fp"), 16, 10).alias("fp"))
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    return hierarchy.with_child_count(orders, table(spark, sf_dir, "lineitem").select("l_orderkey"), "o_orderkey", "l_orderkey", "n_items")
-
-
 def list_parents_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page of newest orders with their customers and numbers of items, as studies are listed with their patients."""
     orders = table(spark, sf_dir, "orders")
     page = hierarchy.list_top(orders.join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders.o_custkey == F.col("c_custkey")), [F.desc("o_orderdate"), F.desc("o_orderkey")], PAGE)
-    counted = hierarchy.with_child_count(page, table(spark, sf_dir, "lineitem").select("l_orderkey"), "o_orderkey", "l_orderkey", "n_items")
+    counted = hierarchy.with_child_count(page, table(spark, sf_dir, "lineitem").select("l_orderkey"), "o_orderkey", "l_orderkey", "n_items", page=True)
     return counted.select("o_orderkey", "c_name", F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"), "n_items")
 
 
