@@ -66,7 +66,7 @@ def jenkins64_column(value: Column) -> Column:
 
 def cache_key(version: int, query: str) -> str:
     """The key of a query's cached result; another index version has other keys."""
-    return f"ris:v{version}:{fnv1a64(query.encode()):016x}"
+    return f"search:v{version}:{fnv1a64(query.encode()):016x}"
 
 
 def verify_password(password: str, salt_hex: str, hash_hex: str, rounds: int = 100_000) -> bool:

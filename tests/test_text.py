@@ -33,7 +33,7 @@ def test_hamming(spark, a, b, distance):
 def test_fnv_and_key():
     assert hashing.fnv1a64(b"") == 0xCBF29CE484222325
     assert hashing.fnv1a64(b"a") == 0xAF63DC4C8601EC8C
-    assert hashing.cache_key(3, "a") == "ris:v3:af63dc4c8601ec8c"
+    assert hashing.cache_key(3, "a") == "search:v3:af63dc4c8601ec8c"
 
 
 def test_tokens_of_access(spark):
