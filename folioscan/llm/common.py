@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 21
+#: Rows of a few numbers that may be broadcast (some 50 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -39,6 +41,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has no more rows than that."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value evaluated once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def matched(rows: DataFrame, keys: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """rows joined with keys, whose long columns `names` are unique. Both sides are dealt by the keys' complements, not
     by what either was dealt by before, because Spark splits a key with very many rows only right after such a deal."""

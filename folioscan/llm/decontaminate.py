@@ -9,23 +9,16 @@ both stand at the same place.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import texts
+from folioscan.llm.common import let, small, texts
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: SimHashes within the radius are candidates: similarity 0.8 differs in 13 of 64 bits on average, with a deviation of 3.
 BITS, RADIUS, BLOCKS = 64, 20, 7
-#: Rows of a few numbers, and items with their shingles, that may be broadcast (some 50 MB); more are joined by a shuffle.
-BROADCAST_ROWS, BROADCAST_ITEMS = 500_000, 10_000
-
-
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value evaluated once."""
-    return F.transform(F.array(value), then)[0]
+#: Items with their shingles that may be broadcast; more are joined by a shuffle.
+BROADCAST_ITEMS = 10_000
 
 
 def words(text: Column) -> Column:
@@ -67,11 +60,6 @@ def multi_index(items: DataFrame) -> DataFrame:
     return items.withColumn("key", F.explode(F.concat(*keys))).select("*", "key.block", "key.value").drop("key")
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has no more rows than that."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, similarity, hamming, start): documents that hold a window similar to an item, the best one.
 

@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm.bpe import LETTER, class_table, code_points
-from folioscan.llm.common import arrow_limits, steps, texts
-from folioscan.llm.decontaminate import small
+from folioscan.llm.common import arrow_limits, small, steps, texts
 from folioscan.llm.quality import held_out
 
 #: What is learnt for a language: the first documents by hash, of at most so many characters, until so many bytes.
