@@ -24,7 +24,7 @@ from folioscan.llm.common import arrow_limits, byte_values, matched, mixed, per_
 
 WIDTH, ANCHOR_LOG2 = 200, 5
 #: Depth in bytes of the quicksort; contexts compared at a time; from so many contexts of an anchor on, digests are used.
-SHALLOW, AT_ONCE, MOST_CONTEXTS = 64, 60_000, 30_000
+SHALLOW, AT_ONCE, MOST_CONTEXTS = 64, 40_000, 30_000
 _VALUES = byte_values(9)
 
 
@@ -170,7 +170,7 @@ def _occurrences(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_digest
-        for part, data, offsets in steps(batches):
+        for part, data, offsets in steps(batches, most=1 << 20):
             h, at, first, last = anchors(data, offsets)
             if not len(h):
                 continue
@@ -214,6 +214,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for x in asked:
                     lo, count = x["place"] >> 16, (x["place"] >> 8) & 255
                     out.append((i, x["h"], x["n"], x["place"], x["many"], text[lo : lo + count - 1 + WIDTH]))
+            if not out:
+                continue
             of, h, n, place, many, piece = zip(*out)
             take = pa.array(of)
             yield pa.RecordBatch.from_arrays(
@@ -293,7 +295,7 @@ def without_repeats(docs: DataFrame, texts_too: bool = False) -> DataFrame:
     both = rows.join(gone.hint("shuffle_hash"), [rows.doc_id.eqNullSafe(gone.doc_id), rows.row == gone.row], "left").select(rows.doc_id, "text", "start", "stop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in steps(batches):
+        for part, data, offsets in steps(batches, most=1 << 20):
             edge = np.zeros(len(data) + 1, np.int32)
             for name, by in (("start", 1), ("stop", -1)):
                 lists = part.column(part.schema.get_field_index(name))
