@@ -57,7 +57,10 @@ def may_match(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             out[row] = True
             at = where.find(needle, cuts[row + 1])
     hexa = np.isin(np.arange(256), list(b"0123456789abcdef"))[data]
-    cuts_at = np.union1d(offsets, np.flatnonzero(np.diff(hexa.astype(np.int8))) + 1)  # runs end with their row
+    new = np.ones(len(data) + 1, bool)
+    new[1:-1] = hexa[1:] != hexa[:-1]
+    new[offsets] = True  # runs end with their row
+    cuts_at = np.flatnonzero(new)
     long = cuts_at[:-1][(np.diff(cuts_at) >= LEAST_HEX) & hexa[cuts_at[:-1]]] if len(data) else cuts_at[:0]
     out[np.searchsorted(offsets, long, "right") - 1] = True
     return out
@@ -172,6 +175,19 @@ def learn(docs: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS,
     return fit(x[at].astype(np.float64), state[at], np.cumsum([0, *np.diff(lines)[take]]), 3, rounds=80)
 
 
+def likeliest(unary: np.ndarray, step: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Viterbi's states. A line is outside of secrets as a whole, without decoding, if no token can gain by another
+    state even with the best two transitions: a run of n tokens changes n + 1 transitions, at most two for each."""
+    gain = unary[:, 1:].max(axis=1) - unary[:, OUTSIDE] + 2 * max(0.0, float(step.max() - step[OUTSIDE, OUTSIDE]))
+    open_ = np.maximum.reduceat(gain, lines[:-1]) >= 0
+    sizes = np.diff(lines)
+    state = np.full(len(unary), OUTSIDE, np.int8)
+    at = np.flatnonzero(np.repeat(open_, sizes))
+    if len(at):
+        state[at] = viterbi(unary[at], step, np.concatenate([[0], np.cumsum(sizes[open_])]))
+    return state
+
+
 def chain_spans(chain: Chain, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, stop) in bytes of what the chain tags as secrets."""
     starts, stops, lines, rows = tokens(data, offsets)
@@ -180,7 +196,7 @@ def chain_spans(chain: Chain, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     x = features(data, starts, stops, lines, rows)
     weights = (chain.weights / chain.scale[:, None]).astype(np.float32)
     unary = x @ weights - (chain.mean / chain.scale @ chain.weights).astype(np.float32)
-    state = viterbi(unary.astype(np.float64), chain.step, lines)
+    state = likeliest(unary.astype(np.float64), chain.step, lines)
     begin = np.flatnonzero(state == BEGIN)
     # a run ends where the next token is not inside, or the line ends
     inside = np.concatenate([state == INSIDE, [False]])

@@ -212,6 +212,15 @@ def test_chain_against_enumeration():
     assert z == pytest.approx(total)
 
 
+def test_lines_left_out_are_outside():
+    r = np.random.default_rng(2)
+    lines = np.array([0, 3, 4, 9, 15, 40])
+    for shift in (0.0, 2.0, 4.0, 8.0):
+        unary, step = r.normal(size=(40, 3)), r.normal(size=(3, 3))
+        unary[:, 0] += shift
+        assert (secrets.likeliest(unary, step, lines) == crf.viterbi(unary, step, lines)).all()
+
+
 # op6
 def test_chunks_resist_shifts(spark):
     r = random.Random(6)
