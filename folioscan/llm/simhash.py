@@ -5,7 +5,7 @@ thresholds of m partitions sum to radius - m + 1, so two fingerprints within the
 (General Pigeonhole, Qin et al. 2018). A dynamic program picks the thresholds, unequal where bits are skewed, from the
 expected number of keys and candidates. Copies share a fingerprint and are one row in all of this.
 
-A document has up to three fingerprints: the first is probed, all are compared. Links within a group of candidates are
+Rows may have several fingerprints: the first is probed, all are compared. Links within a group of candidates are
 reduced to trees before they leave their task, so groups of near copies never become pairs.
 """
 
@@ -21,13 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import arrow_limits, mixed, saved, steps, texts
+from folioscan.llm.common import arrow_limits, saved, steps, texts
 from folioscan.llm.components import connected_components
+from folioscan.llm.minhash import similar_documents  # noqa: F401
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
-#: Similar documents: words propose within the first radius, shingles decide within the second, of 128 bits. At a
-#: similarity of 0.8 on five-word shingles 4 and 15 bits differ on average, with deviations of 2 and 4.
-SIMILAR = ((slice(0, 1), 8), (slice(1, 3), 22))
 #: Cost of a key that is shuffled, in units of a pair that is compared.
 KEY_COST = 200
 #: Keys of a partition beyond which its threshold is not considered; a threshold of 0 always is.
@@ -45,12 +43,10 @@ def majority(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > np.diff(at)[:, None], axis=1).view(">u8").ravel()
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): 64-bit SimHash of the word shingles of the whole ASCII-lower-cased text, as a signed long.
 
     Words are `[^\\x20\\x09-\\x0D]+`; a text of fewer words than a shingle is one shingle; no word (or null): zero.
-    With more: (doc_id, words, fp, other), where words is the SimHash of the distinct words and other one of the
-    shingles by another hash.
     """
     arrow_limits(docs.sparkSession)
 
@@ -58,7 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: bool = False) ->
         digest, join = xxhash.xxh64_digest, b" ".join
         for rows, data, offsets in steps(batches):
             text, cuts = data.tobytes().lower(), offsets.tolist()
-            parts, counts, single, distinct = [], [], [], []
+            parts, counts = [], []
             for a, b in zip(cuts, cuts[1:]):
                 words = text[a:b].split()
                 if len(words) >= shingle:
@@ -69,23 +65,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: bool = False) ->
                     counts.append(1)
                 else:
                     counts.append(0)
-                if more:
-                    kinds = set(words)
-                    single += [digest(w, SEED) for w in kinds]
-                    distinct.append(len(kinds))
             some = np.flatnonzero(counts)
             hashes = np.frombuffer(b"".join(parts), ">u8").astype(np.uint64)
-            sets = [(hashes, counts)]
-            if more:
-                sets = [(np.frombuffer(b"".join(single), ">u8").astype(np.uint64), distinct), (hashes, counts), (mixed(hashes), counts)]
-            out = [np.zeros(len(counts), np.uint64) for _ in sets]
+            out = np.zeros(len(counts), np.uint64)
             if len(some):
-                for x, (h, n) in zip(out, sets):
-                    x[some] = majority(h, np.concatenate([[0], np.cumsum(np.array(n)[some])]))
-            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x.view(np.int64)) for x in out)], names)
+                out[some] = majority(hashes, np.concatenate([[0], np.cumsum(np.array(counts)[some])]))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    names = ["doc_id", "words", "fp", "other"] if more else ["doc_id", "fp"]
-    return texts(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -277,16 +264,6 @@ def _components(own: DataFrame, prints: list[str], limits: Limits) -> DataFrame:
     return own.join(whole, prints, "left").select("doc_id", *prints, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def similar_documents(docs: DataFrame, limits: Limits = SIMILAR) -> DataFrame:
-    """(doc_id, words, fp, other, component_id) for each row of docs: components of documents that are similar as whole
-    texts (five-word shingles in common as at a similarity of 0.8 or more, as far as 128 bits can tell).
-
-    Candidates agree within the radius on the SimHash of their distinct words; all three fingerprints decide. Nulls,
-    texts without a word, repeated rows and empty tables are as in near_duplicates.
-    """
-    return _components(saved(fingerprints(docs, more=True)), ["words", "fp", "other"], limits)
-
-
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs: component_id is the smallest doc_id of its component.
 
