@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.common import arrow_limits, byte_values, matched, steps, texts
 
-#: Bytes that the gear hash looks back, zero bits that make a cut, and the sizes a chunk may have (a text's last may be less).
+#: Bytes that the gear hash looks back, zero bits that make a cut, and the sizes a chunk may have (a whole text may be less).
 LOOK_BACK, CUT_BITS, LEAST, MOST = 16, 4, 24, 80
-#: Repeated chunks count where so many bytes of them stand side by side; a shorter match is a common phrase.
-RUN_BYTES = 96
 _GEAR = byte_values(6)
 
 
@@ -58,6 +56,14 @@ def chunk_cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
                 here -= 1
             cuts.append(here)
         if here < b:
+            if cuts and b - here < LEAST:  # a short end joins the chunk before it, or takes bytes from it
+                before = cuts[-2] if len(cuts) > 1 else a
+                cuts.pop()
+                if b - before > MOST:
+                    here = b - LEAST
+                    while inside[here]:
+                        here -= 1
+                    cuts.append(here)
             cuts.append(b)
         out.append(cuts)
     return out
@@ -86,10 +92,10 @@ def chunks(docs: DataFrame) -> DataFrame:
     return texts(docs.where(F.col("doc_id").isNotNull())).mapInArrow(run, "d1 long, d2 long, doc_id long, start int, size int")
 
 
-def repeated_passages(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
+def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row for each document with a passage that stands elsewhere too (in it or in another document).
 
-    doc_id; n_chunks: its repeated chunks; n_shared: bytes in runs of repeated chunks of run_bytes or more; n_removed:
+    doc_id; n_chunks: its repeated chunks; n_shared: their bytes; n_removed:
     those bytes less the chunks whose first place (by doc_id, then position) is here; spans: the removed runs as
     start:end in UTF-8 bytes, comma-joined, for `without_spans`. A chunk's first place stays, so one copy of every
     passage is kept. Null and empty texts have no chunk; rows that repeat a doc_id count as one document's copies of
@@ -109,18 +115,14 @@ def repeated_passages(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
                 x = found.values
                 order = np.argsort(start := x.field(0).to_numpy(zero_copy_only=False), kind="stable")
                 start, size, here = start[order], x.field(1).to_numpy(zero_copy_only=False)[order], x.field(2).to_numpy(zero_copy_only=False)[order]
-                runs = np.concatenate([[0], np.flatnonzero(start[1:] != start[:-1] + size[:-1]) + 1])
-                whole = np.add.reduceat(size, runs) >= run_bytes
-                counted = np.repeat(whole, np.diff([*runs, len(start)]))
-                gone = counted & ~here
+                gone = ~here
                 spans: list[list[int]] = []
                 for a, n in zip(start[gone].tolist(), size[gone].tolist()):
                     if spans and spans[-1][1] == a:
                         spans[-1][1] = a + n
                     else:
                         spans.append([a, a + n])
-                if counted.any():
-                    out.append((doc_id, int(counted.sum()), int(size[counted].sum()), int(size[gone].sum()), ",".join(f"{a}:{b}" for a, b in spans)))
+                out.append((doc_id, len(start), int(size.sum()), int(size[gone].sum()), ",".join(f"{a}:{b}" for a, b in spans)))
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string())], ["doc_id", "n_chunks", "n_shared", "n_removed", "spans"])
 

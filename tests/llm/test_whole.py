@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from folioscan.llm import minhash, simhash
+from folioscan.llm import chunking, minhash, simhash
 
 
 def shingles(text):
@@ -54,3 +54,12 @@ def test_similar_alone(spark):
     """A document that is a step of its own, as a very long one is."""
     got = simhash.similar_documents(spark.createDataFrame([(3, "one two three four five six")], "doc_id long, text string")).collect()
     assert [(x.doc_id, x.component_id) for x in got] == [(3, 3)]
+
+
+def test_every_repeated_chunk(spark):
+    """Copies of less than 96 bytes count; short ends that agree by chance do not."""
+    docs = [(1, "ok then"), (2, "ok then"), (3, "A short text of less than 96 bytes, é."), (4, "A short text of less than 96 bytes, é."), (5, "another one")]
+    r = random.Random(4)
+    docs += [(100 + i, "".join(r.choice("abcdefgh ") for _ in range(r.randint(100, 400))) + "\n") for i in range(200)]
+    got = {x.doc_id: x for x in chunking.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: (x.n_shared, x.n_removed, x.spans) for i, x in got.items()} == {1: (7, 0, ""), 2: (7, 7, "0:7"), 3: (39, 0, ""), 4: (39, 39, "0:39")}
