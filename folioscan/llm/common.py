@@ -27,17 +27,48 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def text_key(text: Column) -> list[Column]:
+    """k1, k2: 128 bits that stand for a text, so that rows are told apart whatever their doc_id is, null included."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(1), whole).alias("k2")]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """texts of docs with their keys: doc_id, text, k1, k2."""
+    rows = texts(docs)
+    return rows.select("doc_id", "text", *text_key(F.col("text")))
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like these that docs does not have, in any case of letters."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def arrow_limits(spark: SparkSession) -> None:
-    """Arrow batches by bytes as well as rows, so that a run of long documents stays small in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Arrow batches by bytes as well as rows, so that a run of long documents stays small in a worker. A limit of the
+    session that is smaller stays."""
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    own = spark.conf.get(name, "")
+    if not own.isdigit() or int(own) > most:
+        spark.conf.set(name, str(most))
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder of spark.checkpoint.dir; a temporary one only where none is set."""
+    """df with its lineage cut, in the shared folder of spark.checkpoint.dir. Where none is set, a local session (as in
+    tests) gets a temporary one; a cluster has no folder that could be guessed, so there it is an error."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="folioscan-checkpoint-"))
+        where = spark.conf.get("spark.checkpoint.dir", "")
+        if not where and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="folioscan-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

@@ -80,18 +80,18 @@ DECONTAMINATE = r"""
 WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
 b AS (SELECT item_id, unnest(range(0, len(w) - 4)) AS q, w, len(w) - 4 AS n FROM t WHERE len(w) >= 5),
 item AS (SELECT item_id, n, q, array_to_string(w[q + 1:q + 5], ' ') AS h FROM b),
-weight AS (SELECT h, 1 / count(DISTINCT item_id)::DOUBLE AS w FROM item GROUP BY h),
+weight AS (SELECT h, 1 / (1 + ln(count(DISTINCT item_id)::DOUBLE)) AS w FROM item GROUP BY h),
 own AS (SELECT DISTINCT item_id, h, w FROM item JOIN weight USING (h)),
-total AS (SELECT item_id, sum(w) AS total FROM own GROUP BY item_id),
+total AS (SELECT item_id, sum(w) AS total, avg(w) AS mean FROM own GROUP BY item_id),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
 x AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS p, w FROM d WHERE len(w) >= 5),
 doc AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS h FROM x),
-win AS (SELECT DISTINCT doc_id, item_id, n, p - q AS start FROM doc JOIN item USING (h)),
-held AS (SELECT DISTINCT win.*, doc.h FROM win JOIN doc ON doc.doc_id = win.doc_id AND p >= start AND p < start + n),
-score AS (SELECT doc_id, item_id, start, sum(coalesce(w, 0)) AS inside, count(*) FILTER (w IS NULL) AS rest FROM held LEFT JOIN own USING (item_id, h) GROUP BY ALL),
-sim AS (SELECT doc_id, item_id, start, 2 * inside / (inside + rest + total) AS similarity FROM score JOIN total USING (item_id))
-SELECT doc_id, item_id, round(similarity, 9) AS similarity, start FROM sim WHERE similarity >= 0.8
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+win AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(p - n + 1, p + 1)) AS lo FROM doc JOIN item USING (h)),
+held AS (SELECT DISTINCT win.*, doc.h FROM win JOIN doc ON doc.doc_id = win.doc_id AND p >= lo AND p < lo + n),
+score AS (SELECT doc_id, item_id, lo, sum(coalesce(w, 0)) AS inside, count(*) FILTER (w IS NULL) AS rest FROM held LEFT JOIN own USING (item_id, h) GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, greatest(lo, 0) AS start, 2 * inside / (inside + rest * mean + total) AS similarity FROM score JOIN total USING (item_id))
+SELECT doc_id, item_id, round(similarity, 9) AS similarity, start FROM sim WHERE similarity >= 0.8 - 1e-12
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(similarity, 9) DESC, start) = 1
 """
 
 SUBSTRINGS = """
