@@ -1,9 +1,9 @@
 """Personal data by information-theoretic sanitisation, with DataFrame functions alone.
 
-Patterns find the protected entities. Words beside an entity disclose it as far as corpus co-occurrence ties them to
-it: the pointwise mutual information of word and entity over the entity's information content is 1 for a word that
-stands nowhere else and 0 for one that knows nothing of it. Words at or above the threshold are generalised like the
-entities themselves.
+Patterns find the protected entities. How strongly a word reveals one is estimated from the corpus: lines (paragraphs)
+that hold both, against lines that hold either. The pointwise mutual information of word and entity over the entity's
+information content is 1 for a word that stands nowhere but beside it and 0 for one that knows nothing of it. Words at
+or above the threshold are generalised like the entities, wherever they stand in a text that holds the entity.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import let, saved, small, texts
+from folioscan.llm.common import keyed, let, saved, small, text_key, unused
 
 #: The kinds in the order of the contract and their patterns, written so that no start is tried twice.
 PATTERNS = {
@@ -23,8 +23,6 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried on it.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 TERM, TERM_PATTERN = "term", r"\p{L}{4,}+"
-#: Code points beside an entity that count as its context; contexts of an entity that must hold a word, and their share.
-REACH, LEAST_CONTEXTS, LEAST_SHARE = 64, 3, 0.5
 #: A word whose information about an entity is this share of the entity's own is generalised.
 DISCLOSURE = 0.9
 
@@ -81,61 +79,90 @@ def _of_kind(text: Column, k: int, name: str) -> Column:
     return F.when(needed, some.cast(kind)).otherwise(F.array().cast(kind))
 
 
-def _beside(text: Column, spans: Column, s: Column) -> Column:
-    """[(start, stop, match)] of whole words within REACH of a span and outside of all spans."""
-    low, high = F.greatest(s["start"] - REACH, F.lit(0)), F.least(s["stop"] + REACH, F.length(text))
-    side = lambda a, b: F.transform(matches(F.substring(text, a + 1, b - a), TERM_PATTERN), lambda x: F.struct((x["start"] + a).alias("start"), (x["stop"] + a).alias("stop"), x["match"].alias("match")))
-    # a word that touches the edge of the context may go on beyond it
-    left = F.filter(side(low, s["start"]), lambda x: (x["start"] > low) | (low == 0))
-    right = F.filter(side(s["stop"], high), lambda x: (x["stop"] < high) | (high == F.length(text)))
-    return F.filter(F.concat(left, right), lambda x: ~F.exists(spans, lambda o: (o["start"] < x["stop"]) & (x["start"] < o["stop"])))
+def masked(text: Column) -> Column:
+    """text with each email as so many blanks. No other entity holds a letter, so the words of this text are those
+    outside of all entities, at their places."""
+    found, between = F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0)), F.split(text, PATTERNS["email"], -1)
+    blank = F.transform(found, lambda m: F.repeat(F.lit(" "), F.length(m)))
+    return F.when(F.contains(text, F.lit("@")), F.array_join(F.zip_with(between, blank, lambda b, m: F.concat(b, F.coalesce(m, F.lit("")))), "")).otherwise(text)
+
+
+def lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
 def entities(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, found): rows (doc_id, row, text), where row tells rows of one doc_id apart; found (doc_id, row, spans,
-    contexts) with one context for each span."""
-    rows = texts(docs).withColumn("row", F.xxhash64("text"))
-    spans = rows.withColumn("spans", base_spans(F.col("text")))
-    contexts = F.transform("spans", lambda s: F.struct(F.concat_ws(":", s["k"], s["match"]).alias("entity"), _beside(F.col("text"), F.col("spans"), s).alias("words")))
-    return rows, saved(spans.select("doc_id", "row", "spans", contexts.alias("contexts")))
+    """(rows, found): rows (doc_id, text, k1, k2); found (doc_id, k1, k2, spans, n_lines) for each of them."""
+    rows = keyed(docs)
+    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return rows, saved(rows.select("doc_id", "k1", "k2", base_spans(F.col("text")).alias("spans"), n.cast("long").alias("n_lines")))
 
 
-def disclosing(rows: DataFrame, found: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
-    """(entity, match): the words that disclose an entity.
+def beside(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, lines): the texts with an entity, (k1, k2, copies, text), once each; and their lines with one,
+    (k1, k2, copies, line, entities, words): line is a hash of its place, the lists hold each entry once."""
+    held = found.where(F.size("spans") > 0).groupBy("k1", "k2").agg(F.count("*").alias("copies"))
+    own = rows.join(small(held.select("k1", "k2")), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    own = saved(own)
+    each = own.select("k1", "k2", "copies", F.posexplode(lines(F.col("text"))).alias("at", "part")).withColumn("spans", base_spans(F.col("part"))).where(F.size("spans") > 0)
+    named = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["k"], s["match"])))
+    return own, saved(each.select("k1", "k2", "copies", F.xxhash64("k1", "k2", "at").alias("line"), named.alias("entities"), F.array_distinct(F.regexp_extract_all(masked(F.col("part")), F.lit(TERM_PATTERN), F.lit(0))).alias("words")))
 
-    Co-occurrence counts different contexts, so copies of a text count once; how often a word is found at all counts
-    every document of the corpus. A word stands in at least the documents that have it beside some entity, so a pair
-    that this number already rules out needs no count over the corpus.
-    """
-    context = found.select(F.explode("contexts").alias("x")).select("x.entity", F.array_sort(F.array_distinct(F.transform("x.words", lambda w: w["match"]))).alias("words")).where(F.size("words") > 0)
-    distinct = context.distinct()
-    n = distinct.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_CONTEXTS)
-    pairs = distinct.select("entity", F.explode("words").alias("match")).groupBy("entity", "match").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_CONTEXTS)
-    docs = F.lit(float(rows.count()))
-    seen = found.select(F.explode(F.array_distinct(F.transform(F.flatten(F.col("contexts.words")), lambda w: w["match"]))).alias("match")).groupBy("match").agg(F.count("*").alias("seen"))
-    content = F.log2(F.greatest(docs, F.col("n") + 1) / F.col("n"))
-    information = lambda df: F.log2(F.col("both") * docs / (F.col("n") * F.greatest(df, F.col("both"))))
-    pairs = pairs.join(n, "entity").where(F.col("both") >= LEAST_SHARE * F.col("n")).join(seen, "match")
-    pairs = saved(pairs.where(information(F.col("seen")) >= threshold * content))
-    wanted = small(pairs.select("match").distinct())
-    word = rows.select(F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("match")).join(wanted, "match", "left_semi").groupBy("match").agg(F.count("*").alias("df"))
-    return pairs.join(word, "match").where(information(F.col("df")) >= threshold * content).select("entity", "match")
 
+def _classes(held: DataFrame, what: str, name: str) -> DataFrame:
+    """(what, n, class): how many lines hold it, and a class of all that stand in the same lines. Classes are what is
+    paired: a text of many entities and words that stand nowhere else is one pair, not the product."""
+    return held.groupBy(what).agg(F.sum("copies").alias(f"n_{name}"), F.sum(F.col("line").cast("decimal(38,0)")).alias("places")).select(what, f"n_{name}", F.xxhash64(f"n_{name}", "places").alias(f"c_{name}"))
 
-def find(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
-    """(doc_id, row, spans) for each row of docs: spans are [(start, k, stop)] of entities and, with k = 4, disclosing
-    words, by start, then k. Null and empty texts have none; repeated rows each get theirs."""
+
+def disclosing(rows: DataFrame, found: DataFrame, held: DataFrame, threshold: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+    """(told, known): told (match, c_e): words that disclose the entities of a class; known (entity, c_e).
+
+    All counts are of lines of the whole corpus, as they are, without a least number: a word of one line that stands
+    there with an entity of that line alone is the strongest disclosure. A word stands in at least the lines that have
+    it beside some entity, so pairs that this number already rules out need no count over the corpus.
+    """
+    total = F.lit(float(found.agg(F.sum("n_lines")).first()[0] or 0))
+    e = held.select("line", "copies", F.explode("entities").alias("entity"))
+    w = held.select("line", "copies", F.explode("words").alias("match"))
+    known, seen = saved(_classes(e, "entity", "e")), saved(_classes(w, "match", "w"))
+    content = F.log2(F.greatest(total, F.col("n_e") + 1) / F.col("n_e"))
+    information = lambda df: F.log2(F.col("both") * total / (F.col("n_e") * F.greatest(df, F.col("both"))))
+    left = e.join(known, "entity").select("line", "copies", "c_e", "n_e").distinct()
+    right = w.join(seen, "match").select("line", "c_w", "n_w").distinct()
+    pairs = left.join(right, "line").groupBy("c_e", "n_e", "c_w", "n_w").agg(F.sum("copies").alias("both")).where(information(F.col("n_w")) >= threshold * content)
+    pairs = saved(pairs.select("c_e", "n_e", "c_w", "both").join(seen.select("match", "c_w"), "c_w").drop("c_w"))
+    wanted = small(saved(pairs.select("match").distinct()))
+    word = rows.select(F.explode(lines(F.col("text"))).alias("part")).select(F.explode(F.array_distinct(F.split("part", r"[^\p{L}]+"))).alias("match")).join(wanted, "match", "left_semi").groupBy("match").agg(F.count("*").alias("df"))
+    told = pairs.join(word, "match", "left").where(information(F.coalesce("df", F.lit(0))) >= threshold * content).select("match", "c_e").distinct()
+    return saved(told), known
+
+
+def terms(docs: DataFrame, threshold: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+    """(found, marks): found as in `entities`; marks (k1, k2, terms) of the texts that hold a disclosing word: terms are
+    its places [(start, stop)]."""
     rows, found = entities(docs)
-    return _with_terms(rows, found, threshold)
+    own, held = beside(rows, found)
+    told, known = disclosing(rows, found, held, threshold)
+    has = held.select("k1", "k2", F.explode("entities").alias("entity")).join(known, "entity").select("k1", "k2", "c_e").distinct()
+    said = own.select("k1", "k2", F.explode(F.array_distinct(F.regexp_extract_all(masked(F.col("text")), F.lit(TERM_PATTERN), F.lit(0)))).alias("match")).join(told, "match")
+    marked = said.join(has, ["k1", "k2", "c_e"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("match").alias("marked"))
+    places = F.filter(matches(masked(F.col("text")), TERM_PATTERN), lambda x: F.array_contains("marked", x["match"]))
+    return found, saved(own.join(marked, ["k1", "k2"]).select("k1", "k2", F.transform(places, lambda x: F.struct(x["start"].alias("start"), F.lit(len(PATTERNS)).alias("k"), x["stop"].alias("stop"))).alias("terms")))
+
 
+def _plain(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["stop"].alias("stop")))
 
-def _with_terms(rows: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    beside = found.select("doc_id", "row", F.explode("contexts").alias("x")).select("doc_id", "row", "x.entity", F.explode("x.words").alias("w")).select("doc_id", "row", "entity", "w.*")
-    terms = beside.join(disclosing(rows, found, threshold), ["entity", "match"]).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", F.lit(len(PATTERNS)).alias("k"), "stop")).alias("terms"))
-    terms = terms.withColumnsRenamed({"doc_id": "id", "row": "of"})
-    plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["stop"].alias("stop")))
-    both = found.join(terms, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("of")), "left")
-    return both.select("doc_id", "row", F.when(F.col("terms").isNull(), plain).otherwise(F.array_sort(F.concat(plain, "terms"))).alias("spans"))
+
+def find(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
+    """(doc_id, spans) for each row of docs: spans are [(start, k, stop)] of entities and, with k = 4, disclosing words,
+    by start, then k. Null and empty texts have none; repeated rows each get theirs; rows that share a doc_id, or have
+    none, are told apart by their text; an empty table gives no rows."""
+    found, marks = terms(docs, threshold)
+    both = found.join(small(marks), ["k1", "k2"], "left")
+    plain = _plain(F.col("spans"))
+    return both.select("doc_id", F.when(F.col("terms").isNull(), plain).otherwise(F.array_sort(F.concat(plain, "terms"))).alias("spans"))
 
 
 NAMES = [*PATTERNS, TERM]
@@ -156,24 +183,28 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     """docs with text where each span stands as its kind in brackets; spans that overlap stand as the first of them.
-    Other columns, and rows whose text is null, stay as they are."""
-    rows, found = entities(docs)
-    spans = _with_terms(rows, found, threshold).where(F.size("spans") > 0).groupBy("doc_id", "row").agg(F.first("spans").alias("_spans")).withColumnsRenamed({"doc_id": "_id", "row": "_row"})
+    Other columns, whatever their names, and rows whose text is null, stay as they are. Entities are found in passing;
+    only the marks of words are joined, so no text is shuffled unless very many texts have marks."""
+    _, marks = terms(docs, threshold)
+    a, b, c, d, own, more = unused(docs, "k1", "k2", "of1", "of2", "spans", "terms")
     kind = "array<struct<start:int,k:int,stop:int>>"
 
     def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         longer = F.struct(last["start"].alias("start"), last["k"].alias("k"), F.greatest(last["stop"], s["stop"]).alias("stop"))
-        return F.when((F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["stop"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.array_append(acc, s))
+        return F.when((F.size(acc) > 0) & (s["start"] < last["stop"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.array_append(acc, s))
 
-    merge_safe = lambda acc, s: F.when(F.size(acc) == 0, F.array(s)).otherwise(merge(acc, s))
-    merged = F.aggregate("_spans", F.array().cast(kind), merge_safe)
+    every = F.when(F.col(more).isNull(), _plain(F.col(own))).otherwise(F.array_sort(F.concat(_plain(F.col(own)), more)))
+    merged = F.aggregate(every, F.array().cast(kind), merge)
     label = lambda s: F.concat(F.lit("["), F.upper(F.get(F.array(*map(F.lit, NAMES)), s["k"])), F.lit("]"))
+    whole = F.col("text").cast("string")
 
     def text(m: Column) -> Column:
         ends = F.concat(F.array(F.lit(0)), F.transform(m, lambda s: s["stop"]))
-        parts = F.zip_with(m, F.slice(ends, 1, F.size(m)), lambda s, e: F.concat(F.substring("text", e + 1, s["start"] - e), label(s)))
-        return F.concat(F.array_join(parts, ""), F.substring("text", F.element_at(ends, -1) + 1, F.length("text")))
+        parts = F.zip_with(m, F.slice(ends, 1, F.size(m)), lambda s, e: F.concat(F.substring(whole, e + 1, s["start"] - e), label(s)))
+        return F.concat(F.array_join(parts, ""), F.substring(whole, F.element_at(ends, -1) + 1, F.length(whole)))
 
-    joined = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(let(merged, text))).select(*docs.columns)
+    k1, k2 = text_key(F.col("text"))
+    rows = docs.withColumns({a: k1, b: k2, own: base_spans(F.coalesce(whole, F.lit("")))})
+    joined = rows.join(small(marks.toDF(c, d, more)), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left")
+    return joined.withColumn("text", F.when(F.size(own) == 0, F.col("text")).otherwise(let(merged, text))).select(*docs.columns)

@@ -1,11 +1,9 @@
-"""The query of personal data in SQL: the same patterns, contexts and disclosure, by other means."""
+"""The query of personal data in SQL: the same patterns, co-occurrence and disclosure, by other means."""
 
 _KIND = """SELECT doc_id, {k} AS k, text, i, m[i] AS m, sum(length(b[i]) + length(m[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop
   FROM (SELECT doc_id, text, m, b, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, '{p}') AS m, regexp_split_to_array(text, '{p}') AS b FROM d))"""
 #: The contract's patterns as they are.
 _PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORDS = """SELECT doc_id, entity, span, low + sum(length(b[i]) + length(m[i])) OVER (PARTITION BY doc_id, span, side ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop, m[i] AS word, low, high, n
-  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT *, regexp_extract_all(part, '\\p{L}{4,}') AS m, regexp_split_to_array(part, '\\p{L}{4,}') AS b FROM side))"""
 
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -15,20 +13,22 @@ luhn AS (SELECT *, list_sum(list_transform(range(0, length(digits)), lambda j: C
 base AS (SELECT doc_id, text, k, start::INT AS start, stop::INT AS stop, m FROM luhn WHERE CASE k WHEN 0 THEN true
   WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS INT), 0) > 255)) = 0
   WHEN 2 THEN length(digits) BETWEEN 14 AND 19 AND total % 10 = 0 ELSE length(digits) BETWEEN 10 AND 15 END),
-around AS (SELECT doc_id, text, k || ':' || m AS entity, (doc_id, start, k) AS span, start, stop, greatest(start - 64, 0) AS lo, least(stop + 64, length(text)) AS hi, length(text) AS n FROM base),
-side AS (SELECT doc_id, entity, span, 0 AS side, lo AS low, start AS high, n, substr(text, lo + 1, start - lo) AS part, lo > 0 AS cut FROM around
-  UNION ALL SELECT doc_id, entity, span, 1, stop, hi, n, substr(text, stop + 1, hi - stop), hi < n FROM around),
-word AS ({_WORDS.replace("low, high, n\n", "low, high, n, side, cut\n")}),
-beside AS (SELECT doc_id, entity, span, (stop - length(word))::INT AS start, stop::INT AS stop, word FROM word WHERE NOT (side = 0 AND cut AND stop - length(word) = low) AND NOT (side = 1 AND cut AND stop = high)),
-free AS (SELECT b.* FROM beside AS b WHERE NOT EXISTS (SELECT 1 FROM base AS o WHERE o.doc_id = b.doc_id AND o.start < b.stop AND b.start < o.stop)),
-context AS (SELECT DISTINCT entity, words FROM (SELECT entity, span, list_sort(list_distinct(list(word))) AS words FROM free GROUP BY entity, span)),
-held AS (SELECT entity, count(*) AS n FROM context GROUP BY entity HAVING count(*) >= 3),
-pair AS (SELECT entity, word, count(*) AS both_ FROM (SELECT entity, unnest(words) AS word FROM context) GROUP BY ALL HAVING count(*) >= 3),
-docs AS (SELECT count(*)::DOUBLE AS docs FROM d),
-df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[^\\p{{L}}]+')) AS word FROM d) GROUP BY word),
-tell AS (SELECT entity, word FROM pair JOIN held USING (entity) JOIN df USING (word), docs WHERE both_ >= 0.5 * n
-  AND log2(both_ * docs / (n * greatest(df, both_))) >= 0.9 * log2(greatest(docs, n + 1) / n)),
-span AS (SELECT doc_id, start, k, stop FROM base UNION SELECT doc_id, start, 4, stop FROM free JOIN tell USING (entity, word)),
+line AS (SELECT doc_id, l, row_number() OVER () AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d)),
+total AS (SELECT count(*)::DOUBLE AS total FROM line),
+df AS (SELECT word, count(*) AS df FROM (SELECT line, unnest(list_distinct(regexp_split_to_array(l, '[^\\p{{L}}]+'))) AS word FROM line) GROUP BY word),
+blank AS (SELECT doc_id, array_to_string(list_transform(range(1, len(b) + 1), lambda i: b[i] || repeat(' ', coalesce(length(m[i]), 0))), '') AS text
+  FROM (SELECT doc_id, regexp_extract_all(text, '{_PATTERNS[0]}') AS m, regexp_split_to_array(text, '{_PATTERNS[0]}') AS b FROM d WHERE doc_id IN (SELECT doc_id FROM base))),
+has AS (SELECT DISTINCT doc_id, k || ':' || m AS entity, length(substr(text, 1, start)) - length(replace(substr(text, 1, start), chr(10), '')) + 1 AS pos FROM base),
+said AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(ls[pos], '\\p{{L}}{{4,}}'))) AS word, pos
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM blank))),
+n AS (SELECT entity, count(*) AS n FROM has GROUP BY entity),
+pair AS (SELECT entity, word, count(*) AS both_ FROM has JOIN said USING (doc_id, pos) GROUP BY ALL),
+tell AS (SELECT entity, word FROM pair JOIN n USING (entity) LEFT JOIN df USING (word), total
+  WHERE log2(both_ * total / (n * greatest(coalesce(df, 0), both_))) >= 0.9 * log2(greatest(total, n + 1) / n)),
+word AS (SELECT doc_id, w[i] AS word, sum(length(b[i]) + length(w[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\p{{L}}{{4,}}') AS w, regexp_split_to_array(text, '\\p{{L}}{{4,}}') AS b FROM blank))),
+span AS (SELECT doc_id, start, k, stop FROM base
+  UNION SELECT doc_id, (stop - length(word))::INT, 4, stop::INT FROM word WHERE (doc_id, word) IN (SELECT doc_id, word FROM has JOIN tell USING (entity))),
 text AS (SELECT doc_id, string_agg(['email', 'ip', 'card', 'phone', 'term'][k + 1] || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans,
   string_agg(['email', 'ip', 'card', 'phone', 'term'][k + 1] || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 4) AS base,
   count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone FROM span GROUP BY doc_id)
