@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm.bpe import LETTER, class_table, code_points
-from folioscan.llm.common import arrow_limits, small, steps, texts
+from folioscan.llm.common import arrow_limits, keyed, small, steps, texts
 from folioscan.llm.quality import held_out
 
 #: What is learnt for a language: the first documents by hash, of at most so many characters, until so many bytes.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES = 60, 20_000, 24_000
-#: Texts are parsed in pieces of so many bytes, so that many are parsed side by side; a phrase ends with its piece.
+#: Texts are parsed in pieces of so many bytes, so that many are parsed side by side; phrases go on across them.
 PIECE = 512
 UNKNOWN = "und"
 #: How sharply lower cost raises the score.
@@ -114,18 +114,47 @@ class Parser:
         for a in range(0, len(row), 1024):
             grid[:, a : a + 1024] = padded[start[a : a + 1024, None] + np.arange(PIECE)].T
         active = len(length) - np.searchsorted(length[::-1], np.arange(PIECE), "right")
+        # the piece before each in its text, or -1
+        place = np.empty(len(row), np.int64)
+        place[order] = np.arange(len(row))
+        before = np.where(start > offsets[row], np.concatenate([[-1], place[:-1]])[order], -1)
         out = np.zeros((len(sizes), len(self.tables)))
         for k, table in enumerate(self.tables):
-            state, ends = np.zeros(len(row), np.int32), np.ones(len(row), np.int32)
-            for t in range(int(length.max(initial=0))):
-                n = active[t]
-                got = table[state[:n] * self.kinds + grid[t, :n]]
-                np.right_shift(got, 1, out=state[:n])
-                if t:
-                    ends[:n] += got & 1
-            out[:, k] = np.bincount(row, ends, len(sizes))
+            out[:, k] = np.bincount(row, self._ends(table, grid, active, length, before), len(sizes))
+            out[sizes > 0, k] += 1
         return out
 
+    def _ends(self, table: np.ndarray, grid: np.ndarray, active: np.ndarray, length: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Phrases that end before a byte of each piece, the first of a text apart. All pieces are first parsed as if a
+        text began there; then those that begin within a phrase are parsed anew from the state that the piece before
+        leaves, up to where both parses are in the same state, from where on they agree; until no state changes."""
+        n, trail = len(length), np.zeros(grid.shape, np.int32)
+        state, ends = np.zeros(n, np.int32), np.zeros(n, np.int64)
+        for t in range(int(length.max(initial=0))):
+            m = active[t]
+            got = table[state[:m] * self.kinds + grid[t, :m]]
+            if t:
+                ends[:m] += got & 1
+            trail[t, :m] = got
+            np.right_shift(got, 1, out=state[:m])
+        entered = np.zeros(n, np.int32)
+        while True:
+            left = np.where(before >= 0, trail[length[before] - 1, before] >> 1, 0)
+            at = np.flatnonzero((left != entered) & (before >= 0))
+            if not len(at):
+                return ends
+            first = entered[at] == 0  # what was parsed as the beginning of a text had no phrase end at its first byte
+            entered[at] = left[at]
+            now, t = left[at], 0
+            while len(at):
+                got = table[now * self.kinds + grid[t, at]]
+                old = trail[t, at]
+                ends[at] += (got & 1) - (old & 1 if t else np.where(first, 0, old & 1))
+                trail[t, at] = got
+                t += 1
+                on = (got >> 1 != old >> 1) & (length[at] > t)
+                at, now, first = at[on], got[on] >> 1, first[on]
+
 
 def sample_texts(docs: DataFrame, docs_each: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, size: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """Folded text learnt for each language: a bounded sample outside the held-out fold; whole documents by hash."""
@@ -134,11 +163,11 @@ def sample_texts(docs: DataFrame, docs_each: int = SAMPLE_DOCS, chars: int = SAM
     chance = (F.xxhash64("doc_id") % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.join(small(share, 10_000), "lang").where(chance < F.col("share")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_each).select("doc_id", "lang", "place")
-    rows = texts(docs).where(F.length("text") <= chars).join(F.broadcast(ids), "doc_id").dropDuplicates(["lang", "place"]).collect()
+    rows = keyed(docs).where(F.length("text") <= chars).join(F.broadcast(ids), "doc_id").groupBy("lang", "place").agg(F.min(F.struct("k1", "k2", "text")).alias("x")).collect()
     out: dict[str, bytes] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.place)):
         if len(out.get(r.lang, b"")) < size:
-            out[r.lang] = out.get(r.lang, b"") + folded(r.text.encode()) + b" "
+            out[r.lang] = out.get(r.lang, b"") + folded(r.x.text.encode()) + b" "
     return {k: v for k, v in out.items() if v.strip()}
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import arrow_limits, byte_values, per_row, span_hash, steps, texts, word_bounds
+from folioscan.llm.common import arrow_limits, byte_values, keyed, per_row, span_hash, steps, texts, word_bounds
 from folioscan.llm.crf import Chain, fit, marginals
 
 #: The fitting sample: labelled documents of up to so many characters, those of least hash.
@@ -97,8 +97,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, chars:
     sample carries its document's label."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = texts(docs).where(F.length("text") <= chars).join(F.broadcast(ids), "doc_id").limit(2 * sample).collect()
-    rows = sorted(((r.doc_id, r.quality, r.text.encode()) for r in rows))
+    # one text of each id, that of least key, so that repeated ids neither add rows nor leave the choice to chance
+    rows = keyed(docs).where(F.length("text") <= chars).join(F.broadcast(ids.distinct()), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("k1", "k2", "text")).alias("x")).collect()
+    rows = sorted(((r.doc_id, r.quality, r.x.text.encode()) for r in rows))
     if not rows:
         return None
     data, offsets = np.frombuffer(b"".join(r[2] for r in rows), np.uint8), np.cumsum([0, *(len(r[2]) for r in rows)])
