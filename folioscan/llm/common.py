@@ -51,11 +51,11 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Arrow batches by bytes as well as rows, so that a run of long documents stays small in a worker. A limit of the
-    session that is smaller stays."""
+    """Arrow batches by bytes as well as rows, so that a run of long documents stays small in a worker. The setting has
+    to hold when the plan runs, so it stays in the session; a smaller one that was set in bytes is kept."""
     name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
-    own = spark.conf.get(name, "")
-    if not own.isdigit() or int(own) > most:
+    own = spark.conf.get(name).lower().rstrip("b")
+    if not (own.isdigit() and 0 < int(own) <= most):
         spark.conf.set(name, str(most))
 
 

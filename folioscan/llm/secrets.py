@@ -1,13 +1,16 @@
 """Secret scanning: patterns, and a linear-chain CRF that tags tokens as begin, inside or outside of a secret.
 
 Token shape, neighbouring words and features of the file feed the chain; each line is decoded by Viterbi. The chain
-learns from a bounded sample in which the patterns mark the secrets, so it also finds values of that shape and
-neighbourhood that no pattern covers.
+learns from a bounded sample in which the patterns mark the secrets. Beside each document it sees copies from which
+what the patterns go by is withheld: the keyword or the assignment is gone, the value has another shape, and numbers,
+names and prose that only look alike are strewn in. So it does not imitate the patterns.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import arrow_limits, byte_values, per_row, span_hash, steps, texts
+from folioscan.llm.common import arrow_limits, byte_values, keyed, per_row, span_hash, steps, texts
 from folioscan.llm.crf import Chain, fit, viterbi
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -24,10 +27,16 @@ ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 OUTSIDE, BEGIN, INSIDE = range(3)
-#: The fitting sample: documents of up to so many characters with and without a pattern, least hash first, and lines of each.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LINES = 150, 20_000, 700
-#: What the chain adds has so many characters, both letters and digits, and one token of such a length.
-LEAST_TOKEN = 8
+#: The fitting sample: documents of up to so many characters with and without a pattern, least hash first, copies with
+#: the patterns' features withheld, and lines of each kind.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_COPIES, SAMPLE_LINES = 150, 20_000, 3, 600
+#: What the copies are made of: keywords, what stands between one and its value, and what is no secret.
+KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "API_KEY", "Password")
+BETWEEN = (" is ", ": ", " ", " -> ", " was ", " (", "=", ' = "')
+HARMLESS = (
+    "2024-05-17", "10:45", "v1.12.3", "0.0012345", "https://www.example.com/page/12", "report_final_2023.pdf", "HelloWorldClass", "A4-B7", "user.name42@mail.example.com", "id = 42", 'name = "value"', "a token of thanks", "the secret garden",
+    "the password must be long", "api_key: none", "token economy", "no secret: nothing", "snake_case_name", "README.md", "and/or", "1,234,567.89", "192.168.10.4", "+1 (555) 010-2030", "UTF-8", "ISO 9001", "3rd", "x = y + 1",
+)
 _SPACE, _WORD, _MARK = range(3)
 _CLASS = np.full(256, _MARK, np.uint8)
 _CLASS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_/+.-")] = _WORD
@@ -142,37 +151,92 @@ def point_counts(data: np.ndarray) -> np.ndarray:
     return total
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, most_lines: int = SAMPLE_LINES) -> Chain | None:
-    """A chain fitted to the patterns' marks in a bounded sample; None if no secret is in it."""
-    some = texts(docs).where((F.length("text") <= chars) & F.col("doc_id").isNotNull())
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+def made_value(r: random.Random, short: bool) -> str:
+    """A random value of some usual shape; a short one has letters of both cases and digits."""
+    low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    if short:
+        out = [r.choice(low), r.choice(up), r.choice(dig), r.choice(dig), *r.choices(low + up + dig, k=r.randint(5, 12))]
+        r.shuffle(out)
+        return "".join(out)
+    letters, sizes = r.choice([(low + up + dig, (20, 44)), (low + dig, (20, 40)), (up + dig, (20, 32)), (low + up + dig + "+/", (24, 60)), (low + up + dig + "-_", (22, 43)), ("0123456789abcdef", (24, 64)), ("0123456789ABCDEF", (32, 64))])
+    return r.choice(["", "", "", "sk_", "key-", "ghp_"]) + "".join(r.choices(letters, k=r.randint(*sizes)))
+
+
+def withheld(text: str, values: list[tuple[int, int, int]], r: random.Random) -> tuple[str, list[tuple[int, int]]]:
+    """text with each match (its start, its value's start, its stop) replaced by a value without what the pattern goes
+    by, and with harmless things strewn in; the values' places."""
+    out, places, at, size = [], [], 0, 0
+
+    def put(x: str) -> None:
+        nonlocal size
+        out.append(x)
+        size += len(x)
+
+    def plain(x: str) -> None:
+        words = x.split(" ")
+        for k in sorted(r.sample(range(len(words)), min(len(words), r.randint(0, 3))), reverse=True):
+            words.insert(k, r.choice([*HARMLESS, "".join(r.choices(string.digits, k=r.randint(3, 19)))]))
+        put(" ".join(words))
+
+    for start, _, stop in values:
+        if start < at:
+            continue
+        plain(text[at:start])
+        style = r.randrange(3)
+        if style == 0:  # a keyword, but no pattern of it
+            put(r.choice(KEYWORDS) + r.choice(BETWEEN))
+        elif style == 1:  # an assignment without a keyword
+            put(r.choice(["value", "x", "auth", "cfg", "header", "login"]) + r.choice([" = ", ": ", '="', " := '"]))
+        put(" " * (style == 2))
+        value = made_value(r, style == 0 and r.random() < 0.6)
+        places.append((size, size + len(value)))
+        put(value)
+        put(r.choice([" ", " ", '" ', ". ", ", "]))
+        at = stop
+    plain(text[at:])
+    return "".join(out), places
+
+
+def sample_texts(docs: DataFrame, sample: int, chars: int) -> list[str]:
+    """Texts of up to so many characters, each once: those of least key that a pattern may match, and of all."""
+    some = keyed(docs).where(F.length("text") <= chars)
     hit = some.where(F.rlike(F.col("text"), F.lit(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}")))
-    ids = hit.select("doc_id").orderBy(*order).limit(sample).unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").orderBy(*order).limit(sample)).distinct()
-    found = sorted({(r.doc_id, r.text) for r in some.join(F.broadcast(ids), "doc_id").limit(4 * sample).collect()})
-    raw = [t.encode() for _, t in found]
+    keys = hit.select("k1", "k2").distinct().orderBy("k1", "k2").limit(sample).unionByName(some.select("k1", "k2").distinct().orderBy("k1", "k2").limit(sample)).distinct()
+    rows = some.join(F.broadcast(keys), ["k1", "k2"]).groupBy("k1", "k2").agg(F.min("text").alias("text")).collect()
+    return [r.text for r in sorted(rows)]
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, copies: int = SAMPLE_COPIES, most_lines: int = SAMPLE_LINES) -> Chain | None:
+    """A chain fitted to a bounded sample and its copies; None if no secret is in it. The same texts give the same
+    chain, in whatever order and however often they stand in docs."""
+    r, made = random.Random(5), []
+    for text in sample_texts(docs, sample, chars):
+        values = [(start, ASSIGN.match(text, start).start(2) if kind == 0 else start, stop) for start, kind, stop in base_spans(text)]
+        made.append((text, [(b, c) for _, b, c in values]))
+        made += [withheld(text, values, r) for _ in range(copies if values else 0)]
+    raw = [t.encode() for t, _ in made]
     data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
     if not len(data):
         return None
     starts, stops, lines, rows = tokens(data, offsets)
     points = point_counts(data)
     state = np.zeros(len(starts), np.int8)
-    for i, (_, text) in enumerate(found):
-        low = points[offsets[i]]
+    for i, (_, places) in enumerate(made):
         a, b = rows[i], rows[i + 1]
-        at = points[starts[a:b]] - low
-        for start, kind, stop in base_spans(text):
-            if kind == 0:
-                start = ASSIGN.match(text, start).start(2)
+        at = points[starts[a:b]] - points[offsets[i]]
+        for start, stop in places:
             j, k = np.searchsorted(at, [start, stop])
             state[a + j : a + k] = INSIDE
             state[a + j : a + j + 1] = BEGIN
     if not (state == BEGIN).any():
         return None
-    x = features(data, starts, stops, lines, rows)
     marked = np.add.reduceat(state > 0, lines[:-1]) > 0
-    take = np.sort(np.concatenate([np.flatnonzero(marked)[:most_lines], np.flatnonzero(~marked)[:most_lines]]))
+    pick = np.random.default_rng(5)
+    few = lambda x, n: x if len(x) <= n else pick.choice(x, n, replace=False)
+    take = np.sort(np.concatenate([few(np.flatnonzero(marked), 2 * most_lines), few(np.flatnonzero(~marked), 2 * most_lines)]))
     at = np.concatenate([np.arange(lines[i], lines[i + 1]) for i in take.tolist()])
-    return fit(x[at].astype(np.float64), state[at], np.cumsum([0, *np.diff(lines)[take]]), 3, rounds=80)
+    x = features(data, starts, stops, lines, rows)
+    return fit(x[at].astype(np.float64), state[at], np.cumsum([0, *np.diff(lines)[take]]), 3, rounds=120)
 
 
 def likeliest(unary: np.ndarray, step: np.ndarray, lines: np.ndarray) -> np.ndarray:
@@ -206,19 +270,16 @@ def chain_spans(chain: Chain, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     while grow.any():
         last[grow] += 1
         grow &= inside[last + 1]
-    digit, letter = ((data >= 48) & (data <= 57)), ((_LOWERED[data] >= 97) & (_LOWERED[data] <= 122))
-    d, c = (np.concatenate([[0], np.cumsum(f)]) for f in (digit, letter))
     a, b = starts[begin], stops[last]
-    longest = np.array([int((stops[i : j + 1] - starts[i : j + 1]).max()) for i, j in zip(begin.tolist(), last.tolist())], np.int64)
-    ok = (d[b] > d[a]) & (c[b] > c[a]) & (longest >= LEAST_TOKEN)
-    return np.searchsorted(offsets, a[ok], "right") - 1, a[ok], b[ok]
+    return np.searchsorted(offsets, a, "right") - 1, a, b
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, spans [(start, kind, stop)] in code points, by start, then kind.
 
-    The patterns' spans come as they are; the chain's are added where they overlap none of them. Null and empty texts
-    have none; repeated rows each get theirs; without a secret in the sample there is no chain and nothing is added.
+    The patterns' spans come as they are, and all that the chain finds, of kind `crf`, whether a pattern has it too or
+    not. Null and empty texts have none; repeated rows each get theirs; without a secret in the sample there is no chain
+    and nothing is added; other columns play no part.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
@@ -236,8 +297,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 points = point_counts(data)
                 low = points[offsets[row]]
                 for i, a, b in zip(row.tolist(), (points[start] - low).tolist(), (points[stop] - low).tolist()):
-                    if not any(s < b and a < e for s, k, e in out[i] if k < 3):
-                        out[i].append((a, 3, b))
+                    out[i].append((a, 3, b))
             out = [sorted(x) for x in out]
             flat = [s for x in out for s in x]
             parts = [pa.array([s[k] for s in flat], pa.int32()) for k in range(3)]
@@ -248,10 +308,12 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Counts of the patterns' matches in each row of docs, SHA-256 of their rendered spans, and all spans rendered."""
-    spans = F.col("spans")
+    """Counts of the patterns' matches in each row of docs, SHA-256 of their rendered spans, all spans rendered, and
+    counts of what the chain finds and of what it alone finds."""
+    spans = F.col("found")
     name = lambda s: F.get(F.array(*map(F.lit, KINDS)), s["kind"])
     rendered = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", name(s), s["start"], s["stop"])), ",")
     count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
     base = F.filter(spans, lambda s: s["kind"] < 3)
-    return scan(docs).select("doc_id", *(count(k).alias(f"n_{n}") for k, n in enumerate(KINDS[:3])), F.sha2(rendered(base).cast("binary"), 256).alias("base_sha256"), rendered(spans).alias("spans"))
+    alone = F.size(F.filter(spans, lambda s: (s["kind"] == 3) & ~F.exists(spans, lambda o: (o["kind"] < 3) & (o["start"] < s["stop"]) & (s["start"] < o["stop"])))).cast("long")
+    return scan(docs).withColumnRenamed("spans", "found").select("doc_id", *(count(k).alias(f"n_{n}") for k, n in enumerate(KINDS[:3])), F.sha2(rendered(base).cast("binary"), 256).alias("base_sha256"), rendered(spans).alias("spans"), count(3).alias("n_crf"), alone.alias("n_crf_alone"))
