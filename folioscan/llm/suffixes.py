@@ -2,11 +2,14 @@
 
 Every window of `width` bytes has one anchor, the k-byte string in it of least hash (the leftmost of equals), so equal
 windows have equal anchors at equal places. An anchor and the windows that it stands for span a context of less than
-twice the width. Contexts that are equal as a whole are counted, and no byte of them is moved; what is left, contexts
-of an anchor that differ somewhere, is compared by suffix sorting: the bytes right of the anchors and, reversed, left
-of them are ordered by deep-shallow sorting (multikey quicksort to a shallow depth, then blind tries for groups that
-share more), and the common prefixes of neighbours say which windows are equal. Anchors with very many different
-contexts are compared by 128-bit digests of their windows instead, which needs no group in one place.
+twice the width. All contexts of an anchor that stands twice or more go through one sort: the suffixes that begin at
+the anchors and, reversed, what precedes them are ordered by deep-shallow sorting (multikey quicksort to a shallow
+depth, then blind tries for groups that share more), and the common prefixes of neighbours say which windows are equal.
+
+Contexts of one 128-bit digest are one suffix with a count before anything is moved, so copies of a text, however many,
+cost one. An anchor of very many different contexts (a license line between other texts) is lengthened by the bytes
+that half of its windows share to the right, and the other half to the left, again and again, until each group of
+contexts fits a task; all of them end in the same sort.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import arrow_limits, byte_values, matched, mixed, per_row, saved, steps, texts, window_hash
+from folioscan.llm.common import arrow_limits, byte_values, keyed, matched, mixed, per_row, saved, steps, window_hash
 
 WIDTH, ANCHOR_LOG2 = 200, 5
-#: Depth in bytes of the quicksort; contexts compared at a time; from so many contexts of an anchor on, digests are used.
-SHALLOW, AT_ONCE, MOST_CONTEXTS = 64, 40_000, 30_000
+#: Depth in bytes of the quicksort; contexts compared at a time; from so many contexts of an anchor on, it is lengthened.
+SHALLOW, AT_ONCE, MOST_CONTEXTS = 64, 40_000, 8_000
 _VALUES = byte_values(9)
 
 
@@ -61,25 +64,32 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, anchor_lo
 
 def shallow_sort(rows: np.ndarray, group: np.ndarray, depth: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """(order, group in that order) of equal-sized byte strings by group and their first `depth` bytes: multikey
-    quicksort, in which each pass orders the groups that still hold several rows by their next eight bytes."""
+    quicksort. A pass splits every part of several rows by one word of eight bytes into less than, equal to and greater
+    than its pivot (the median of three); the equal ones go on with their next word. All parts are split side by side."""
     order = np.argsort(group, kind="stable")
-    group = group[order]
-    word = np.ascontiguousarray(rows[:, : depth // 8 * 8]).view(">u8")
-    for k in range(word.shape[1]):
-        new = np.concatenate([[True], group[1:] != group[:-1]])
-        group = np.cumsum(new) - 1
-        several = np.flatnonzero(np.bincount(group)[group] > 1)
-        if not len(several):
+    word = np.ascontiguousarray(rows[:, : depth // 8 * 8]).view(">u8").astype(np.uint64)
+    part = np.cumsum(np.concatenate([[False], group[order][1:] != group[order][:-1]])) if len(order) else order
+    at_word = np.zeros(len(order), np.int64)  # of the row in this place
+    while len(order):
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        size = np.diff(np.concatenate([first, [len(part)]]))
+        open_ = (size > 1) & (at_word[first] < word.shape[1])
+        if not open_.any():
             break
-        value = word[order[several], k].astype(np.uint64)
-        by = np.lexsort((value, group[several]))
-        order[several] = order[several][by]
-        value = value[by]
-        split = np.zeros(len(group), np.int64)
-        split[several[1:]] = (value[1:] != value[:-1]) & (group[several[1:]] == group[several[:-1]])
-        new |= split > 0
-        group = np.cumsum(new) - 1
-    return order, group
+        at, n = np.flatnonzero(np.repeat(open_, size)), size[open_]
+        value = word[order[at], at_word[at]]
+        begin = np.cumsum(n) - n
+        pivot = np.sort(np.stack([value[begin], value[begin + n // 2], value[begin + n - 1]]), axis=0)[1]
+        side = (value > np.repeat(pivot, n)).astype(np.int64) + (value >= np.repeat(pivot, n))
+        key = 3 * np.repeat(np.arange(len(n)), n) + side
+        by = np.argsort(key, kind="stable")
+        order[at], at_word[at] = order[at][by], at_word[at][by] + (side[by] == 1)
+        # parts are numbered anew: they begin where they did, or where the side changes
+        new = np.zeros(len(part), bool)
+        new[first] = True
+        new[at[1:]] |= key[by][1:] != key[by][:-1]
+        part = np.cumsum(new) - 1
+    return order, part
 
 
 def blind_trie_order(strings: list[bytes]) -> list[int]:
@@ -134,21 +144,30 @@ def deep_shallow_sort(rows: np.ndarray, group: np.ndarray, depth: int = SHALLOW)
     return order, shared
 
 
-def equal_windows(group: np.ndarray, texts_: list[bytes], off: np.ndarray, count: np.ndarray, width: int = WIDTH, anchor_log2: int = ANCHOR_LOG2) -> np.ndarray:
+def equal_windows(group: np.ndarray, texts_: list[bytes], off: np.ndarray, lo: np.ndarray, hi: np.ndarray, copies: np.ndarray, width: int = WIDTH, anchor_log2: int = ANCHOR_LOG2) -> np.ndarray:
     """found[i, o]: the window of context i that starts o bytes before its anchor equals one of another context of the
-    same group. off: where the anchor is in the context; count: windows of the context, the first at its start."""
+    same group, or of a copy of i. off: where the anchor is in the context; o runs from lo to hi. Contexts that are
+    alone in their group have nothing to be ordered among."""
     n, reach = len(texts_), width - (1 << anchor_log2)
+    found = np.zeros((n, reach + 1), bool)
+    every = np.arange(reach + 1)
+    found[copies > 1] = (every >= lo[copies > 1, None]) & (every <= hi[copies > 1, None])
+    _, which, size = np.unique(group, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(size[which] > 1)
+    if not len(some):
+        return found
+    group, off, lo, hi, n = group[some], off[some], lo[some], hi[some], len(some)
     right, left = np.zeros((n, width), np.uint8), np.zeros((n, -(-reach // 8) * 8), np.uint8)
-    for i, (t, k) in enumerate(zip(texts_, off.tolist())):
-        x = np.frombuffer(t, np.uint8)
-        right[i, : len(x) - k] = x[k:]
-        left[i, :k] = x[:k][::-1]
+    for i, (k, a) in enumerate(zip(some.tolist(), off.tolist())):
+        x = np.frombuffer(texts_[k], np.uint8)
+        ahead, back = x[a : a + width], x[max(0, a - reach) : a][::-1]
+        right[i, : len(ahead)] = ahead
+        left[i, : len(back)] = back
     r_order, r_shared = deep_shallow_sort(right, group)
     l_order, l_shared = deep_shallow_sort(left, group)
-    found = np.zeros((n, reach + 1), bool)
     l_class, r_class = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(reach + 1):
-        own = np.flatnonzero((off - count < o) & (o <= off))
+        own = np.flatnonzero((lo <= o) & (o <= hi))
         if len(own) < 2:
             continue
         l_class[l_order] = np.cumsum(l_shared < o)
@@ -156,16 +175,16 @@ def equal_windows(group: np.ndarray, texts_: list[bytes], off: np.ndarray, count
         key = l_class[own] * (n + 1) + r_class[own]
         by = np.argsort(key)
         same = key[by][1:] == key[by][:-1]
-        found[own[by[1:][same]], o] = True
-        found[own[by[:-1][same]], o] = True
+        found[some[own[by[1:][same]]], o] = True
+        found[some[own[by[:-1][same]]], o] = True
     return found
 
 
-_ROW = "doc_id long, row int"
+_ROW = "id long, row long"
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """(h, c, doc_id, row, place) of every context: hashes of the anchor and of the context; place packs the first
+    """(h, c, id, row, place) of every context: hashes of the anchor and of the context; place packs the first
     window's start, the number of windows and the anchor's offset. h and c together are 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,100 +198,135 @@ def _occurrences(rows: DataFrame) -> DataFrame:
             of = np.searchsorted(offsets, first, "right") - 1
             place = ((first - offsets[of]) << 16) | ((last - first + 1) << 8) | (at - first)
             take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), part.column(0).take(take), part.column(1).take(take), pa.array(place)], ["h", "c", "doc_id", "row", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), part.column(0).take(take), part.column(1).take(take), pa.array(place)], ["h", "c", "id", "row", "place"])
 
     return rows.mapInArrow(run, f"h long, c long, {_ROW}, place long")
 
 
-def _contexts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[dict]]]:
-    for i, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-        yield i, text.encode(), wanted
+#: A context: its anchor (h) and own hash (c), how often it stands (n), one place of it, its group (g: the anchor, until
+#: that is lengthened), the bytes that all contexts of the group share left and right of the anchor's start (a, b), the
+#: windows looked at (those that start lo to hi bytes before the anchor).
+_PIECE = f"{_ROW}, g long, h long, c long, n long, place long, a int, b int, lo int, hi int, piece binary"
+_PIECE_NAMES = ["id", "row", "g", "h", "c", "n", "place", "a", "b", "lo", "hi", "piece"]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts out of texts: rows (id, row, text, wanted) to pieces. What stands alone needs no bytes."""
+    for batch in batches:
+        out = []
+        for i, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            data = text.encode()
+            for x in wanted:
+                at, count, off = x["place"] >> 16, (x["place"] >> 8) & 255, x["place"] & 255
+                out.append((i, x["h"], x["c"], x["n"], x["place"], off - count + 1, off, data[at : at + count - 1 + WIDTH] if x["kinds"] > 1 else b""))
+        if not out:
+            continue
+        of, h, c, n, place, lo, hi, piece = zip(*out)
+        take, long, small = pa.array(of), pa.int64(), pa.int32()
+        shared = pa.array([0] * len(of), small), pa.array([1 << ANCHOR_LOG2] * len(of), small)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, long) for x in (h, h, c, n, place)), *shared, pa.array(lo, small), pa.array(hi, small), pa.array(piece, pa.binary())], _PIECE_NAMES)
+
+
+def _lengthen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each piece in two groups: windows that start at most m bytes before the anchor share the bytes up to width - m
+    behind its start, the others share m + 1 bytes before it; m halves what is left."""
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        out = []
+        for i, r in enumerate(batch.to_pylist()):
+            off, a, b, piece = r["place"] & 255, r["a"], r["b"], r["piece"]
+            m = a + (WIDTH - a - b) // 2
+            for side, (lo, hi, a2, b2) in enumerate(((r["lo"], min(r["hi"], m), a, WIDTH - m), (max(r["lo"], m + 1), r["hi"], m + 1, b))):
+                if lo <= hi:
+                    key = digest(piece[off - a2 : off + b2], seed=(r["g"] + side) % (1 << 64))
+                    out.append((i, key - (1 << 64) if key >> 63 else key, a2, b2, lo, hi))
+        if not out:
+            continue
+        of, g, *limits = zip(*out)
+        columns = [x.take(pa.array(of)) for x in batch.columns]
+        columns[2] = pa.array(g, pa.int64())
+        columns[7:11] = [pa.array(x, pa.int32()) for x in limits]
+        yield pa.RecordBatch.from_arrays(columns, _PIECE_NAMES)
+
+
+def _large(pieces: DataFrame, most: int) -> DataFrame:
+    return pieces.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= most).select("g")
+
+
+def _sorted(pieces: DataFrame) -> DataFrame:
+    return pieces.repartition("g").sortWithinPartitions("g").mapInArrow(_compare, _EQUAL)
+
+
+_EQUAL = f"h long, c long, {_ROW}, start long, stop long, copies boolean"
+
+
+def _equal(pieces: DataFrame, kinds: DataFrame) -> DataFrame:
+    """What `_compare` finds in pieces. Counts of kinds say which anchors have too many contexts for one task; their
+    pieces are put into groups of longer anchors, round by round, until every group fits."""
+    many = kinds.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") >= MOST_CONTEXTS).select(F.col("h").alias("g"))
+    if many.isEmpty():
+        return _sorted(pieces)
+    out, rest = _sorted(matched(pieces, many, ["g"], "left_anti")), matched(pieces, many, ["g"])
+    while True:
+        rest = saved(rest.mapInArrow(_lengthen, _PIECE))
+        # with all of a window's bytes in the anchor, the windows of a group are one string
+        whole = rest.where(F.col("a") + F.col("b") >= WIDTH)
+        start = F.shiftright("place", 16) + F.col("place").bitwiseAND(F.lit(255)) - F.col("lo")
+        out = out.unionByName(matched(whole, _large(whole, 2), ["g"]).select("h", "c", "id", "row", start.alias("start"), (start + WIDTH).alias("stop"), (F.col("n") > 1).alias("copies")))
+        rest = rest.where(F.col("a") + F.col("b") < WIDTH)
+        many = saved(_large(rest, MOST_CONTEXTS))
+        out = out.unionByName(_sorted(matched(rest, many, ["g"], "left_anti")))
+        if many.isEmpty():
+            return out
+        rest = matched(rest, many, ["g"])
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rows (doc_id, row, text) of docs, where row tells rows of one doc_id apart by their text; spans
-    (doc_id, row, start, stop) of bytes that repeated windows cover, which may overlap."""
+    """(rows, spans): rows (id, row, doc_id, text) of docs, where id and row, 128 bits, tell rows apart by doc_id and
+    text; spans (id, row, start, stop) of bytes that repeated windows cover, which may overlap."""
     arrow_limits(docs.sparkSession)
-    rows = texts(docs).select("doc_id", F.hash("text").alias("row"), "text")
-    every = _occurrences(rows)
+    rows = keyed(docs).select(F.coalesce("doc_id", "k2").alias("id"), F.col("k1").alias("row"), "doc_id", "text")
+    every = _occurrences(rows.select("id", "row", "text"))
     often = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     again = saved(matched(every, often, ["h"]))
-    kinds = again.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "place")).alias("one"))
+    kinds = again.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "place")).alias("one"))
     variants = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
-    whole = matched(again, kinds.where("n > 1").select("h", "c"), ["h", "c"])
+    # one of each kind, with its bytes
+    wanted = kinds.join(variants, "h").select("h", "c", "n", "kinds", "one.*").groupBy("id", "row").agg(F.collect_list(F.struct("h", "c", "n", "place", "kinds")).alias("wanted")).hint("shuffle_hash")
+    pieces = rows.join(wanted, ["id", "row"]).select("id", "row", "text", "wanted").mapInArrow(_cut, _PIECE)
+    equal = saved(_equal(pieces, kinds))
+    # a context that stands more than once is removed wherever it stands
     start = F.shiftright("place", 16)
-    spans = whole.select("doc_id", "row", start.alias("start"), (start + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + (WIDTH - 1)).alias("stop"))
-    # contexts that differ: one of each kind, with its bytes
-    wanted = kinds.join(variants.where("kinds > 1"), "h").select("h", "n", "kinds", "one.*").groupBy("doc_id", "row").agg(F.collect_list(F.struct("h", "n", "place", (F.col("kinds") >= MOST_CONTEXTS).alias("many"))).alias("wanted"))
-    on = lambda x: [rows.doc_id.eqNullSafe(x.doc_id), rows.row == x.row]
-    held = rows.join(wanted.hint("shuffle_hash"), on(wanted)).select(rows.doc_id, rows.row, "text", "wanted")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, text, asked in _contexts(batch):
-                for x in asked:
-                    lo, count = x["place"] >> 16, (x["place"] >> 8) & 255
-                    out.append((i, x["h"], x["n"], x["place"], x["many"], text[lo : lo + count - 1 + WIDTH]))
-            if not out:
-                continue
-            of, h, n, place, many, piece = zip(*out)
-            take = pa.array(of)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(place, pa.int64()), pa.array(many), pa.array(piece, pa.binary())],
-                ["doc_id", "row", "h", "n", "place", "many", "piece"],
-            )
-
-    pieces = held.mapInArrow(cut, f"{_ROW}, h long, n long, place long, many boolean, piece binary")
-    few = pieces.where("not many").repartition("h").sortWithinPartitions("h").mapInArrow(_compare, f"{_ROW}, start long, stop long")
-    windows = pieces.where("many").mapInArrow(_windows, f"d1 long, d2 long, {_ROW}, n long, start long")
-    twice = windows.groupBy("d1", "d2").agg(F.count("*").alias("copies")).where("copies > 1").select("d1", "d2")
-    many = matched(windows, twice, ["d1", "d2"]).where("n = 1").select("doc_id", "row", "start", (F.col("start") + WIDTH).alias("stop"))
-    return rows, spans.unionByName(few).unionByName(many)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of every window of a context."""
-    digest = xxhash.xxh3_128_digest
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2000):
-            part = batch.slice(i, 2000)
-            place = part.column(4).to_numpy(zero_copy_only=False)
-            count = (place >> 8) & 255
-            halves = np.frombuffer(b"".join([digest(t[k : k + WIDTH]) for t, c in zip(part.column(6).to_pylist(), count.tolist()) for k in range(c)]), np.int64).reshape(-1, 2)
-            of = np.repeat(np.arange(len(count)), count)
-            take, step = pa.array(of), np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), part.column(0).take(take), part.column(1).take(take), part.column(3).take(take), pa.array((place >> 16)[of] + step)],
-                ["d1", "d2", "doc_id", "row", "n", "start"],
-            )
+    whole = matched(again, equal.where("copies").select("h", "c").distinct(), ["h", "c"])
+    spans = whole.select("id", "row", start.alias("start"), (start + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + (WIDTH - 1)).alias("stop"))
+    return rows, spans.unionByName(equal.where("not copies").select("id", "row", "start", "stop"))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of equal windows in contexts that come in the order of h; whole groups of about AT_ONCE at a time."""
+    """Spans of equal windows in pieces that come in the order of g; whole groups of about AT_ONCE at a time. A context
+    that stands more than once gives one row, without a place."""
     held: list[pa.RecordBatch] = []
 
     def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = pa.Table.from_batches(parts).combine_chunks()
-        h, place, n = (x[k].to_numpy() for k in ("h", "place", "n"))
-        group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
+        g, place, n, lo, hi = (x[k].to_numpy() for k in ("g", "place", "n", "lo", "hi"))
+        group = np.cumsum(np.concatenate([[0], g[1:] != g[:-1]]))
         off = place & 255
-        found = equal_windows(group, x["piece"].to_pylist(), off, (place >> 8) & 255)
-        found &= (n == 1)[:, None]  # a kind that occurs twice is covered as a whole
+        found = equal_windows(group, x["piece"].to_pylist(), off, lo, hi, n)
         edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         i, first = np.nonzero(edge == 1)
         last = np.nonzero(edge == -1)[1] - 1
         at = (place >> 16)[i] + off[i]
         if len(i):
             take = pa.array(i)
-            yield pa.RecordBatch.from_arrays([x["doc_id"].combine_chunks().take(take), x["row"].combine_chunks().take(take), pa.array(at - last), pa.array(at - first + WIDTH)], ["doc_id", "row", "start", "stop"])
+            yield pa.RecordBatch.from_arrays([*(x[k].combine_chunks().take(take) for k in ("h", "c", "id", "row")), pa.array(at - last), pa.array(at - first + WIDTH), pa.array(n[i] > 1)], ["h", "c", "id", "row", "start", "stop", "copies"])
 
     rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        h = batch.column(2).to_numpy(zero_copy_only=False)
-        new = np.flatnonzero(np.concatenate([[bool(held) and held[-1].column(2)[-1].as_py() != h[0]], h[1:] != h[:-1]]))
+        g = batch.column(2).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(np.concatenate([[bool(held) and held[-1].column(2)[-1].as_py() != g[0]], g[1:] != g[:-1]]))
         if rows + batch.num_rows >= AT_ONCE and len(new):
             cut = int(new[-1])
             yield from done([*held, batch.slice(0, cut)])
@@ -288,11 +342,12 @@ def without_repeats(docs: DataFrame, texts_too: bool = False) -> DataFrame:
 
     A byte is removed if a string of 200 bytes that covers it also starts elsewhere, in this text or another row's;
     all copies go, as judged on the input. Null and empty texts have no bytes; texts under 200 bytes keep all theirs;
-    rows that repeat are copies of each other; an empty table gives an empty result.
+    rows that repeat are copies of each other; rows that share a doc_id, or have none, are told apart by their text;
+    other columns play no part; an empty table gives an empty result.
     """
     rows, spans = repeated_spans(docs)
-    gone = spans.groupBy("doc_id", "row").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
-    both = rows.join(gone.hint("shuffle_hash"), [rows.doc_id.eqNullSafe(gone.doc_id), rows.row == gone.row], "left").select(rows.doc_id, "text", "start", "stop")
+    gone = spans.groupBy("id", "row").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
+    both = rows.join(gone.hint("shuffle_hash"), ["id", "row"], "left").select("doc_id", "text", "start", "stop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in steps(batches, most=1 << 20):
