@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioscan.llm import bpe, chunking, components, crf, langid, pii, pii_sql, quality, queries, rules, secrets, simhash, suffixes
+from folioscan.llm import bpe, chunking, components, crf, decontaminate, langid, pii, pii_sql, quality, queries, rules, secrets, simhash, suffixes
 from tests.oracle import compare, connection
 
 ENCODING = None
@@ -31,6 +31,45 @@ def test_ten_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
 
 
+# op1
+def test_windows_need_no_alignment(spark):
+    """An item with its halves swapped, truncated at either end, moved, edited; and recall by similarity."""
+    r = random.Random(31)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(4000)]
+    make = lambda n: [r.choice(words) for _ in range(n)]
+    item = make(120)
+    docs = [(1, make(30) + item[60:] + item[:60] + make(40)), (2, make(200)), (3, item[:100]), (4, make(7) + item[20:]), (5, item[40:80] + item[:40] + item[80:])]
+    items, want = [(1, " ".join(item))], {}
+    for k in range(400):
+        own, edited = make(r.randint(20, 90)), []
+        for w in own:
+            edited += [w] if r.random() > 0.03 else [r.choice(words)]
+        items.append((100 + k, " ".join(own)))
+        text = make(r.randint(0, 50)) + edited + make(r.randint(0, 50))
+        docs.append((1000 + k, text))
+        grams = lambda x: [tuple(x[i : i + 5]) for i in range(len(x) - 4)]
+        a, all_ = set(grams(own)), grams(text)
+        n = len(grams(own))
+        want[1000 + k] = max(2 * len(a & set(all_[max(s, 0) : s + n])) / (len(a) + len(set(all_[max(s, 0) : s + n]))) for s in range(-n + 1, len(all_)))
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.contaminated(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got[1, 1] > 0.96 and got[3, 1] > 0.9 and got[4, 1] > 0.9 and got[5, 1] > 0.9 and not [i for i, _ in got if i == 2]
+    near = [i for i, x in want.items() if x >= 0.8]
+    assert len(near) > 100 and sum((i, i - 900) in got for i in near) >= 0.99 * len(near)
+    assert all(abs(got[i, i - 900] - want[i]) < 1e-6 for i in near if (i, i - 900) in got)
+
+
+def test_index_finds_all_within_the_radius(spark):
+    r = random.Random(2)
+    a = [r.getrandbits(64) for _ in range(20)]
+    b = [(k, x ^ sum(1 << i for i in r.sample(range(64), n))) for k, x in enumerate(a) for n in (0, 8, decontaminate.RADIUS)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    index = decontaminate.multi_index(spark.createDataFrame([(k, signed(x)) for k, x in enumerate(a)], "item_id long, item_fp long"))
+    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("block"), decontaminate.block_value(F.col("fp"), low, width).alias("value")) for k, (low, width) in enumerate(decontaminate.blocks())))).alias("key")
+    probes = spark.createDataFrame([(i, k, signed(x)) for i, (k, x) in enumerate(b)], "i long, k long, fp long").select("i", "k", "fp", keys).select("i", "k", "fp", "key.*")
+    found = probes.join(index, ["block", "value"]).where("k = item_id").where(decontaminate.first_block(F.col("block"), F.col("fp").bitwiseXOR(F.col("item_fp"))))
+    assert sorted(x.i for x in found.collect()) == list(range(len(b)))  # each once
+
+
 # op3
 def plain_fingerprint(text):
     words = text.encode().lower().split()
@@ -144,22 +183,35 @@ def test_pii(spark, plain):
 
 
 def test_disclosing_words(spark):
-    """A name that stands nowhere but beside one address discloses it; words of everywhere do not."""
-    docs = [(i, f"Report number {'abcdefghij'[i % 10] * 5} from Kowalewski at jan@firm.org with thanks") for i in range(6)]
-    docs += [(100 + i, f"Another letter from {'xyzuvw'[i % 6] * 6} at box{i}@firm.org with thanks and number") for i in range(60)]
-    got = {x.doc_id: x.spans for x in pii.digests(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    at = docs[0][1].index("Kowalewski")
-    assert f"term:{at}:{at + 10}" in got[0] and "term" not in got[103]
+    """A name that stands nowhere but beside one address discloses it, wherever the text has it; words of everywhere do
+    not, nor do rare words of another line."""
+    docs = [(i, f"Some line without any of it, and rareword{'abcdefghij'[i]}.\nReport number {'abcdefghij'[i % 10] * 5} from Kowalewski at jan@firm.org with thanks{chr(10) + 'Kowalewski again' if i == 0 else ''}") for i in range(6)]
+    docs += [(100 + i, f"Another letter from somebody at box{i}@firm.org with thanks and number") for i in range(60)]
+    docs += [(200, "Jan, no address, but Marquardt\nand another letter from somebody at only.one@firm.org for Quintanilla with thanks"), (201, "")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = pii.digests(table).collect()
+    words = {x.doc_id: {docs_text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in x.spans.split(",") if s.startswith("term")} for x in rows for docs_text in [dict(docs)[x.doc_id]]}
+    assert "Kowalewski" in words[0] and not words[0] & {"thanks", "number", "from", "with"} and not any(w.startswith("rareword") for w in words[0])
+    assert words[200] == {"Quintanilla"} and not words[103]
+    at = [m.start() for m in re.finditer("Kowalewski", docs[0][1])]
+    assert all(f"term:{a}:{a + 10}" in next(x.spans for x in rows if x.doc_id == 0) for a in at)
     import duckdb
 
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
-    compare(pii.digests(spark.createDataFrame(docs, "doc_id long, text string")), con, pii_sql.SQL)
-    text = {x.doc_id: x.text for x in pii.sanitised(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    compare(pii.digests(table), con, pii_sql.SQL)
+    text = {x.doc_id: x.text for x in pii.sanitised(table).collect()}
     assert "Kowalewski" not in text[0] and "[EMAIL]" in text[0] and "thanks" in text[0] and "letter" in text[103]
 
 
+def test_disclosure_on_the_table(spark, sf_dir):
+    """The method adds spans on the driver's own table, only to texts that hold an entity."""
+    got = queries.op4_pii(spark, sf_dir.replace("sf0.001", "sf0.01")).collect()
+    assert sum("term:" in x.spans for x in got) > 10
+    assert not [x for x in got if "term:" in x.spans and not x.n_email + x.n_ip + x.n_card + x.n_phone]
+
+
 # op5
 def test_secrets(spark, sf_dir, plain):
     for i, t in plain:
@@ -177,10 +229,23 @@ def plain_secrets(t):
 
 
 def test_chain_finds_more(spark, sf_dir):
+    """Values that no pattern covers, planted in the table's own texts; and hardly anything where there is none."""
     docs = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.1") + "/documents.parquet").select("doc_id", "text")
-    more = spark.createDataFrame([(10**7, "the password is xK93jd8fhQ2 now and the"), (10**7 + 1, "nothing of the kind is here at all")], "doc_id long, text string")
-    got = {x.doc_id: x.spans for x in secrets.digests(docs.unionByName(more)).where("doc_id >= 10000000").collect()}
-    assert got == {10**7: "crf:16:27", 10**7 + 1: ""}
+    own = [x.text for x in docs.where("length(text) between 300 and 3000").orderBy("doc_id").limit(300).collect()]
+    r, made = random.Random(99), []
+    for k in range(150):
+        letters, n = [("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 30), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 28), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 14)][k % 3]
+        value = "".join(r.choices(letters, k=n - 2)) + "7x"
+        words = r.choice(own).split(" ")
+        at = r.randrange(len(words))
+        made.append((10**7 + k, " ".join([*words[:at], r.choice(["the password is {} now", "login {} and", "Passwd was {}"]).format(value), *words[at:]]), value))
+    found = secrets.digests(docs.unionByName(spark.createDataFrame([m[:2] for m in made], "doc_id long, text string"))).collect()
+    spans = {x.doc_id: [tuple(map(int, y.split(":")[1:])) for y in x.spans.split(",") if y.startswith("crf")] for x in found}
+    assert sum((t.index(v), t.index(v) + len(v)) in spans[i] for i, t, v in made) >= 0.85 * len(made)
+    plain = [x for x in found if x.doc_id < 10**7]
+    marked = [x for x in plain if x.n_assign + x.n_access + x.n_hex]
+    assert sum(x.n_crf > x.n_crf_alone for x in marked) >= 0.9 * len(marked)  # without the patterns, it finds theirs
+    assert sum(x.n_crf_alone > 0 for x in plain) <= 0.001 * len(plain)
 
 
 def test_may_match_misses_nothing():
@@ -231,10 +296,10 @@ def test_chunks_resist_shifts(spark):
     docs += [(1000 + i, make(200)) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {x.doc_id: x for x in chunking.repeated_passages(df).collect()}
-    assert not [i for i in got if i >= 1000] and len(got) >= 76
-    assert all(got[i].n_removed == 0 for i in got if i % 2 == 0) and sum(got[i].n_removed > 0 for i in got if i % 2) >= 38
+    assert len(got) == len(docs) and not [i for i, x in got.items() if i >= 1000 and x.n_passage] and sum(x.n_passage > 0 for x in got.values()) >= 78
+    assert all(got[i].n_removed == 0 for i in got if i % 2 == 0) and sum(got[i].n_removed > 0 for i in got if i % 2) >= 39
     left = {x.doc_id: x.text for x in chunking.without_spans(df, chunking.repeated_passages(df)).collect()}
-    assert all(len(left[i].encode()) == len(t.encode()) - (got[i].n_removed if i in got else 0) for i, t in docs)
+    assert all(len(left[i].encode()) == len(t.encode()) - got[i].n_removed for i, t in docs)
 
 
 @settings(max_examples=60, deadline=None)
@@ -280,10 +345,13 @@ def plain_phrases(text, learnt):
     return out
 
 
-def test_cross_parsing():
+@pytest.mark.parametrize("piece", [512, 7, 1])
+def test_cross_parsing(piece, monkeypatch):
+    """Phrases go on across pieces."""
+    monkeypatch.setattr(langid, "PIECE", piece)
     r = random.Random(7)
     learnt = {k: bytes(r.choice(v) for _ in range(400)) for k, v in (("x", b"aab "), ("y", b"abcd"))}
-    made = [bytes(r.choice(b"abcdz ") for _ in range(r.randint(0, 300))) for _ in range(120)]
+    made = [bytes(r.choice(b"abcdz ") for _ in range(r.randint(0, 300))) for _ in range(120)] + [b"", b"aab" * 700]
     got = langid.Parser(learnt).phrases(np.frombuffer(b"".join(made), np.uint8), np.cumsum([0, *map(len, made)]))
     assert got.tolist() == [[plain_phrases(t, learnt[k]) for k in "xy"] for t in made]
 
@@ -302,6 +370,14 @@ def plain_removed(docs, width=200):
         yield key, (len(b), int(mask.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~mask].tobytes()).hexdigest())
 
 
+def test_the_sort_decides(spark, monkeypatch):
+    """Without the order of suffixes nothing is removed."""
+    monkeypatch.setattr(suffixes, "equal_windows", lambda group, texts, off, lo, hi, copies: np.zeros((len(texts), 170), bool))
+    same = "".join(random.Random(1).choice("abc ") for _ in range(900))
+    got = suffixes.without_repeats(spark.createDataFrame([(1, same), (2, "x" + same)], "doc_id long, text string")).collect()
+    assert [x.n_removed for x in got] == [0, 0]
+
+
 @pytest.mark.parametrize("many", [30_000, 3])
 def test_substrings(spark, many, monkeypatch):
     monkeypatch.setattr(suffixes, "MOST_CONTEXTS", many)

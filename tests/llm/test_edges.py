@@ -20,7 +20,7 @@ def benchmark(spark):
 
 WHOLE = {
     "rules": lambda d, b, q: rules.clean_lines(d), "simhash": lambda d, b, q: simhash.near_duplicates(d), "similar": lambda d, b, q: simhash.similar_documents(d), "pii": lambda d, b, q: pii.digests(d), "pii_text": lambda d, b, q: pii.sanitised(d),
-    "secrets": lambda d, b, q: secrets.digests(d), "quality": lambda d, b, q: quality.classify(d, q), "language": lambda d, b, q: langid.predict_language(d), "suffixes": lambda d, b, q: suffixes.without_repeats(d, texts_too=True),
+    "secrets": lambda d, b, q: secrets.digests(d), "quality": lambda d, b, q: quality.classify(d, q), "cut": lambda d, b, q: chunking.without_spans(d, chunking.repeated_passages(d)), "language": lambda d, b, q: langid.predict_language(d), "suffixes": lambda d, b, q: suffixes.without_repeats(d, texts_too=True),
     "bpe": lambda d, b, q: bpe.encode_digests(d, RANKS), "bpe_text": lambda d, b, q: bpe.encode_documents(d, RANKS),
 }
 PART = {"decontaminate": lambda d, b, q: decontaminate.contaminated(d, b), "chunks": lambda d, b, q: chunking.repeated_passages(d), "kept": lambda d, b, q: quality.kept_documents(d, q), "clean": lambda d, b, q: decontaminate.decontaminated(d, b)}
