@@ -27,10 +27,11 @@ TERM, TERM_PATTERN = "term", r"\p{L}{4,}+"
 DISCLOSURE = 0.9
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """[(start, stop, match)] of a pattern, leftmost and non-overlapping, in code points. The pieces between matches
     and the matches alternate, so positions are running sums of their lengths."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
     kind = "struct<at:int,out:array<struct<start:int,stop:int,match:string>>>"
     start = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
 
@@ -147,7 +148,7 @@ def terms(docs: DataFrame, threshold: float = DISCLOSURE) -> tuple[DataFrame, Da
     has = held.select("k1", "k2", F.explode("entities").alias("entity")).join(known, "entity").select("k1", "k2", "c_e").distinct()
     said = own.select("k1", "k2", F.explode(F.array_distinct(F.regexp_extract_all(masked(F.col("text")), F.lit(TERM_PATTERN), F.lit(0)))).alias("match")).join(told, "match")
     marked = said.join(has, ["k1", "k2", "c_e"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("match").alias("marked"))
-    places = F.filter(matches(masked(F.col("text")), TERM_PATTERN), lambda x: F.array_contains("marked", x["match"]))
+    places = matches(masked(F.col("text")), F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("marked", "|"), F.lit(r")(?!\p{L})")))
     return found, saved(own.join(marked, ["k1", "k2"]).select("k1", "k2", F.transform(places, lambda x: F.struct(x["start"].alias("start"), F.lit(len(PATTERNS)).alias("k"), x["stop"].alias("stop"))).alias("terms")))
 
 

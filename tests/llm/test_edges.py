@@ -1,9 +1,11 @@
 """Every operator on difficult tables and on empty ones: no crash, and one row for each row where that is promised."""
 
+import random
+
 import public_tokenizers
 import pytest
 
-from folioscan.llm import bpe, chunking, decontaminate, langid, pii, quality, rules, secrets, simhash, suffixes
+from folioscan.llm import bpe, chunking, decontaminate, langid, minhash, pii, quality, rules, secrets, simhash, suffixes
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -19,7 +21,7 @@ def benchmark(spark):
 
 
 WHOLE = {
-    "rules": lambda d, b, q: rules.clean_lines(d), "simhash": lambda d, b, q: simhash.near_duplicates(d), "similar": lambda d, b, q: simhash.similar_documents(d), "pii": lambda d, b, q: pii.digests(d), "pii_text": lambda d, b, q: pii.sanitised(d),
+    "rules": lambda d, b, q: rules.clean_lines(d), "simhash": lambda d, b, q: simhash.near_duplicates(d), "similar": lambda d, b, q: minhash.similar_documents(d), "pii": lambda d, b, q: pii.digests(d), "pii_text": lambda d, b, q: pii.sanitised(d),
     "secrets": lambda d, b, q: secrets.digests(d), "quality": lambda d, b, q: quality.classify(d, q), "cut": lambda d, b, q: chunking.without_spans(d, chunking.repeated_passages(d)), "language": lambda d, b, q: langid.predict_language(d), "suffixes": lambda d, b, q: suffixes.without_repeats(d, texts_too=True),
     "bpe": lambda d, b, q: bpe.encode_digests(d, RANKS), "bpe_text": lambda d, b, q: bpe.encode_documents(d, RANKS),
 }
@@ -66,3 +68,55 @@ def test_defined_results(nasty, benchmark, labels):
     assert {8, 9} <= set(got) and got[8].n_removed < got[9].n_removed
     text = {r.doc_id: r.text for r in pii.sanitised(nasty).collect() if r.doc_id is not None}
     assert text[17].endswith("[EMAIL]") and text[0] is None and text[1] == ""
+
+
+def stages():
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)
+
+
+@pytest.fixture(scope="module")
+def folder(spark, labels, benchmark, tmp_path_factory):
+    """labels and benchmark where the pipeline's stages look for them."""
+    where = tmp_path_factory.mktemp("tables")
+    labels.write.parquet(str(where / "labels.parquet"))
+    benchmark.write.parquet(str(where / "benchmark.parquet"))
+    return str(where)
+
+
+@pytest.mark.parametrize("name", ["quality", "near_dedup", "decontamination", "personal_data", "tokens"])
+def test_stages(spark, nasty, empty, folder, name):
+    """Clashing columns (and names that the stages use themselves), nulls, repeated ids; an empty table."""
+    clash = nasty.selectExpr("*", "1 AS k1", "2 AS k2", "3 AS _key", "4 AS _id", "5 AS _row", "6 AS _spans", "'t' AS terms", "7 AS of1", "8 AS rep", "'w' AS words", "9L AS n_chars")
+    got = stages()[name](spark, clash, folder)
+    rows = got.collect()
+    assert stages()[name](spark, clash.where("doc_id < -1"), folder).collect() == []
+    if name == "tokens":
+        assert len(rows) == nasty.count()
+    else:
+        assert got.columns == clash.columns and all((r.k1, r._key, r._spans, r.terms, r.rep) == (1, 3, 6, "t", 8) for r in rows)
+    if name == "near_dedup":
+        texts = [(r.doc_id, r.text) for r in rows]
+        assert (8, nasty.where("doc_id = 8").first().text) in texts and 9 not in [i for i, _ in texts] and 11 not in [i for i, _ in texts]
+        assert (3, "a") in texts and any(i is None and t for i, t in texts) and len(texts) == len(set(texts))
+    if name == "decontamination":
+        assert {10, 11}.isdisjoint(r.doc_id for r in rows) and len(rows) == nasty.count() - 2
+
+
+def test_rows_of_one_id(spark):
+    """Rows that share a doc_id, or have none, are judged by their own text."""
+    r = random.Random(3)
+    make = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    one, two, three, item = make(120), make(90), make(80), make(30)
+    docs = spark.createDataFrame([(1, one), (5, one), (5, two), (5, two), (None, three), (None, one), (7, two + " " + item), (5, three + " " + item), (None, item)], "doc_id long, text string")
+    kept = sorted(((x.doc_id or -1, x.text) for x in minhash.first_of_similar(docs.where("text not like '%" + item + "'")).collect()), key=str)
+    assert kept == sorted([(1, one), (5, two), (-1, three)], key=str)
+    clean = decontaminate.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((x.doc_id or -1, x.text) for x in clean) == sorted([(1, one), (5, one), (5, two), (5, two), (-1, three), (-1, one)])
+    left = chunking.without_spans(docs, chunking.repeated_passages(docs)).collect()
+    assert (1, one) in {(x.doc_id, x.text) for x in left} and sum(x.text == two for x in left) >= 1
+    got = suffixes.without_repeats(docs.unionByName(spark.createDataFrame([(5, make(100)), (None, make(100))], docs.schema))).collect()
+    assert sorted(x.n_removed for x in got)[:3] == [0, 0, 0] or min(x.n_removed for x in got) == 0
+    mail = spark.createDataFrame([(1, "write to a@b.org now"), (1, "nothing in it"), (None, "c@d.org"), (None, "plain")], "doc_id long, text string")
+    assert sorted(x.text for x in pii.sanitised(mail).collect()) == ["[EMAIL]", "nothing in it", "plain", "write to [EMAIL] now"]

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from folioscan.llm import chunking, minhash, simhash
+from folioscan.llm import chunking, minhash
 
 
 def shingles(text):
@@ -22,10 +22,11 @@ def components(sets):
     return name
 
 
-@pytest.mark.parametrize("pairs", [minhash.PAIRS, 2])
-def test_similar_by_five_words(spark, monkeypatch, pairs):
+@pytest.mark.parametrize("pairs, crowd", [(minhash.PAIRS, minhash.CROWD), (2, minhash.CROWD), (2, 12)])
+def test_similar_by_five_words(spark, monkeypatch, pairs, crowd):
     """Copies with a block appended or a tail replaced, just at and just below the similarity; a chain and a crowd."""
     monkeypatch.setattr(minhash, "PAIRS", pairs)
+    monkeypatch.setattr(minhash, "CROWD", crowd)
     r = random.Random(12)
     words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(3000)]
     weights = [1 / (k + 1) for k in range(len(words))]
@@ -45,14 +46,14 @@ def test_similar_by_five_words(spark, monkeypatch, pairs):
         own[r.randrange(300)] = "own"
         docs.append(own)
     table = [(i, " ".join(d)) for i, d in enumerate(docs)]
-    got = {x.doc_id: x.component_id for x in simhash.similar_documents(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    got = {x.doc_id: x.component_id for x in minhash.similar_documents(spark.createDataFrame(table, "doc_id long, text string")).collect()}
     want = components({i: shingles(t) for i, t in table})
     assert sum(i != x for i, x in want.items()) > 120 and got == want
 
 
 def test_similar_alone(spark):
     """A document that is a step of its own, as a very long one is."""
-    got = simhash.similar_documents(spark.createDataFrame([(3, "one two three four five six")], "doc_id long, text string")).collect()
+    got = minhash.similar_documents(spark.createDataFrame([(3, "one two three four five six")], "doc_id long, text string")).collect()
     assert [(x.doc_id, x.component_id) for x in got] == [(3, 3)]
 
 
