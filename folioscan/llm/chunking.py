@@ -119,13 +119,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     tells rows apart, for `without_spans`. A chunk's first place stays, so one copy of every passage is kept.
 
     Null and empty texts have no chunk and zeros. Rows are told apart by doc_id and text: rows that repeat both are one
-    document; different texts under one doc_id are different documents, also where doc_id is null (these are ordered by
+    document; different texts under one doc_id are different documents, also where doc_id is null (these come last, by
     a hash). Other columns play no part; an empty table gives no rows.
     """
     every = chunks(docs)
     often = every.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1")
     again = saved(matched(every, often, ["d1"]))
-    order = F.struct("id", "row", "start")
+    order = F.struct("none", "id", "row", "start")
     places = again.groupBy("d1", "d2").agg(F.min(order).alias("kept"), F.max(order).alias("last")).where("kept <> last").select("d1", "d2", "kept")
     found = matched(again, places, ["d1", "d2"]).select("id", "row", "none", F.struct("start", "size", "ends", (order == F.col("kept")).alias("here")).alias("chunk"))
     whole_table = _rows(docs).select("id", "row", "none", F.lit(None).cast(found.schema["chunk"].dataType).alias("chunk"))
