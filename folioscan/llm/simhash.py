@@ -1,12 +1,14 @@
 """SimHash near-duplicates by a generalised pigeonhole principle.
 
-Fingerprint bits are grouped by correlation into partitions. A partition of threshold t is looked up within t bits; the
-thresholds of m partitions sum to radius - m + 1, so two fingerprints within the radius meet in at least one partition
-(General Pigeonhole, Qin et al. 2018). A dynamic program picks the thresholds, unequal where bits are skewed, from the
-expected number of keys and candidates. Copies share a fingerprint and are one row in all of this.
-
-Rows may have several fingerprints: the first is probed, all are compared. Links within a group of candidates are
-reduced to trees before they leave their task, so groups of near copies never become pairs.
+Fingerprint bits are ordered so that correlated ones are neighbours and cut into partitions. A partition of threshold t
+is looked up within t bits; the thresholds of m partitions sum to radius - m + 1, so two fingerprints within the radius
+meet in at least one partition (General Pigeonhole, Qin et al. 2018). One dynamic program picks the partitions' sizes
+and their thresholds, unequal where bits are skewed or correlated, from the expected number of keys and candidates.
+Copies share a fingerprint and are one row in all of this.
+
+A partition's value that too many fingerprints share is looked up together with further partitions of the other bits,
+until every group fits a task. Links within a group of candidates are reduced to trees before they leave their task,
+so groups of near copies never become pairs.
 """
 
 from __future__ import annotations
@@ -21,9 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import arrow_limits, saved, steps, texts
+from folioscan.llm.common import arrow_limits, matched, saved, steps, texts
 from folioscan.llm.components import connected_components
-from folioscan.llm.minhash import similar_documents  # noqa: F401
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Cost of a key that is shuffled, in units of a pair that is compared.
@@ -31,15 +32,24 @@ KEY_COST = 200
 #: Keys of a partition beyond which its threshold is not considered; a threshold of 0 always is.
 MOST_KEYS = 2000
 #: Groups of up to PAIRS fingerprints are compared side by side, up to GRID each as a grid; larger ones grow trees, and
-#: beyond DEEP they are divided first.
-PAIRS, GRID, DEEP = 8, 1500, 8192
-Limits = tuple[tuple[slice, int], ...]
+#: beyond DEEP they are divided first. Groups beyond CROWD are divided before they are dealt.
+PAIRS, GRID, DEEP, CROWD = 8, 1500, 8192, 50_000
+
+
+#: Hashes whose bits are unpacked at a time (64 bytes each).
+SLICE = 1 << 16
 
 
 def majority(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each run of big-endian hashes between positions: the bits that are set in over half of them."""
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.stack([bits[i:j].sum(axis=0, dtype=np.int32) for i, j in zip(at[:-1].tolist(), at[1:].tolist())])
+    """For each run of hashes between positions: the bits that are set in over half of them. Bits are counted over
+    slices, so that a very long run takes no more memory than its hashes."""
+    ones = np.zeros((len(at) - 1, BITS), np.int64)
+    for low in range(0, len(hashes), SLICE):
+        part = hashes[low : low + SLICE]
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        first, last = int(np.searchsorted(at, low, "right")) - 1, int(np.searchsorted(at, low + len(part), "left"))
+        cuts = np.clip(at[first:last] - low, 0, None)
+        ones[first:last] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
     return np.packbits(2 * ones > np.diff(at)[:, None], axis=1).view(">u8").ravel()
 
 
@@ -97,58 +107,68 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     return n, both
 
 
-def correlated_groups(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
-    """Bits 0 (highest) to 63 in groups of near-equal size, each filled with the bits that correlate most with it."""
+def correlated_order(n: int, both: np.ndarray) -> list[int]:
+    """Bits 0 (highest) to 63, from the most skewed on each followed by the free one that correlates most with it."""
     p = np.diag(both) / max(n, 1)
     deviation = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     strength = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(deviation, deviation))
-    free, out = set(range(BITS)), []
-    for k in range(parts):
-        size = BITS // parts + (k < BITS % parts)
-        group = [min(free, key=lambda b: (abs(p[b] - 0.5) * -1, b))]  # the most skewed bit first
-        free -= set(group)
-        while len(group) < size:
-            group.append(max(free, key=lambda b: (strength[b, group].sum(), -b)))
-            free.remove(group[-1])
-        out.append(sorted(group))
+    out = [int(np.argmax(np.abs(p - 0.5)))]
+    while len(out) < BITS:
+        free = [b for b in range(BITS) if b not in out]
+        out.append(max(free, key=lambda b: (strength[b, out[-1]], -b)))
     return out
 
 
-def within(agree: np.ndarray) -> np.ndarray:
-    """P(at most t of the bits differ) for t = 0, 1, ..., from each bit's chance to agree."""
-    out = np.array([1.0])
-    for a in agree:
-        out = np.convolve(out, [a, 1 - a])
-    return np.cumsum(out)
+def agreements(n: int, both: np.ndarray, order: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(single, then): the chance that two fingerprints agree in the bit at each place of the order, and in it given
+    that they agree (1) or differ (0) in the bit before it: two rows of then. From the measured pairs of bits."""
+    n = max(n, 1)
+    p = np.diag(both)[order] / n
+    single = p * p + (1 - p) * (1 - p)
+    then = np.stack([single, single])
+    for k in range(1, BITS):
+        x = both[order[k - 1], order[k]] / n
+        cells = np.array([x, p[k - 1] - x, p[k] - x, 1 - p[k - 1] - p[k] + x]).clip(0, 1)
+        agree = float((cells * cells).sum())  # in both bits
+        then[1, k] = agree / single[k - 1] if single[k - 1] > 0 else single[k]
+        then[0, k] = (single[k] - agree) / (1 - single[k - 1]) if single[k - 1] < 1 else single[k]
+    return single, then.clip(0, 1)
 
 
 def allocation(n: int, both: np.ndarray, radius: int = RADIUS, key_cost: float = KEY_COST) -> list[tuple[list[int], int]]:
     """[(bits, threshold)] with the least expected cost; thresholds sum to radius - partitions + 1, -1 leaves one out.
 
-    For each number of partitions a dynamic program runs over (partition, threshold sum so far); the cost of a
-    threshold is its keys (the choices of bits to mask) and its candidates (pairs expected to agree within it).
+    A dynamic program over (bits dealt, thresholds spent) extends the cheapest way by a partition of any size and
+    threshold. A threshold costs its keys (the choices of bits to mask) and its candidates: pairs of fingerprints
+    expected to differ in d <= t of the partition's bits, once for each key they share. How bits agree follows a chain
+    in which each depends on the one before it, as measured, so correlated bits are not counted as so many.
     """
-    n = max(n, 1)
-    p = np.diag(both) / n
-    agree = p * p + (1 - p) * (1 - p)
-    best: tuple[float, list[tuple[list[int], int]]] | None = None
-    for parts in range(1, radius + 6):
-        groups = correlated_groups(n, both, parts)
-        table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-        for bits in groups:
-            chance, then = within(agree[bits]), {}
-            for t in range(-1, min(radius + 1, len(bits))):
-                keys = math.comb(len(bits), max(t, 0))
+    order = correlated_order(n, both)
+    single, then = agreements(n, both, order)
+    pairs = 0.5 * max(n, 1) * max(n, 1)
+    best: list[dict[int, tuple[float, list]]] = [{} for _ in range(BITS + 1)]
+    best[0][0] = (0.0, [])
+    for i in range(BITS):
+        differ = np.zeros((2, radius + 1))  # by agreement in the last bit and bits that differ so far
+        for j in range(i, BITS):
+            if j == i:
+                differ[1, 0], differ[0, 1:2] = single[i], (1 - single[i]) if radius else 0
+            else:
+                chance = then[:, j]
+                agree = (differ * chance[:, None]).sum(axis=0)
+                other = (differ * (1 - chance[:, None])).sum(axis=0)
+                differ = np.stack([np.concatenate([[0], other[:-1]]), agree])
+            size, total = j - i + 1, differ.sum(axis=0)
+            for t in range(-1, min(radius, size - 1) + 1):
+                keys = math.comb(size, max(t, 0))
                 if keys > MOST_KEYS:
                     break
-                cost = 0.0 if t < 0 else n * keys * key_cost + 0.5 * n * n * chance[t]
-                for total, (so_far, chosen) in table.items():
-                    if total + t + 1 <= radius + 1 and (total + t + 1 not in then or then[total + t + 1][0] > so_far + cost):
-                        then[total + t + 1] = (so_far + cost, [*chosen, t])
-            table = then
-        if radius + 1 in table and (best is None or table[radius + 1][0] < best[0]):
-            best = (table[radius + 1][0], list(zip(groups, table[radius + 1][1])))
-    return best[1]
+                cost = 0.0 if t < 0 else n * keys * key_cost + pairs * sum(float(total[d]) * math.comb(size - d, t - d) for d in range(t + 1))
+                for spent, (so_far, chosen) in best[i].items():
+                    now = spent + t + 1
+                    if now <= radius + 1 and (now not in best[j + 1] or best[j + 1][now][0] > so_far + cost):
+                        best[j + 1][now] = (so_far + cost, [*chosen, (sorted(order[i : j + 1]), t)])
+    return best[BITS][radius + 1][1]
 
 
 def masks(plan: list[tuple[list[int], int]]) -> list[int]:
@@ -160,41 +180,36 @@ def masks(plan: list[tuple[list[int], int]]) -> list[int]:
     return out
 
 
-def near(a: np.ndarray, b: np.ndarray, limits: Limits) -> np.ndarray:
-    """Whether fingerprints (last axis) differ in few enough bits, for each limit."""
-    ok = True
-    for which, most in limits:
-        ok = ok & (np.bitwise_count(a[..., which] ^ b[..., which]).sum(axis=-1, dtype=np.int16) <= most)
-    return ok
+def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b) <= radius
 
 
-def tree_links(fp: np.ndarray, rep: np.ndarray, limits: Limits) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links (a, b) that span every component of the fingerprints under `near`, not all of its pairs."""
-    out, first, radius = [], fp[:, 0], limits[0][1]
+def tree_links(fp: np.ndarray, rep: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links (a, b) that span every component of the fingerprints under the radius, not all of its pairs."""
+    out = []
     if len(fp) > DEEP:  # by plain pigeonhole over the bits that vary here
-        varying = [b for b in range(BITS) if len(np.unique((first >> np.uint64(b)) & np.uint64(1))) > 1]
+        varying = [b for b in range(BITS) if len(np.unique((fp >> np.uint64(b)) & np.uint64(1))) > 1]
         if len(varying) > radius:
             for k in range(radius + 1):
                 part = np.zeros(len(fp), np.uint64)
                 for b in varying[k :: radius + 1]:
-                    part |= first & np.uint64(1 << b)
+                    part |= fp & np.uint64(1 << b)
                 order = np.argsort(part, kind="stable")
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(fp)]])
                 for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     if 1 < j - i < len(fp):
-                        out += tree_links(fp[order[i:j]], rep[order[i:j]], limits)
+                        out += tree_links(fp[order[i:j]], rep[order[i:j]], radius)
             return out
     if len(fp) <= GRID:
-        i, j = np.nonzero(np.triu(near(fp[:, None, :1], fp[None, :, :1], limits[:1]), 1))
-        ok = near(fp[i], fp[j], limits) if len(limits) > 1 else np.ones(len(i), bool)
-        if ok.sum() <= 2 * len(fp):
-            return [(rep[i[ok]], rep[j[ok]])]
+        i, j = np.nonzero(np.triu(near(fp[:, None], fp[None, :], radius), 1))
+        if len(i) <= 2 * len(fp):
+            return [(rep[i], rep[j])]
     left, left_rep = fp, rep
     while len(left) > 1:
         front, left, left_rep = [(left[0], left_rep[0])], left[1:], left_rep[1:]
         while front and len(left):
             f, r = front.pop()
-            hit = near(left, f, limits)
+            hit = near(left, f, radius)
             if hit.any():
                 new, new_rep = left[hit], left_rep[hit]
                 out.append((np.full(len(new), r), new_rep))
@@ -203,7 +218,7 @@ def tree_links(fp: np.ndarray, rep: np.ndarray, limits: Limits) -> list[tuple[np
     return out
 
 
-def group_links(fp: np.ndarray, rep: np.ndarray, cuts: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
+def group_links(fp: np.ndarray, rep: np.ndarray, cuts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links in each group of rows between cuts."""
     sizes, out = np.diff(cuts), []
     which = np.repeat(np.arange(len(sizes)), np.where(sizes <= PAIRS, sizes, 0))
@@ -211,28 +226,63 @@ def group_links(fp: np.ndarray, rep: np.ndarray, cuts: np.ndarray, limits: Limit
     for k in range(1, int(sizes[sizes <= PAIRS].max(initial=0))):
         same = np.flatnonzero(which[k:] == which[:-k])
         i, j = rows[same], rows[same + k]
-        ok = near(fp[i], fp[j], limits)
+        ok = near(fp[i], fp[j], radius)
         out.append((rep[i[ok]], rep[j[ok]]))
     for g in np.flatnonzero(sizes > PAIRS).tolist():
-        out += tree_links(fp[cuts[g] : cuts[g + 1]], rep[cuts[g] : cuts[g + 1]], limits)
+        out += tree_links(fp[cuts[g] : cuts[g + 1]], rep[cuts[g] : cuts[g + 1]], radius)
     return tuple(np.concatenate([np.zeros(0, np.int64), *(x[s] for x in out)]) for s in (0, 1))
 
 
-def links(fps: DataFrame, prints: list[str], limits: Limits) -> DataFrame:
-    """(a, b) over the reps of distinct rows (prints..., rep) that spans all components under the limits; keys are made
-    of the first print."""
-    kept = masks(allocation(*bit_statistics(fps.select(prints[0])), limits[0][1]))
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keys = fps.select(*prints, "rep", F.posexplode(F.array(*(F.col(prints[0]).bitwiseAND(F.lit(signed(m)).cast("long")) for m in kept))).alias("k", "key"))
-    keys = keys.repartition("k", "key").sortWithinPartitions("k", "key")
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _divided(keys: DataFrame, radius: int, most: int) -> DataFrame:
+    """keys (fp, rep, key, free) with the groups of more than `most` rows divided. free holds the bits that a group may
+    differ in: they are dealt into radius + 1 parts, a pair within the radius agrees in one of them as a whole, and a
+    row goes to one group for each part, with fewer bits free. Ends when groups are small or have few bits left, in
+    which case they hold few fingerprints, as these are distinct."""
+    out = None
+    while True:
+        crowded = saved(keys.groupBy("key").agg(F.count("*").alias("size"), F.first("free").alias("bits")).where((F.col("size") > most) & (F.bit_count("bits") > radius)).select("key"))
+        if crowded.isEmpty():
+            return keys if out is None else out.unionByName(keys)
+        calm, hot = matched(keys, crowded, ["key"], "left_anti"), matched(keys, crowded, ["key"])
+        out = calm if out is None else out.unionByName(calm)
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fp, rep, key, free = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+                parts: list[list[np.ndarray]] = []
+                for bits in np.unique(free).tolist():
+                    at = np.flatnonzero(free == bits)
+                    varying = [b for b in range(BITS) if (bits >> b) & 1]
+                    for k in range(radius + 1):
+                        kept = _signed(sum(1 << b for b in varying[k :: radius + 1]))
+                        value = (fp[at] & np.int64(kept)).view(np.uint64)
+                        mixed_key = np.array([xxhash.xxh3_64_intdigest(v.tobytes(), seed=(int(g) + k) % (1 << 64)) for v, g in zip(value, key[at])], np.uint64).view(np.int64)
+                        parts.append([fp[at], rep[at], mixed_key, np.full(len(at), _signed(bits & ~kept & ((1 << 64) - 1)), np.int64)])
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["fp", "rep", "key", "free"])
+
+        keys = saved(hot.mapInArrow(dealt, "fp long, rep long, key long, free long"))
+
+
+def links(fps: DataFrame, radius: int = RADIUS, crowd: int | None = None) -> DataFrame:
+    """(a, b) over the reps of distinct rows (fp, rep) that spans all components under the radius."""
+    kept = masks(allocation(*bit_statistics(fps.select("fp")), radius))
+    every = (1 << 64) - 1
+    wide = F.array(*(F.struct(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))).alias("key"), F.lit(_signed(every & ~m)).cast("long").alias("free")) for k, m in enumerate(kept)))
+    keys = fps.select("fp", "rep", F.explode(wide).alias("x")).select("fp", "rep", "x.key", "x.free")
+    keys = _divided(keys, radius, crowd or CROWD).select("fp", "rep", "key").repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def linked(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            *fp, rep, k, key = (np.concatenate(x) for x in zip(*parts))
-            cuts = np.concatenate([[0], np.flatnonzero((np.diff(k) != 0) | (key[1:] != key[:-1])) + 1, [len(k)]])
-            a, b = group_links(np.stack(fp, axis=1).view(np.uint64), rep, cuts, limits)
+            fp, rep, key = (np.concatenate(x) for x in zip(*parts))
+            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            a, b = group_links(fp.view(np.uint64), rep, cuts, radius)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -240,10 +290,10 @@ def links(fps: DataFrame, prints: list[str], limits: Limits) -> DataFrame:
             if not batch.num_rows:
                 continue
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-            k, key = now[-2:]
-            last = np.flatnonzero((k != k[-1]) | (key != key[-1]))
+            key = now[-1]
+            last = np.flatnonzero(key != key[-1])
             cut = int(last[-1]) + 1 if len(last) else 0
-            if held and (cut or (held[-1][-2][-1], held[-1][-1][-1]) != (k[0], key[0])):
+            if held and (cut or held[-1][-1][-1] != key[0]):
                 yield from linked([*held, [x[:cut] for x in now]])
                 held = []
             elif cut:
@@ -255,19 +305,15 @@ def links(fps: DataFrame, prints: list[str], limits: Limits) -> DataFrame:
     return keys.mapInArrow(run, "a long, b long")
 
 
-def _components(own: DataFrame, prints: list[str], limits: Limits) -> DataFrame:
-    """own (doc_id, prints...) with component_id. Rows of equal prints are one until the end; a null doc_id takes the
-    component of its prints but gives it no name."""
-    fps = saved(own.where(F.col("doc_id").isNotNull()).groupBy(*prints).agg(F.min("doc_id").alias("rep")))
-    found = connected_components(links(fps, prints, limits))
-    whole = fps.join(found, fps.rep == found.node, "left").select(*prints, F.coalesce("component", "rep").alias("component_id"))
-    return own.join(whole, prints, "left").select("doc_id", *prints, F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs: component_id is the smallest doc_id of its component.
 
-    Fingerprints link at `radius` differing bits or fewer. Texts without a word have fingerprint zero and link like
-    any other; repeated rows share their component; an empty table gives an empty result.
+    Fingerprints link at `radius` differing bits or fewer. Texts without a word, null ones too, have fingerprint zero
+    and link like any other; repeated rows share their component; a null doc_id takes the component of its fingerprint
+    but gives it no name; columns beyond doc_id and text play no part; an empty table gives an empty result.
     """
-    return _components(saved(fingerprints(docs, shingle)), ["fp"], ((slice(0, 1), radius),))
+    own = saved(fingerprints(docs, shingle))
+    fps = saved(own.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    found = connected_components(links(fps, radius))
+    whole = fps.join(found, fps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return matched(own, whole, ["fp"], "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
