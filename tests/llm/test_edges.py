@@ -118,5 +118,5 @@ def test_rows_of_one_id(spark):
     assert (1, one) in {(x.doc_id, x.text) for x in left} and sum(x.text == two for x in left) >= 1
     got = suffixes.without_repeats(docs.unionByName(spark.createDataFrame([(5, make(100)), (None, make(100))], docs.schema))).collect()
     assert sorted(x.n_removed for x in got)[:3] == [0, 0, 0] or min(x.n_removed for x in got) == 0
-    mail = spark.createDataFrame([(1, "write to a@b.org now"), (1, "nothing in it"), (None, "c@d.org"), (None, "plain")], "doc_id long, text string")
-    assert sorted(x.text for x in pii.sanitised(mail).collect()) == ["[EMAIL]", "nothing in it", "plain", "write to [EMAIL] now"]
+    mail = spark.createDataFrame([(1, "see a@b.org now"), (1, "nothing in it"), (None, "c@d.org"), (None, "plain")], "doc_id long, text string")
+    assert sorted(x.text for x in pii.sanitised(mail).collect()) == ["[EMAIL]", "nothing in it", "plain", "see [EMAIL] now"]
