@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a page that may be broadcast.
+PAGE_ROWS = 100_000
+
+
 def upsert(existing: DataFrame | None, arrivals: DataFrame, keys: Sequence[str], order: Sequence[str], refreshed: Sequence[str]) -> DataFrame:
     """One row for each key: columns of its first arrival, but those in `refreshed` of the last (null included).
 
@@ -41,11 +45,17 @@ def point_lookup(df: DataFrame, key: str, value, columns: Sequence[str]) -> Data
     return df.where(F.col(key) == F.lit(value)).select(*columns)
 
 
+def looked_up(requests: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """requests with the columns of the row that known has for their key; null where it has none."""
+    return requests.join(known.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left").drop("_key")
+
+
 def with_child_count(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, name: str, page: bool = False) -> DataFrame:
     """parents with the number of their children, 0 when none: children are counted before they are joined. If parents
     are a page of a listing, only their children are counted: the page's keys filter the scan of the children."""
     if page:
-        children = children.join(F.broadcast(parents.select(F.col(parent_key).alias("_of"))), F.col(child_key) == F.col("_of"), "left_semi")
+        of = parents.select(F.col(parent_key).alias("_of"))
+        children = children.join(F.broadcast(of) if of.limit(PAGE_ROWS + 1).count() <= PAGE_ROWS else of, F.col(child_key) == F.col("_of"), "left_semi")
     counted = children.groupBy(F.col(child_key).alias("_key")).agg(F.count("*").alias("_n"))
     return parents.join(counted, F.col(parent_key) == F.col("_key"), "left").withColumn(name, F.coalesce("_n", F.lit(0))).drop("_key", "_n")
 
@@ -70,10 +80,6 @@ def violations(df: DataFrame, key: str, allowed: Mapping[str, Sequence[str]], nu
     return df.select(key, F.explode(F.array_compact(F.array(*checks))).alias("x")).select(key, "x.*")
 
 
-def duplicated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-
-
 #: What each role may do; * is everything.
 POLICY = (("admin", "*"), ("radiologist", "images:import"), ("radiologist", "studies:read"))
 
@@ -87,18 +93,3 @@ def allowed(requests: DataFrame) -> DataFrame:
     for role, actions in grants.items():
         may = may | ((F.col("role") == role) & (F.lit("*" in actions) | F.col("action").isin(*actions)))
     return requests.withColumn("allowed", F.coalesce(may, F.lit(False)))
-
-
-def surrogate_ids(df: DataFrame, key: str, name: str = "id") -> DataFrame:
-    """A stable long for each key: a hash, so that it needs no global order."""
-    return df.withColumn(name, F.xxhash64(key))
-
-
-def nested(parents: DataFrame, children: DataFrame, on: str, name: str) -> DataFrame:
-    """parents with their children as an array of structs."""
-    held = children.groupBy(on).agg(F.sort_array(F.collect_list(F.struct(*[c for c in children.columns if c != on]))).alias(name))
-    return parents.join(held, on, "left")
-
-
-def ranked_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

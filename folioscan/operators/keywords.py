@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,26 +33,61 @@ def term_offsets(docs: DataFrame, id: str = "doc_id", text: str = "text", word:
     return placed.groupBy(id, "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("offset")).alias("offsets"))
 
 
-def text_rank(words: Sequence[str], stop_words: Sequence[str] = (), span: int = SPAN, rounds: int = ROUNDS, damping: float = DAMPING) -> dict[str, float]:
-    """Word scores. Words of one code point and stop words are skipped and do not use up the window. Scores are updated
-    in place, in the order of the words' UTF-8 bytes; the result depends on both."""
-    kept = [w for w in words if len(w) > 1 and w not in stop_words]
-    edges: dict[str, dict[str, float]] = {}
-    for i, a in enumerate(kept):
-        for b in kept[i + 1 : i + span]:
-            for x, y in ((a, b), (b, a)):
-                edges.setdefault(x, {})
-                edges[x][y] = edges[x].get(y, 0.0) + 1.0
-    score = {w: 1.0 / len(edges) for w in edges} if edges else {}
-    out = {w: sum(e.values()) for w, e in edges.items()}
-    nodes = sorted(edges, key=lambda w: w.encode())
+def text_ranks(docs: Sequence[Sequence[str]], stop_words: Sequence[str] = (), span: int = SPAN, rounds: int = ROUNDS, damping: float = DAMPING) -> list[dict[str, float]]:
+    """Word scores of each document. Words of one code point and stop words are skipped and do not use up the window.
+    Scores are updated in place, in the order of the words' UTF-8 bytes; the result depends on both.
+
+    Documents are worked on side by side: the k-th words of all of them are updated at once, each from the scores that
+    its own document has by then.
+    """
+    names, lefts, rights, shares = [], [], [], []
+    for words in docs:
+        kept = [w for w in words if len(w) > 1 and w not in stop_words]
+        own = sorted(set(kept), key=str.encode)
+        names.append(own)
+        place, n = {w: i for i, w in enumerate(own)}, len(own)
+        ids = np.fromiter((place[w] for w in kept), np.int64, len(kept))
+        near = [(ids[:-k], ids[k:]) for k in range(1, min(span, len(ids)))]
+        if not near:
+            lefts, rights, shares = [*lefts, ids[:0]], [*rights, ids[:0]], [*shares, ids[:0].astype(float)]
+            continue
+        one, two = (np.concatenate([x[s] for x in near]) for s in (0, 1))
+        edge, weight = np.unique(np.concatenate([one * n + two, two * n + one]), return_counts=True)
+        left, right = edge // n, edge % n
+        lefts.append(left)
+        rights.append(right)
+        shares.append(weight / np.bincount(left, weight, n)[right])
+    size = np.array([len(x) for x in names], np.int64)
+    begin = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(names)), [len(x) for x in lefts])
+    if not len(of):
+        return [{w: 0.0 for w in own} for own in names]
+    step = np.concatenate(lefts)
+    order = np.lexsort((of, step))  # edges by step, then document
+    step, node, source, share = step[order], (begin[of] + np.concatenate(lefts))[order], (begin[of] + np.concatenate(rights))[order], np.concatenate(shares)[order]
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    at = np.searchsorted(step[first], np.arange(int(step[-1]) + 2))
+    ends = np.append(first, len(node))
+    score = np.repeat(1.0 / np.maximum(size, 1), size)
+    plan = [(node[first[a:b]], source[ends[a] : ends[b]], share[ends[a] : ends[b]], first[a:b] - ends[a]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
     for _ in range(rounds):
-        for w in nodes:
-            score[w] = 1 - damping + damping * sum(edges[w][v] / out[v] * score[v] for v in sorted(edges[w], key=lambda w: w.encode()))
-    if not edges:
-        return {w: 0.0 for w in kept}
-    low, high = min(score.values()) / 10, max(score.values())
-    return {w: (s - low) / (high - low) for w, s in score.items()}
+        for nodes, sources, parts, cuts in plan:
+            score[nodes] = 1 - damping + damping * np.add.reduceat(parts * score[sources], cuts)
+    out = []
+    for own, a, edges in zip(names, begin.tolist(), lefts):
+        mine = score[a : a + len(own)]
+        low, high = (mine.min() / 10, mine.max()) if len(edges) else (0.0, 1.0)
+        out.append(dict(zip(own, ((mine - low) / (high - low)).tolist())) if len(edges) else {w: 0.0 for w in own})
+    return out
+
+
+def text_rank(words: Sequence[str], stop_words: Sequence[str] = (), span: int = SPAN, rounds: int = ROUNDS, damping: float = DAMPING) -> dict[str, float]:
+    """`text_ranks` of one document."""
+    return text_ranks([words], stop_words, span, rounds, damping)[0]
+
+
+#: Words of documents that are worked on side by side.
+SIDE_WORDS = 200_000
 
 
 def text_rank_keywords(docs: DataFrame, n: int, id: str = "doc_id", words: str = "words", stop_words: Sequence[str] = ()) -> DataFrame:
@@ -60,11 +96,14 @@ def text_rank_keywords(docs: DataFrame, n: int, id: str = "doc_id", words: str =
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stop = frozenset(stop_words)
         for part in parts:
-            rows = []
-            for key, found in zip(part[id], part[words]):
-                ranked = sorted(text_rank(list(found) if found is not None else [], stop).items(), key=lambda x: (-x[1], x[0]))[:n]
-                rows += [(key, w, s, k + 1) for k, (w, s) in enumerate(ranked)]
-            yield pd.DataFrame(rows, columns=[id, "term", "weight", "rank"])
+            found = [list(x) if x is not None else [] for x in part[words]]
+            group = np.cumsum([len(x) for x in found]) // SIDE_WORDS
+            for g in np.unique(group).tolist():
+                rows, which = [], np.flatnonzero(group == g).tolist()
+                for i, scores in zip(which, text_ranks([found[i] for i in which], stop)):
+                    ranked = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:n]
+                    rows += [(part[id].iloc[i], w, s, k + 1) for k, (w, s) in enumerate(ranked)]
+                yield pd.DataFrame(rows, columns=[id, "term", "weight", "rank"])
 
     return docs.select(id, words).mapInPandas(run, f"{id} {docs.schema[id].dataType.simpleString()}, term string, weight double, rank int")
 

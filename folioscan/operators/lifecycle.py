@@ -11,19 +11,36 @@ from pyspark.sql import functions as F
 MOST_RETRIES, GRACE_SECONDS, SCAN_ROWS = 5, 5, 32
 
 
-def import_decisions(attempts: DataFrame, uid: str = "uid", sha: str = "sha", crashed: str = "crashed", order: Sequence[str] = ("ts",)) -> DataFrame:
+def import_decisions(attempts: DataFrame, uid: str = "uid", sha: str = "sha", crashed: str = "crashed", order: Sequence[str] = ("ts",), existing: DataFrame | None = None) -> DataFrame:
     """attempts with decision: NEW for a uid's first; CONFLICT where the content differs from the first; DUPLICATE once
-    an attempt of the same content has completed; RESUME otherwise.
+    an attempt of the same content has completed; RESUME otherwise. existing (uid, sha, status) is what is archived
+    already, one row a uid: it comes before all attempts, completed if its status is ARCHIVED.
 
     The content hash of an instance is written once, so the sequential machine is a function of the attempts before.
+    The attempts of one uid are taken in order and meet in one task.
     """
-    by = Window.partitionBy(uid).orderBy(*order)
+    rows = attempts.withColumn("_old", F.lit(1))
+    if existing is not None:
+        held = existing.select(F.col(uid).alias(uid), F.col(sha).alias(sha), (F.col("status") != "ARCHIVED").alias(crashed), F.lit(0).alias("_old"))
+        rows = rows.unionByName(held.join(attempts.select(F.col(uid)).distinct(), uid, "left_semi").select(*held.columns), allowMissingColumns=True)
+    by = Window.partitionBy(uid).orderBy("_old", *order)
     first = F.first(sha).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     same = F.col("_first").eqNullSafe(F.col(sha))
     done = F.max((same & ~F.col(crashed)).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    out = attempts.withColumn("_first", first).withColumn("_n", F.row_number().over(by)).withColumn("_done", done)
+    out = rows.withColumn("_first", first).withColumn("_n", F.row_number().over(by)).withColumn("_done", done)
     decision = F.when(F.col("_n") == 1, "NEW").when(~same, "CONFLICT").when(F.col("_done") == 1, "DUPLICATE").otherwise("RESUME")
-    return out.withColumn("decision", decision).drop("_first", "_n", "_done")
+    return out.withColumn("decision", decision).where("_old = 1").drop("_first", "_n", "_done", "_old")
+
+
+def states_after(decided: DataFrame, existing: DataFrame | None = None, uid: str = "uid", sha: str = "sha", crashed: str = "crashed") -> DataFrame:
+    """(uid, sha, status) after a batch of decisions: ARCHIVED once an import completed; else CONFLICT if other content
+    was ever offered meanwhile; else PARSED. What was archived stays; the content hash is that of the first attempt."""
+    completed = F.col("decision").isin("NEW", "RESUME") & ~F.col(crashed)
+    now = decided.select(F.col(uid), F.when(F.col("decision") != "CONFLICT", F.col(sha)).alias(sha), F.when(completed, 2).when(F.col("decision") == "CONFLICT", 1).otherwise(0).alias("rank"))
+    if existing is not None:
+        now = now.unionByName(existing.select(F.col(uid), F.col(sha), F.when(F.col("status") == "ARCHIVED", 2).when(F.col("status") == "CONFLICT", 1).otherwise(0).alias("rank")))
+    after = now.groupBy(uid).agg(F.max(sha).alias(sha), F.max("rank").alias("rank"))
+    return after.select(uid, sha, F.element_at(F.array(F.lit("PARSED"), F.lit("CONFLICT"), F.lit("ARCHIVED")), F.col("rank") + 1).alias("status"))
 
 
 def http_status(decision: Column, parsed: Column) -> Column:
@@ -64,6 +81,24 @@ def stuck_events(events: DataFrame, now: Column) -> DataFrame:
     return events.where((F.col("status") == "PUBLISHED") & (F.col("next_retry_at") <= now) & (F.col("retry_count") >= MOST_RETRIES))
 
 
+def dispatch(events: DataFrame, confirmed: DataFrame, now: Column, rows: int | None = SCAN_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(messages, events): what a round of the dispatcher sends, and the events after it. confirmed (id) are the sends
+    that the broker confirmed: only these move from PENDING to PUBLISHED; an event that was published already stays so.
+    Without a confirmation an event is sent again by a later round."""
+    due = compensation_scan(events, now, rows)
+    messages = due.select("id", F.to_json(F.struct(F.col("task_id"), F.col("instance_id"))).alias("value"))
+    sent = due.select("id").join(confirmed.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("_sent"))
+    after = events.join(sent, F.col("id") == F.col("_sent"), "left")
+    return messages, published(after, F.col("_sent").isNotNull()).drop("_sent")
+
+
+def event_paths(events: DataFrame, instances: DataFrame, event_key: str = "instance_id", key: str = "id") -> DataFrame:
+    """events with the storage_path of their instance; null where there is none, which a consumer treats as a failed
+    upload."""
+    known = instances.select(F.col(key).alias("_key"), "storage_path")
+    return events.join(known, F.col(event_key) == F.col("_key"), "left").drop("_key")
+
+
 def published(events: DataFrame, confirmed: Column) -> DataFrame:
     """events after a dispatch: only those still pending and confirmed by the broker move on."""
     return events.withColumn("status", F.when((F.col("status") == "PENDING") & confirmed, "PUBLISHED").otherwise(F.col("status")))

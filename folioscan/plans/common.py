@@ -2,8 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name where the driver and all executors can write: under spark.checkpoint.dir; a temporary one only
+    in a local session that has none."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    return f"{base}/folioscan-{uuid.uuid4().hex}"
+
+
+def write_files(spark: SparkSession, folder: str, files: dict[str, bytes]) -> None:
+    """A few small files, from the driver."""
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for name, data in files.items():
+        at = path(f"{folder}/{name}")
+        out = at.getFileSystem(conf).create(at)
+        out.write(bytearray(data))
+        out.close()

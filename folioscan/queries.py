@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.plans import archive, extensions, search
+from folioscan.plans import archive, extensions, imports, search
 
-PLANS = (search, archive, extensions)
+PLANS = (search, archive, imports, extensions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

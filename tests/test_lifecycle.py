@@ -106,7 +106,6 @@ def test_policy_and_checks(spark):
     df = spark.createDataFrame([(1, "M", "A"), (2, "X", None), (3, None, "B")], "id int, sex string, status string")
     bad = hierarchy.violations(df, "id", {"sex": ["M", "F", "O"], "status": ["A"]}, nullable=["sex"])
     assert {(r.id, r.column, r.value) for r in bad.collect()} == {(2, "sex", "X"), (2, "status", None), (3, "status", "B")}
-    assert hierarchy.duplicated_keys(spark.createDataFrame([(1,), (1,), (2,)], "k int"), ["k"]).collect()[0].n == 2
 
 
 def test_streamed_frames(spark, tmp_path):
