@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,9 +20,20 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def term_frequencies(docs: DataFrame, fields: Mapping[str, int], id: str = "doc_id", stop_words: Sequence[str] = ()) -> DataFrame:
-    """(id, term, tf): occurrences of each term, each weighted by its field's weight."""
-    parts = [F.transform(tokens(F.col(c), stop_words), lambda t: F.struct(t.alias("term"))) for c in fields]
+#: A column of text to a column of its words: `tokens` by default, or segmentation by a dictionary.
+Words = Callable[[Column], Column]
+
+
+def _words(text: Column, stop_words: Sequence[str], words: Words | None) -> Column:
+    if words is None:
+        return tokens(text, stop_words)
+    return F.filter(words(text), lambda t: (F.octet_length(t) > 1) & ~t.isin(*stop_words)) if stop_words else F.filter(words(text), lambda t: F.octet_length(t) > 1)
+
+
+def term_frequencies(docs: DataFrame, fields: Mapping[str, int], id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None) -> DataFrame:
+    """(id, term, tf): occurrences of each term, each weighted by its field's weight. Terms are what `words` makes of the
+    text, without those of a single byte and stop words."""
+    parts = [F.transform(_words(F.col(c), stop_words, words), lambda t: F.struct(t.alias("term"))) for c in fields]
     if len(fields) == 1:
         (weight,) = fields.values()
         words = docs.select(F.col(id), F.explode(parts[0]).alias("x")).select(id, "x.term")
@@ -57,23 +68,23 @@ def normalised(weights: DataFrame, id: str = "doc_id") -> DataFrame:
     return weights.withColumn("norm", norm).withColumn("weight", F.when(F.col("norm") > 0, F.col("weight") / F.col("norm")).otherwise(0.0)).drop("norm")
 
 
-def build(docs: DataFrame, fields: Mapping[str, int], id: str = "doc_id", stop_words: Sequence[str] = ()) -> DataFrame:
+def build(docs: DataFrame, fields: Mapping[str, int], id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None) -> DataFrame:
     """Normalised postings of documents that are already unique by id."""
-    return normalised(postings(term_frequencies(docs, fields, id, stop_words), docs.count(), id), id)
+    return normalised(postings(term_frequencies(docs, fields, id, stop_words, words), docs.count(), id), id)
 
 
-def search(index: DataFrame, queries: DataFrame, documents: int, k: int, id: str = "doc_id", stop_words: Sequence[str] = ()) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, documents: int, k: int, id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None) -> DataFrame:
     """(qid, id, score, rank): the k best documents of each query (qid, query) by cosine, score at six decimals, ties by id.
 
-    Only postings of the queries' terms are read: a few terms become a filter that reaches the scan, many are joined.
+    Queries are cut into words as the index was: give both the same `words`. Only postings of the queries' terms are read: a few terms become a filter that reaches the scan, many are joined.
     A query without a known term of some weight has no hits.
     """
-    words = queries.select("qid", F.explode(tokens(F.col("query"), stop_words)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    asked = [r.term for r in words.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    asked_words = queries.select("qid", F.explode(_words(F.col("query"), stop_words, words)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    asked = [r.term for r in asked_words.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
     rows = index.select(id, "term", "df", "weight")
     if len(asked) <= PUSHED_TERMS:
         rows = rows.where(F.col("term").isin(asked))
-    found = rows.join(small(words), "term").withColumn("q", F.col("qtf") * idf(F.col("df"), documents)).where("q > 0")
+    found = rows.join(small(asked_words), "term").withColumn("q", F.col("qtf") * idf(F.col("df"), documents)).where("q > 0")
     # the query's norm is over its distinct terms, the dot product over postings
     norms = found.groupBy("qid", "term").agg(F.first("q").alias("q")).groupBy("qid").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
     dots = found.groupBy("qid", id).agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,13 +24,16 @@ class Hmm:
 
 @dataclass
 class Dictionary:
-    """Words with log weights and tags. User words take the least, median or greatest weight of the rest."""
+    """Words with log weights and tags. A user word has the weight of its frequency if it has one, else the least, median
+    or greatest weight of the rest. limit bounds the length of the words that are found."""
 
     frequency: dict[str, float]
     tags: dict[str, str] = field(default_factory=dict)
     user: dict[str, str] = field(default_factory=dict)
     policy: str = "median"
     hmm: Hmm | None = None
+    user_frequency: dict[str, float] = field(default_factory=dict)
+    limit: int | None = None
 
     def __post_init__(self):
         total = sum(self.frequency.values()) or 1.0
@@ -38,17 +41,21 @@ class Dictionary:
         ordered = sorted(self.weight.values()) or [0.0]
         self.least = ordered[0]
         default = {"min": ordered[0], "median": ordered[len(ordered) // 2], "max": ordered[-1]}[self.policy]
-        self.weight |= {w: default for w in self.user}
+        self.weight |= {w: math.log(f / total) if (f := self.user_frequency.get(w, 0)) > 0 else default for w in self.user}
         self.tags |= self.user
-        self.longest = max(map(len, self.weight), default=1)
+        self.longest = min(max(map(len, self.weight), default=1), self.limit or 1 << 30)
 
-    def insert(self, word: str, tag: str = "") -> Dictionary:
-        return Dictionary(self.frequency, dict(self.tags), self.user | {word: tag}, self.policy, self.hmm)
+    def insert(self, word: str, tag: str = "", frequency: float = 0) -> Dictionary:
+        return replace(self, tags=dict(self.tags), user=self.user | {word: tag}, user_frequency=self.user_frequency | {word: frequency})
+
+    def limited(self, longest: int | None) -> Dictionary:
+        """Finds no word of more code points than that, in any mode."""
+        return self if longest is None else replace(self, tags=dict(self.tags), limit=longest)
 
     def delete(self, word: str) -> Dictionary:
         """Without this one word; others with the same beginning stay."""
         drop = lambda d: {k: v for k, v in d.items() if k != word}
-        return Dictionary(drop(self.frequency), drop(self.tags), drop(self.user), self.policy, self.hmm)
+        return replace(self, frequency=drop(self.frequency), tags=drop(self.tags), user=drop(self.user), user_frequency=drop(self.user_frequency))
 
     def words_at(self, text: str, i: int) -> list[int]:
         """Ends of dictionary words that start at i; the single character always counts."""
@@ -174,12 +181,14 @@ def for_search(text: str, d: Dictionary) -> list[str]:
 MODES = {"mix": mixed, "mp": most_probable, "full": full, "search": for_search, "hmm": lambda t, d: hidden_markov(t, d.hmm)}
 
 
-def segment(text: str, d: Dictionary, mode: str = "mix", separators: str = SEPARATORS) -> list[str]:
+def segment(text: str, d: Dictionary, mode: str = "mix", separators: str = SEPARATORS, longest: int | None = None) -> list[str]:
+    d = d.limited(longest)
     return [w for p in pieces(text, separators) for w in (MODES[mode](p, d) if p not in separators else [p])]
 
 
-def segmented(text: Column, d: Dictionary, mode: str = "mix", separators: str = SEPARATORS) -> Column:
+def segmented(text: Column, d: Dictionary, mode: str = "mix", separators: str = SEPARATORS, longest: int | None = None) -> Column:
     """Words of a text column over Arrow batches; the dictionary travels with the function."""
+    d = d.limited(longest)
 
     @F.pandas_udf("array<string>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -189,13 +198,20 @@ def segmented(text: Column, d: Dictionary, mode: str = "mix", separators: str =
     return run(text)
 
 
+def words_by(d: Dictionary, mode: str = "mix", separators: str = SEPARATORS) -> Callable[[Column], Column]:
+    """How an index and its queries cut text into words, for `index.build`, `index.search` and the search service: so
+    that a word of unspaced text is found. Separators, blanks and ASCII punctuation are no words."""
+    return lambda text: F.filter(segmented(text, d, mode, separators), lambda w: ~F.rlike(w, F.lit(r"^[\p{P}\p{S}\p{Z}\p{C}]*$")))
+
+
 def read_dictionary(lines: Iterable[str], user_lines: Iterable[str] = (), policy: str = "median", hmm: Hmm | None = None) -> Dictionary:
     """Lines of word, frequency, tag; user lines of word, [frequency,] [tag]."""
-    frequency, tags, user = {}, {}, {}
+    frequency, tags, user, own = {}, {}, {}, {}
     for parts in (x.split() for x in lines):
         if len(parts) == 3:
             frequency[parts[0]], tags[parts[0]] = float(parts[1]), parts[2]
     for parts in (x.split() for x in user_lines):
         if parts:
             user[parts[0]] = parts[-1] if len(parts) > 1 and not parts[-1].isdigit() else ""
-    return Dictionary(frequency, tags, user, policy, hmm)
+            own |= {parts[0]: float(x) for x in parts[1:2] if x.isdigit()}
+    return Dictionary(frequency, tags, user, policy, hmm, own)

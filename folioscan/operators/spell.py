@@ -22,17 +22,39 @@ def deletions(word: Column, most: int) -> Column:
     return F.array_distinct(out)
 
 
-def within_distance(queries: DataFrame, terms: DataFrame, most: int = MOST_DISTANCE) -> DataFrame:
+#: Deletion variants of queries that are pushed into the scan as a filter.
+PUSHED = 2000
+
+
+def variants(terms: DataFrame, most: int = MOST_DISTANCE) -> DataFrame:
+    """(term, freq, block): each term under the hash of each of its deletion variants. Publish it, laid out by block: a
+    query then reads the blocks of its own variants alone."""
+    return _blocked(terms.select("term", "freq"), "term", most)
+
+
+def _blocked(df: DataFrame, column: str, most: int) -> DataFrame:
+    return df.withColumn("block", F.explode(F.array_distinct(F.transform(deletions(F.col(column), most), lambda x: F.xxhash64(x)))))
+
+
+def within_distance(queries: DataFrame, known: DataFrame, most: int = MOST_DISTANCE) -> DataFrame:
     """(query, term, freq, distance) with Levenshtein distance at most `most`, by an equality join on hashed deletion
-    variants, then exact distances. Rows grow with word length, not with the product of the sides."""
-    blocked = lambda df, c: df.withColumn("block", F.explode(F.array_distinct(F.transform(deletions(F.col(c), most), lambda x: F.xxhash64(x)))))
+    variants (known: `variants` of the terms), then exact distances. Rows grow with word length, not with the product of
+    the sides. The variants of a few queries become a filter that reaches the scan."""
+    asked = _blocked(queries.select("query").distinct(), "query", most)
+    blocks = [r.block for r in asked.select("block").distinct().limit(PUSHED + 1).collect()]
+    if len(blocks) <= PUSHED:
+        known = known.where(F.col("block").isin(blocks))
     close = F.abs(F.char_length("query") - F.char_length("term")) <= most
-    pairs = blocked(queries.select("query").distinct(), "query").join(blocked(terms, "term"), "block").where(close).select("query", "term", "freq").distinct()
+    pairs = asked.join(known, "block").where(close).select("query", "term", "freq").distinct()
     return pairs.withColumn("distance", F.levenshtein("query", "term", most)).where("distance >= 0")
 
 
 def suggest(queries: DataFrame, terms: DataFrame, most: int = MOST_DISTANCE, k: int = SUGGESTIONS) -> DataFrame:
-    """(query, term, distance, freq, rank): the k nearest words, frequent ones first, then by the word."""
-    merged = terms.groupBy("term").agg(F.sum("freq").alias("freq"))
+    """(query, term, distance, freq, rank): the k nearest of terms (term, freq), frequent ones first, then by the word."""
+    return nearest(queries, variants(terms.groupBy("term").agg(F.sum("freq").alias("freq")), most), most, k)
+
+
+def nearest(queries: DataFrame, known: DataFrame, most: int = MOST_DISTANCE, k: int = SUGGESTIONS) -> DataFrame:
+    """`suggest` from published variants of unique terms."""
     order = Window.partitionBy("query").orderBy("distance", F.desc("freq"), "term")
-    return within_distance(queries, merged, most).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return within_distance(queries, known, most).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -88,7 +88,9 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_children_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without an urgent order."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +223,7 @@ GROUP BY ROLLUP (r_name, n_name, c_mktsegment)""",
     "upsert_latest_name": _UPSERT.format("arg_max"),
     "upsert_first_wins": _UPSERT.format("arg_min"),
     "point_lookup": f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = {CUSTOMER}",
-    "missing_children_anti_join": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "missing_children_anti_join": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "import_decisions": f"WITH {_DECIDED} SELECT event_id, uid, decision, CASE decision WHEN 'CONFLICT' THEN 409 WHEN 'DUPLICATE' THEN 200 ELSE 201 END AS status FROM d",
     "import_outcome_counts": f"WITH {_DECIDED} SELECT decision, count(*) AS n FROM d GROUP BY decision",
     "outbox_rows": f"WITH {_DECIDED} SELECT sha256(uid || '|' || event_id) AS task_id, uid, 'PENDING' AS status, 0 AS retry_count FROM d WHERE decision IN ('NEW', 'RESUME') AND NOT crashed",

@@ -31,3 +31,10 @@ def write_files(spark: SparkSession, folder: str, files: dict[str, bytes]) -> No
         out = at.getFileSystem(conf).create(at)
         out.write(bytearray(data))
         out.close()
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """Size and time of a file, or of the files of a folder: another one when the data changes."""
+    conf, at = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at)))

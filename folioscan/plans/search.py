@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from folioscan.functions.text import search_ngrams, snippet, tokens
 from folioscan.operators import index, keywords, segment, spell
-from folioscan.plans.common import table
+from folioscan.plans.common import fingerprint, scratch, table
+from folioscan.sources import store
 
 #: The fixed query of the flagship, its page, and the word that snippets are made for.
 QUERY, PAGE, SNIPPET_TERM = "the ofantion ingnd thstble cióndo ungen", 10, "ing"
-#: Misspelt ASCII words that suggestions are asked for.
-MISSPELT = ("thstble", "ingndd", "andrreh", "tionb", "eraning", "ofre")
+#: Misspelt words that suggestions are asked for.
+MISSPELT = ("thstble", "ingndd", "andrreh", "tionb", "eraning", "ofre", "ciónd", "êmont", "geöüch")
+#: Published indexes of this session: by application, table and state of its files.
+_published: dict[tuple, tuple[str, int]] = {}
 
 
 def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,22 @@ def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return index.build(docs, {"text": 1}), docs.count()
 
 
+def _stored(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, int]:
+    """A table of the published index of documents, and their number. What queries read is built and published on first
+    use, and again when the documents' files change."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, fingerprint(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _published:
+        folder = scratch(spark)
+        if name == "variants":
+            made, n = spell.variants(index.document_frequencies(_tf(spark, sf_dir)).withColumnRenamed("df", "freq")), 0
+        else:
+            made, n = _index(spark, sf_dir)
+        store.publish(spark, folder, {name: made})
+        _published[key] = folder, n
+    folder, n = _published[key]
+    return store.load(spark, folder, name), n
+
+
 def tfidf_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return index.postings(_tf(spark, sf_dir), docs.count()).select("doc_id", "term", "tf", F.round("weight", 5).alias("weight"))
@@ -38,7 +57,7 @@ def postings_l2_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
-    built, n = _index(spark, sf_dir)
+    built, n = _stored(spark, sf_dir, "postings")
     return index.search(built, queries, n, PAGE)
 
 
@@ -75,18 +94,12 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", snippet(F.col("text"), F.lit(SNIPPET_TERM)).alias("snippet"))
 
 
-def _ascii_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.document_frequencies(_tf(spark, sf_dir)).where(F.rlike("term", F.lit("^[A-Za-z0-9]+$"))).withColumnRenamed("df", "freq")
-
-
 def spell_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(MISSPELT[0],)], "query string")
-    return spell.suggest(asked, _ascii_terms(spark, sf_dir))
+    return spell.nearest(spark.createDataFrame([(MISSPELT[0],)], "query string"), _stored(spark, sf_dir, "variants")[0])
 
 
 def spell_suggest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(w,) for w in MISSPELT], "query string")
-    return spell.suggest(asked, _ascii_terms(spark, sf_dir))
+    return spell.nearest(spark.createDataFrame([(w,) for w in MISSPELT], "query string"), _stored(spark, sf_dir, "variants")[0])
 
 
 def keyword_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +109,10 @@ def keyword_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_default_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IDF is learnt from documents of even id; terms it lacks take the mean."""
-    tf, docs = _tf(spark, sf_dir), table(spark, sf_dir, "documents")
-    n = docs.where("doc_id % 2 = 0").count()
-    known = index.document_frequencies(tf.where("doc_id % 2 = 0")).select("term", F.round(index.idf(F.col("df"), n), 9).alias("idf"))
-    return keywords.top_keywords(tf, known, 3).select("doc_id", "weight")
+    """The table of IDF values lacks all words with a capital letter; these take its mean."""
+    tf, n = _tf(spark, sf_dir), table(spark, sf_dir, "documents").count()
+    known = index.document_frequencies(tf.where(~F.rlike("term", F.lit("[A-Z]")))).select("term", F.round(index.idf(F.col("df"), n), 9).alias("idf"))
+    return keywords.top_keywords(tf, known, 3)
 
 
 def keyword_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +126,11 @@ def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_mode_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = index.document_frequencies(_tf(spark, sf_dir))
-    grams = terms.select(F.explode(search_ngrams(F.col("term"))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n"))
+    """Every term with its pairs and triples that are terms themselves."""
+    terms = index.document_frequencies(_tf(spark, sf_dir)).select("term")
+    grams = terms.select("term", F.explode(search_ngrams(F.col("term"))).alias("gram"))
+    known = grams.join(terms.withColumnRenamed("term", "gram"), "gram", "left_semi")
+    return known.groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def textrank_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,13 +145,20 @@ def pos_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.tagged(terms, known).select("word", "tag")
 
 
+def _dictionary(spark: SparkSession, sf_dir: str) -> segment.Dictionary:
+    """The words of the benchmark's items, a table of limited size, with a small model for what it lacks."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
+    letters = "abcdefghijklmnopqrstuvwxyzäçèéêíñóöüß"
+    emit = [{c: -1.0 - ((7 * i + 3 * k) % 11) / 4 for i, c in enumerate(letters)} for k in range(4)]
+    hmm = segment.Hmm([-0.3, segment.IMPOSSIBLE, segment.IMPOSSIBLE, -1.4], [[segment.IMPOSSIBLE, -0.5, -0.9, segment.IMPOSSIBLE], [-0.6, segment.IMPOSSIBLE, segment.IMPOSSIBLE, -0.8], [segment.IMPOSSIBLE, -0.3, -1.3, segment.IMPOSSIBLE], [-0.7, segment.IMPOSSIBLE, segment.IMPOSSIBLE, -0.7]], emit)
+    return segment.Dictionary({r.w: float(r.n) for r in words}, hmm=hmm)
+
+
 def segment_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that each mode finds in every document, with the most used terms as dictionary."""
-    docs = table(spark, sf_dir, "documents")
-    top = index.document_frequencies(_tf(spark, sf_dir)).orderBy(F.desc("df"), "term").limit(500).collect()
-    d = segment.Dictionary({r.term: float(r.df) for r in top})
-    counts = [F.size(segment.segmented(F.col("text"), d, mode)).alias(f"n_{mode}") for mode in ("mix", "mp", "full", "search")]
-    return docs.select("doc_id", *counts)
+    """Numbers of words that each mode finds in every document by a given dictionary, also with words of up to four."""
+    docs, d = table(spark, sf_dir, "documents"), _dictionary(spark, sf_dir)
+    counts = [F.size(segment.segmented(F.col("text"), d, mode)).alias(f"n_{mode}") for mode in ("mix", "mp", "full", "search", "hmm")]
+    return docs.select("doc_id", *counts, F.size(segment.segmented(F.col("text"), d, "mp", longest=4)).alias("n_short"))
 
 
 def top_terms_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,10 +206,14 @@ def _edge(at: str, step: str) -> str:
     return f"(({at}) {step} ({one} + {one} * {two} + {one} * {two} * {three}))"
 
 
+#: DuckDB counts the bytes of an edit, so each letter of the four languages beyond ASCII stands as one byte that no word has.
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöüÀàÂâÎîÔôÛûÚúÁáœŒËëÏïÙù"
+_BYTES = " || ".join(f"chr({k})" for k in range(14, 14 + 18)) + " || ' !\"#$%&()*+,-./:;<=>?@[]^_{|}~'"
+_ONE_BYTE = f"translate(term, '{_LETTERS}', {_BYTES})"
 _SUGGEST = """WITH {tf},
-t AS (SELECT term, df AS freq FROM df WHERE regexp_matches(term, '^[A-Za-z0-9]+$')),
-q AS (SELECT unnest([{words}]) AS query),
-d AS (SELECT query, term, levenshtein(query, term)::INT AS distance, freq FROM q, t WHERE abs(len(query) - len(term)) <= 2)
+t AS (SELECT term, {one} AS bytes, df AS freq FROM df),
+q AS (SELECT term AS query, {one} AS bytes FROM (SELECT unnest([{words}]) AS term)),
+d AS (SELECT query, term, levenshtein(q.bytes, t.bytes)::INT AS distance, freq FROM q, t WHERE abs(len(query) - len(term)) <= 2)
 SELECT *, (row_number() OVER (PARTITION BY query ORDER BY distance, freq DESC, term))::INT AS rank FROM d WHERE distance <= 2 QUALIFY rank <= 5"""
 
 SQL = {
@@ -210,14 +235,14 @@ e AS (SELECT *, {_edge(f"least(n, lo + {len(SNIPPET_TERM)} + 48)", "+")} AS hi F
 SELECT doc_id, CASE WHEN n = 0 THEN ''
   WHEN p > 0 THEN CASE WHEN lo > 0 THEN '...' ELSE '' END || decode(unhex(substr(c, 2 * lo + 1, 2 * (hi - lo)))) || CASE WHEN hi < n THEN '...' ELSE '' END
   ELSE decode(unhex(substr(c, 1, 2 * open))) || CASE WHEN n > open THEN '...' ELSE '' END END AS snippet FROM e""",
-    "spell_suggest": _SUGGEST.format(tf=_TF, words=f"'{MISSPELT[0]}'"),
-    "spell_suggest_batch": _SUGGEST.format(tf=_TF, words=", ".join(f"'{w}'" for w in MISSPELT)),
+    "spell_suggest": _SUGGEST.format(tf=_TF, one=_ONE_BYTE, words=f"'{MISSPELT[0]}'"),
+    "spell_suggest_batch": _SUGGEST.format(tf=_TF, one=_ONE_BYTE, words=", ".join(f"'{w}'" for w in MISSPELT)),
     "keyword_topn": f"""WITH {_TF} SELECT doc_id, rank, term, weight FROM (SELECT doc_id, term, round(weight, 6) AS weight, (row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 6) DESC, term))::INT AS rank FROM p) WHERE rank <= 5""",
     "keyword_default_idf": f"""WITH {_TF},
-m AS (SELECT count(*)::DOUBLE AS m FROM documents WHERE doc_id % 2 = 0),
-k AS (SELECT term, round(ln(m / count(*)), 9) AS idf FROM tf, m WHERE doc_id % 2 = 0 GROUP BY term, m),
+k AS (SELECT term, round(ln(n / df), 9) AS idf FROM df, n WHERE NOT regexp_matches(term, '[A-Z]')),
 x AS (SELECT doc_id, term, round(tf * coalesce(idf, (SELECT avg(idf) FROM k)), 6) AS weight FROM tf LEFT JOIN k USING (term))
-SELECT doc_id, weight FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 3""",
+SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term))::INT AS rank FROM x QUALIFY rank <= 3""",
+    "search_results_json": _search_sql(_MANY, """SELECT qid, '{"count":' || count(*) || ',"hits":[' || string_agg('{"doc_id":' || doc_id || ',"score":' || round(score, 4) || '}', ',' ORDER BY rank) || ']}' AS json FROM h GROUP BY qid"""),
     "keyword_offsets": r"""
 WITH a AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS m, regexp_split_to_array(text, '[\p{L}\p{N}]+') AS b FROM documents),
 c AS (SELECT doc_id, i, m[i] AS term, b[i] AS between_ FROM (SELECT doc_id, m, b, unnest(range(1, len(m) + 1)) AS i FROM a)),
@@ -227,7 +252,7 @@ SELECT doc_id, term, count(*) AS tf, string_agg(o, ',' ORDER BY o) AS offsets FR
     "search_mode_ngrams": f"""WITH {_TF},
 g AS (SELECT term AS gram FROM df UNION ALL SELECT substr(term, i, 2) FROM (SELECT term, unnest(range(1, length(term))) AS i FROM df WHERE length(term) > 2)
   UNION ALL SELECT substr(term, i, 3) FROM (SELECT term, unnest(range(1, length(term) - 1)) AS i FROM df WHERE length(term) > 3))
-SELECT gram, count(*) AS n FROM g GROUP BY gram""",
+SELECT gram, count(*) AS n FROM g WHERE gram IN (SELECT term FROM df) GROUP BY gram""",
     "pos_tags": f"""WITH {_TF},
 k AS (SELECT * FROM (VALUES ('the', 'r'), ('of', 'p'), ('de', 'p'), ('und', 'c'), ('la', 'r')) AS v(word, tag)),
 s AS (SELECT term AS word, substr(regexp_replace(term, '[^\\x00-\\x7f]', '', 'g'), 1, (length(term) // 2)::INT) AS seen FROM df)

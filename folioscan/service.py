@@ -7,6 +7,7 @@ import time
 from collections import OrderedDict
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,19 +42,36 @@ class ResultCache:
             self.held.popitem(last=False)
 
 
-def build_index(spark: SparkSession, reports_dir: str, index_dir: str) -> int:
-    """Scan, parse, keep the first report of each id, weigh, normalise, publish; returns the new version."""
+def build_index(spark: SparkSession, reports_dir: str, index_dir: str, words: index.Words | None = None) -> int:
+    """Scan, parse, keep the first report of each id, weigh, normalise, publish; returns the new version. Terms and
+    their deletion variants are published with it, for suggestions. words says how text is cut (`segment.words_by`)."""
     records, _ = reports.parse(reports.read_files(spark, reports_dir))
     unique = reports.unique_reports(records)
-    weights = index.build(unique, FIELDS, id="report_id")
-    return store.publish(spark, index_dir, {"docs": unique, "postings": weights})
+    weights = index.build(unique, FIELDS, id="report_id", words=words)
+    terms = weights.select("term", F.col("df").alias("freq")).distinct()
+    return store.publish(spark, index_dir, {"docs": unique, "postings": weights, "variants": spell.variants(terms)})
+
+
+def main(arguments: list[str] | None = None) -> int:
+    """python -m folioscan.service --build-index [settings.ini]: builds the next version of the index."""
+    import argparse
+
+    parser = argparse.ArgumentParser()
+    parser.add_argument("--build-index", action="store_true", required=True)
+    parser.add_argument("settings", nargs="?")
+    asked = parser.parse_args(arguments)
+    settings = Settings.load(asked.settings)
+    spark = SparkSession.builder.appName("folioscan").getOrCreate()
+    print(json.dumps({"version": build_index(spark, settings.reports_dir, settings.index_dir)}))
+    return 0
 
 
 class SearchService:
     """Answers from the latest version, as found at the time of each query."""
 
-    def __init__(self, spark: SparkSession, settings: Settings, archived: DataFrame | None = None):
-        self.spark, self.settings, self.archived = spark, settings, archived
+    def __init__(self, spark: SparkSession, settings: Settings, archived: DataFrame | None = None, words: index.Words | None = None):
+        """words must be what the index was built with."""
+        self.spark, self.settings, self.archived, self.words = spark, settings, archived, words
         self.cache = ResultCache(settings.cache_entries, settings.cache_seconds)
 
     def _version(self) -> int:
@@ -69,23 +87,29 @@ class SearchService:
             return known
         docs, postings = (store.load(self.spark, self.settings.index_dir, t, version) for t in ("docs", "postings"))
         asked = self.spark.createDataFrame([(0, query)], "qid int, query string")
-        hits = index.search(postings, asked, docs.count(), self.settings.top_k, id="report_id").join(docs, "report_id")
-        if self.archived is not None:
-            hits = index.with_link_flag(hits, self.archived, "study_instance_uid")
-        else:
-            hits = hits.withColumn("has_image", F.lit(False))
+        hits = index.search(postings, asked, docs.count(), self.settings.top_k, id="report_id", words=self.words).join(docs, "report_id")
         text = F.concat_ws(" ", "conclusion", "description")
-        first = F.element_at(F.filter(tokens(F.lit(query)), lambda t: F.contains(text, t)), 1)
-        hits = hits.select("rank", "report_id", F.col("patient_name").alias("patient"), F.col("exam_date").alias("date"), "modality", F.round("score", 4).alias("score"), "has_image", snippet(text, F.coalesce(first, F.lit(query))).alias("snippet"))
-        rows = [{k: v for k, v in r.asDict().items() if k != "rank"} for r in hits.orderBy("rank").collect()]
+        cut = self.words or tokens
+        said = [w for w in asked.select(cut(F.col("query")).alias("w")).first().w if len(w.encode()) > 1]
+        first = F.coalesce(*(F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in said), F.lit(query))
+
+        def answered(hits: DataFrame) -> list[dict]:
+            shown = hits.select("rank", "report_id", F.col("patient_name").alias("patient"), F.col("exam_date").alias("date"), "modality", F.round("score", 4).alias("score"), "has_image", snippet(text, first).alias("snippet"))
+            return [{k: v for k, v in r.asDict().items() if k != "rank"} for r in shown.orderBy("rank").collect()]
+
+        plain = hits.withColumn("has_image", F.lit(False))
+        try:
+            rows = answered(plain if self.archived is None else index.with_link_flag(hits, self.archived, "study_instance_uid"))
+        except PySparkException:  # without the archive, reports are still found, without their images
+            rows = answered(plain)
         out = json.dumps({"query": query, "version": version, "count": len(rows), "hits": rows}, ensure_ascii=False)
         self.cache.put(key, out)
         return out
 
     def suggest(self, query: str) -> str:
-        terms = store.load(self.spark, self.settings.index_dir, "postings").select("term", F.col("df").alias("freq")).distinct()
+        known = store.load(self.spark, self.settings.index_dir, "variants")
         asked = self.spark.createDataFrame([(query,)], "query string")
-        rows = spell.suggest(asked, terms, k=self.settings.suggestions).orderBy("rank").collect()
+        rows = spell.nearest(asked, known, k=self.settings.suggestions).orderBy("rank").collect()
         return json.dumps({"query": query, "suggestions": [{"term": r.term, "distance": r.distance, "freq": r.freq} for r in rows]}, ensure_ascii=False)
 
     def answer(self, kind: int, payload: bytes) -> tuple[int, bytes]:
@@ -95,3 +119,7 @@ class SearchService:
         if kind == 0x02:
             return 0x12, self.suggest(payload.decode()).encode()
         return 0x7F, json.dumps({"error": "bad type"}).encode()
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -24,11 +24,13 @@ def versions(spark: SparkSession, folder: str, published: bool = True) -> list[i
 
 
 def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], partitions: int | None = None) -> int:
-    """Writes tables as the next version and returns it. Postings are laid out by term, so that a query reads few files."""
+    """Writes tables as the next version and returns it. Postings are laid out by term, spelling
+    variants by block, so that a query reads few files."""
     version = max(versions(spark, folder, published=False), default=0) + 1
     for name, df in tables.items():
-        if "term" in df.columns:
-            df = (df.repartitionByRange(partitions, "term") if partitions else df.repartitionByRange("term")).sortWithinPartitions("term")
+        key = next((c for c in ("block", "term") if c in df.columns), None)
+        if key:
+            df = (df.repartitionByRange(partitions, key) if partitions else df.repartitionByRange(key)).sortWithinPartitions(key)
         df.write.parquet(f"{folder}/v{version}/{name}")
     jvm, fs, _ = _files(spark, folder)
     fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/v{version}/{MARKER}")).close()

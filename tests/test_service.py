@@ -98,3 +98,40 @@ def test_select(spark, tmp_path):
     assert select.select(spark, str(tmp_path / "x.json"), "SELECT b.c FROM {source}", "json").first()[0] == "z"
 
 
+def test_unspaced_text_is_found(spark, tmp_path):
+    """Build and search cut words by the same dictionary, so a word inside of unspaced text is found."""
+    from folioscan.operators import segment
+
+    words = segment.words_by(segment.Dictionary({"肺结节": 5, "结节": 8, "右肺": 6, "上叶": 6, "考虑": 9, "骨折": 5, "左臂": 4}))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, finding in enumerate(["右肺上叶结节影，考虑肺结节", "左臂骨折", "考虑骨折"]):
+        (folder / f"r{k}.xml").write_text(GOOD.format(f"R{k}", "").replace("肺结节", finding))
+    settings = Settings(reports_dir=str(folder), index_dir=str(tmp_path / "index"))
+    service.build_index(spark, settings.reports_dir, settings.index_dir, words)
+    s = service.SearchService(spark, settings, words=words)
+    found = lambda q: [h["report_id"] for h in json.loads(s.search(q))["hits"]]
+    assert found("肺结节") == ["R0"] and set(found("骨折")) == {"R1", "R2"} and found("右肺上叶") == ["R0"] and found("脑") == []
+    assert {"term": "肺结节", "distance": 2, "freq": 1} in json.loads(s.suggest("肺节结"))["suggestions"]
+
+
+def test_search_without_the_archive(spark, built):
+    """If the archive cannot be read, reports are found all the same, without their images."""
+    broken = spark.createDataFrame([("x",)], "study_instance_uid string").select(F.raise_error(F.lit("archive is down")).cast("string").alias("study_instance_uid"))
+    got = json.loads(service.SearchService(spark, built, broken).search("骨折"))
+    assert got["count"] == 2 and not any(h["has_image"] for h in got["hits"])
+
+
+def test_files_are_stored_whole_or_not(spark, tmp_path):
+    (tmp_path / "a.dcm").write_bytes(b"one")
+    (tmp_path / "b.dcm").write_bytes(b"two")
+    root = str(tmp_path / "store")
+    done = archive.store_files(spark, [(str(tmp_path / "a.dcm"), "1/2/3.dcm"), (str(tmp_path / "missing.dcm"), "1/2/4.dcm"), (str(tmp_path / "b.dcm"), "1/2/3.dcm")], root)
+    assert done == [True, False, True] and (tmp_path / "store/1/2/3.dcm").read_bytes() == b"two"
+    assert not [p for p in (tmp_path / "store/.staging").rglob("*") if p.is_file() and not p.name.endswith(".crc")]
+
+
+def test_build_from_the_command_line(spark, built, tmp_path, monkeypatch, capsys):
+    monkeypatch.setenv("FOLIOSCAN_REPORTS_DIR", built.reports_dir)
+    monkeypatch.setenv("FOLIOSCAN_INDEX_DIR", str(tmp_path / "i"))
+    assert service.main(["--build-index"]) == 0 and json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"version": 1}

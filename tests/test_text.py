@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import math
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -105,7 +107,7 @@ def test_spelling_equals_all_pairs(spark):
     words = sorted({"".join(r.choice("ab肺") for _ in range(r.randint(1, 6))) for _ in range(150)})
     terms = spark.createDataFrame([(w, 1) for w in words], "term string, freq long")
     asked = [*words[::9], "肺节结"]
-    got = {(x.query, x.term, x.distance) for x in spell.within_distance(spark.createDataFrame([(w,) for w in asked], "query string"), terms).collect()}
+    got = {(x.query, x.term, x.distance) for x in spell.within_distance(spark.createDataFrame([(w,) for w in asked], "query string"), spell.variants(terms)).collect()}
     assert got == {(q, w, d) for q in asked for w in words if (d := distance(q, w)) <= 2}
 
 
@@ -142,7 +144,9 @@ DICT = segment.Dictionary({"南京": 5, "南京市": 4, "长江": 5, "大桥": 5
 def test_segmentation():
     assert segment.hidden_markov("IBM,1.2,123", None) == ["IBM", ",", "1.2", ",", "123"]
     assert segment.most_probable("南京市长江大桥", DICT) == ["南京市", "长江大桥"]
-    assert segment.most_probable("南京市长江大桥", DICT, 2) == ["南京", "市长", "江", "大桥"] or segment.most_probable("南京市长江大桥", DICT, 2) == ["南京", "市", "长江", "大桥"]
+    assert segment.most_probable("南京市长江大桥", DICT, 2) == ["南京", "市", "长江", "大桥"]
+    for mode in ("mix", "mp", "full", "search"):
+        assert max(map(len, segment.segment("南京市长江大桥", DICT, mode, longest=2))) == 2 and "长江大桥" in segment.segment("南京市长江大桥", DICT, mode)
     assert segment.for_search("长江大桥", DICT) == ["长江", "大桥", "长江大桥"]
     assert set(segment.full("南京市长江", DICT)) == {"南京", "南京市", "市长", "长江"}
     assert segment.segment("南京，长江 x", DICT) == ["南京", "，", "长江", " ", "x"]
@@ -176,3 +180,23 @@ def test_tags(spark):
 def test_unique_adjacent(spark):
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate(["a", "a", None, None, "b", "a"])], "k int, i int, v string")
     assert [r.v for r in dedup.unique_adjacent(df, ["k"], ["i"], "v").orderBy("i").collect()] == ["a", None, "b", "a"]
+
+
+def test_user_words_with_a_frequency():
+    d = segment.read_dictionary(["南京 60 ns", "长江 30 ns", "云 10 n"], ["区块 10 n", "云计算 5", "蓝翔 nz", "工具"])
+    assert d.weight["区块"] == pytest.approx(math.log(10 / 100)) and d.weight["云计算"] == pytest.approx(math.log(5 / 100))
+    assert d.weight["蓝翔"] == d.weight["工具"] == pytest.approx(math.log(30 / 100)) and (d.tags["区块"], d.tags["蓝翔"], d.tags["工具"]) == ("n", "nz", "")
+    more = d.insert("长江学者", "n", 20)
+    assert more.weight["长江学者"] == pytest.approx(math.log(20 / 100)) and "长江学者" not in d.weight and "长江学者" not in more.delete("长江学者").weight
+    assert segment.segment("长江学者云计算", more) == ["长江学者", "云计算"]
+
+
+def test_modes_on_one_text():
+    """The same text in every mode, by a dictionary where the modes differ."""
+    d = segment.Dictionary({"我": 50, "来到": 20, "北京": 30, "清华": 8, "清华大学": 10, "华大": 3, "大学": 20, "杭研": 2})
+    text = "我来到北京清华大学"
+    assert segment.segment(text, d, "mp") == segment.segment(text, d, "mix") == ["我", "来到", "北京", "清华大学"]
+    assert segment.segment(text, d, "full") == ["我", "来到", "北京", "清华", "清华大学", "华大", "大学"]
+    assert segment.segment(text, d, "search") == ["我", "来到", "北京", "清华", "华大", "大学", "清华大学"]
+    assert segment.segment(text, d, "hmm") == list(text)
+    assert segment.segment("，。 ", d) == ["，", "。", " "] and segment.segment("", d) == []
