@@ -14,10 +14,18 @@ from folioscan.llm.common import arrow_limits, byte_values, mixed, per_row, span
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: A document is rejected if failing lines hold more than this percentage of its words.
 MOST_LOST = 50
-#: Line rules. A line's last characters, its cells, its share of symbols and of capitals, and notices.
-ENDS = re.compile(rb"(?:[.!?:;,]|[.!?]['\")\]]|\xe2\x80\xa6|\xe2\x80\x9d|\xc2\xbb)[\x20\x09-\x0d]*\Z")
+#: Line rules. A line's last characters (of Latin, Greek, Arabic, Indic and East Asian scripts), its cells, its share of
+#: symbols and of capitals, and notices, in English, German, French and Spanish: other languages need their own.
+MARKS = "…”»。！？：；，」』؟۔।॥·"
+ENDS = re.compile(rb"(?:[.!?:;,]|[.!?]['\")\]]|" + b"|".join(c.encode() for c in MARKS) + rb")[\x20\x09-\x0d]*\Z")
 LEAST_CELLS, SYMBOL_PERCENT, SHORT_LINE = 3, 5, 4
-NOTICE = re.compile(rb"all rights reserved|licensed under|released under|under the terms of|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|subscribe to|sign up for|click here|log in to|skip to content")
+NOTICES = (
+    "all rights reserved|licensed under|released under|under the terms of|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|subscribe to|sign up for|click here|log in to|skip to content",
+    "alle rechte vorbehalten|ver.ffentlicht unter der lizenz|nutzungsbedingungen|cookie-richtlinie|javascript aktivieren|newsletter abonnieren|hier klicken|zum inhalt springen|jetzt anmelden",
+    "tous droits r.serv|sous licence|conditions d.utilisation|politique de confidentialit|activer javascript|abonnez-vous|cliquez ici|aller au contenu|se connecter",
+    "todos los derechos reservados|bajo licencia|t.rminos de uso|pol.tica de (?:privacidad|cookies)|active javascript|habilite javascript|haga clic|saltar al contenido|iniciar sesi",
+)
+NOTICE = re.compile("|".join(NOTICES).replace(".", "(?:[\\x00-\\x7f]|[\\xc0-\\xff][\\x80-\\xbf]+)").encode("latin-1"))
 SYMBOLS = b"#*$%&|<>"
 _ASCII_UPPER, _ASCII_LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 
@@ -124,11 +132,11 @@ twice AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win
 rep AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM twice WHERE c > 1) GROUP BY doc_id),
 ln AS (SELECT doc_id, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, unnest(lines) AS l FROM w)),
 bad AS (SELECT doc_id, l, len(lw) AS n,
-    NOT regexp_matches(l, '([.!?:;,]|[.!?][''")\]]|…|”|»)[\x20\x09-\x0D]*$')
+    NOT regexp_matches(l, '([.!?:;,]|[.!?][''")\]]|[@MARKS@])[\x20\x09-\x0D]*$')
     OR len(l) - len(replace(l, '|', '')) >= 3
     OR 100 * (len(regexp_extract_all(l, '[#*$%&|<>]'))) > 5 * octet_length(encode(l))
     OR (len(regexp_extract_all(l, '[A-Z]')) > 4 AND len(regexp_extract_all(l, '[A-Z]')) > len(regexp_extract_all(l, '[a-z]')))
-    OR regexp_matches(l, '(?i)(all rights reserved|licensed under|released under|under the terms of|cookie policy|privacy policy|terms of (use|service)|enable javascript|subscribe to|sign up for|click here|log in to|skip to content)') AS fails
+    OR regexp_matches(l, '(?i)(@NOTICES@)') AS fails
   FROM ln WHERE len(lw) > 0),
 lines AS (SELECT doc_id, (count(*) - count(DISTINCT l))::BIGINT AS n_dup_lines, sum(fails::INT)::BIGINT AS n_bad_lines, sum(CASE WHEN fails THEN n ELSE 0 END)::BIGINT AS n_bad_words FROM bad GROUP BY doc_id),
 base AS (SELECT doc_id, len(words)::BIGINT AS n_words, len(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
@@ -136,4 +144,4 @@ base AS (SELECT doc_id, len(words)::BIGINT AS n_words, len(array_to_string(words
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * n_bad_words <= 50 * n_words AS kept FROM base
-"""
+""".replace("@MARKS@", MARKS).replace("@NOTICES@", "|".join(NOTICES))
