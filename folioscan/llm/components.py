@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import matched, saved
+from folioscan.llm.common import forget, matched, saved
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
+        before = links
         # large-star: what is larger than u goes to the least of u and its neighbours
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -26,6 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = links.groupBy("a").agg(F.min("b").alias("m"))
         links = matched(links, least, ["a"]).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
         links = saved(links)
+        forget(before)  # what the round began with is not needed again, so disk does not grow with the rounds
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
