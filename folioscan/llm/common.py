@@ -80,9 +80,10 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has no more rows than that."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """df, marked for broadcast if it has no more rows than that; of rows that hold lists, size says what each counts."""
+    n = df.limit(most + 1).count() if size is None else df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if n <= most else df
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:

@@ -20,8 +20,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: of 3. Eight blocks, each looked up within 2 bits, find all of that radius: beyond it every block could differ by 3.
 BITS, BLOCKS, FLIPS = 64, 8, 2
 RADIUS = BLOCKS * (FLIPS + 1) - 1
-#: Items with their shingles that may be broadcast; more are joined by a shuffle.
-BROADCAST_ITEMS = 10_000
 
 
 def words(text: Column) -> Column:
@@ -124,7 +122,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, similarity: float) -> DataFr
     near = probes.join(small(index), ["n", "block", "value"]).withColumn("hamming", F.bit_count(difference)).where((F.col("hamming") <= RADIUS) & first_block(F.col("block"), difference))
     inside = F.aggregate("weights", F.lit(0.0), lambda s, x: s + F.when(F.array_contains("window", x["h"]), x["w"]).otherwise(0.0))
     other = F.size(F.array_except("window", F.transform("weights", lambda x: x["h"]))) * F.col("mean")
-    scored = near.join(small(items.select("item_id", "weights", "total", "mean"), BROADCAST_ITEMS), "item_id").withColumn("inside", inside)
+    scored = near.join(small(items.select("item_id", "weights", "total", "mean"), size=F.size("weights") + 1), "item_id").withColumn("inside", inside)
     return scored.select("doc_id", "k1", "k2", "item_id", (2 * F.col("inside") / (F.col("inside") + other + F.col("total"))).alias("similarity"), "hamming", "start").where(F.col("similarity") >= similarity - 1e-12)
 
 

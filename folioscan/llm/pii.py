@@ -161,7 +161,7 @@ def find(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     by start, then k. Null and empty texts have none; repeated rows each get theirs; rows that share a doc_id, or have
     none, are told apart by their text; an empty table gives no rows."""
     found, marks = terms(docs, threshold)
-    both = found.join(small(marks), ["k1", "k2"], "left")
+    both = found.join(small(marks, size=F.size("terms") + 1), ["k1", "k2"], "left")
     plain = _plain(F.col("spans"))
     return both.select("doc_id", F.when(F.col("terms").isNull(), plain).otherwise(F.array_sort(F.concat(plain, "terms"))).alias("spans"))
 
@@ -207,5 +207,5 @@ def sanitised(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
 
     k1, k2 = text_key(F.col("text"))
     rows = docs.withColumns({a: k1, b: k2, own: base_spans(F.coalesce(whole, F.lit("")))})
-    joined = rows.join(small(marks.toDF(c, d, more)), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left")
+    joined = rows.join(small(marks.toDF(c, d, more), size=F.size(more) + 1), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left")
     return joined.withColumn("text", F.when(F.size(own) == 0, F.col("text")).otherwise(let(merged, text))).select(*docs.columns)
