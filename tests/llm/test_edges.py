@@ -61,7 +61,7 @@ def test_defined_results(nasty, benchmark, labels):
     got = by(langid.predict_language(nasty))
     assert got[0].lang_pred == got[1].lang_pred == got[16].lang_pred == "und" and got[9].lang_pred == "en"
     got = by(pii.digests(nasty))
-    assert got[17].spans.startswith("email:") and got[0].spans == "" and got[14].spans == ""
+    assert "email:" in got[17].spans and got[17].n_email == 1 and got[0].spans == "" and got[14].spans == ""
     got = by(secrets.digests(nasty))
     assert (got[17].n_assign, got[17].n_hex, got[13].n_hex) == (1, 1, 1)
     got = by(chunking.repeated_passages(nasty))
