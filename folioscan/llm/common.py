@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -59,24 +60,42 @@ def arrow_limits(spark: SparkSession) -> None:
         spark.conf.set(name, str(most))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder of spark.checkpoint.dir. Where none is set, a local session (as in
-    tests) gets a temporary one; a cluster has no folder that could be guessed, so there it is an error."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder below spark.checkpoint.dir. Where that is not set, a local session (as in tests) gets a
+    temporary one; a cluster has no folder that could be guessed, so there it is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", "")
         if not where and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="folioscan-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df with its lineage cut and its partitions kept, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: smaller than a checkpoint, and what the planner knows of df (its
+    constraints, which grow from round to round) is left behind; partitions and order are not kept."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
 def forget(df: DataFrame) -> None:
-    """Deletes the files of a frame that `saved` made and that nothing will read again."""
-    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
-    if file.isDefined():
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+    """Deletes the files of a frame that `saved` or `stored` made and that nothing will read again."""
+    where = getattr(df, "stored_at", None)
+    if where is None:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        where = file.get() if file.isDefined() else None
+    if where:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
