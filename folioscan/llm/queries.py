@@ -72,6 +72,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from folioscan.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,7 +97,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_simhash, op4_pii, op5_secrets, op6_chunk_dedup, op7_quality, op8_language, op9_suffix_dedup, op10_byte_bpe, op12_chat_format, op13_conversation_trie)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_simhash, op4_pii, op5_secrets, op6_chunk_dedup, op7_quality, op8_language, op9_suffix_dedup, op10_byte_bpe, op11_align, op12_chat_format, op13_conversation_trie)}
 
 
 DECONTAMINATE = r"""
