@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions.text import search_ngrams, snippet, tokens
-from folioscan.operators import index, keywords, segment, spell
+from folioscan.operators import impact, index, keywords, segment, spell
 from folioscan.plans.common import fingerprint, scratch, table
 from folioscan.sources import store
 
@@ -37,6 +37,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, int
             made, n = spell.variants(index.document_frequencies(_tf(spark, sf_dir)).withColumnRenamed("df", "freq")), 0
         else:
             made, n = _index(spark, sf_dir)
+            made = impact.blocks(made) if name == "blocks" else made
         store.publish(spark, folder, {name: made})
         _published[key] = folder, n
     folder, n = _published[key]
@@ -72,6 +73,20 @@ def search_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, queries).select("qid", "rank", "doc_id", "score")
 
 
+def search_batch_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of search_batch_topk, from the blocks of postings that can hold a hit."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    built, n = _stored(spark, sf_dir, "blocks")
+    return impact.search(built, queries, n, PAGE).select("qid", "rank", "doc_id", "score")
+
+
+def search_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of each benchmark item's terms, and those that its search reads."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    built, n = _stored(spark, sf_dir, "blocks")
+    return impact.Search(built, queries, n, PAGE).work()
+
+
 def field_weighted_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.substring_index("text", "\n", 1)
     rest = F.substring(F.col("text"), F.length(first) + 1, F.length("text"))
@@ -169,7 +184,7 @@ def top_terms_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    tfidf_postings, term_document_frequency, postings_l2_normalised, search_topk, search_batch_topk, field_weighted_tf, search_with_link_flag, search_results_json, snippets, spell_suggest, spell_suggest_batch,
+    tfidf_postings, term_document_frequency, postings_l2_normalised, search_topk, search_batch_topk, search_batch_pruned, search_pruning, field_weighted_tf, search_with_link_flag, search_results_json, snippets, spell_suggest, spell_suggest_batch,
     keyword_topn, keyword_default_idf, keyword_offsets, word_count, search_mode_ngrams, textrank_keywords, pos_tags, segment_modes, top_terms_per_language,
 ]
 
@@ -222,6 +237,7 @@ SQL = {
     "postings_l2_normalised": f"WITH {_TF} SELECT doc_id, term, round(weight, 5) AS weight FROM ix",
     "search_topk": _search_sql(_ONE, "SELECT rank, doc_id, score, lang, source FROM h JOIN documents USING (doc_id)"),
     "search_batch_topk": _search_sql(_MANY, "SELECT qid, rank, doc_id, score FROM h"),
+    "search_batch_pruned": _search_sql(_MANY, "SELECT qid, rank, doc_id, score FROM h"),
     "search_with_link_flag": _search_sql(_ONE, "SELECT rank, doc_id, doc_id IN (SELECT doc_id FROM labels) AS has_image FROM h"),
     "field_weighted_tf": r"""
 WITH f AS (SELECT doc_id, string_split(text, chr(10))[1] AS a, substr(text, length(string_split(text, chr(10))[1]) + 1) AS b FROM documents),

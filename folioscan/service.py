@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folioscan.config import Settings
 from folioscan.functions.hashing import cache_key
 from folioscan.functions.text import snippet, tokens
-from folioscan.operators import index, spell
+from folioscan.operators import impact, index, spell
 from folioscan.sources import reports, store
 
 FIELDS = {"conclusion": 2, "description": 1}
@@ -44,12 +44,12 @@ class ResultCache:
 
 def build_index(spark: SparkSession, reports_dir: str, index_dir: str, words: index.Words | None = None) -> int:
     """Scan, parse, keep the first report of each id, weigh, normalise, publish; returns the new version. Terms and
-    their deletion variants are published with it, for suggestions. words says how text is cut (`segment.words_by`)."""
+    their signatures are published with it, for suggestions. words says how text is cut (`segment.words_by`)."""
     records, _ = reports.parse(reports.read_files(spark, reports_dir))
     unique = reports.unique_reports(records)
     weights = index.build(unique, FIELDS, id="report_id", words=words)
     terms = weights.select("term", F.col("df").alias("freq")).distinct()
-    return store.publish(spark, index_dir, {"docs": unique, "postings": weights, "variants": spell.variants(terms)})
+    return store.publish(spark, index_dir, {"docs": unique, "blocks": impact.blocks(weights, id="report_id"), "variants": spell.variants(terms)})
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -85,9 +85,9 @@ class SearchService:
         key = cache_key(version, query)
         if (known := self.cache.get(key)) is not None:
             return known
-        docs, postings = (store.load(self.spark, self.settings.index_dir, t, version) for t in ("docs", "postings"))
+        docs, blocks = (store.load(self.spark, self.settings.index_dir, t, version) for t in ("docs", "blocks"))
         asked = self.spark.createDataFrame([(0, query)], "qid int, query string")
-        hits = index.search(postings, asked, docs.count(), self.settings.top_k, id="report_id", words=self.words).join(docs, "report_id")
+        hits = impact.search(blocks, asked, docs.count(), self.settings.top_k, id="report_id", words=self.words).join(docs, "report_id")
         text = F.concat_ws(" ", "conclusion", "description")
         cut = self.words or tokens
         said = [w for w in asked.select(cut(F.col("query")).alias("w")).first().w if len(w.encode()) > 1]

@@ -30,7 +30,7 @@ def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], part
     for name, df in tables.items():
         key = next((c for c in ("block", "term") if c in df.columns), None)
         if key:
-            df = (df.repartitionByRange(partitions, key) if partitions else df.repartitionByRange(key)).sortWithinPartitions(key)
+            df = (df.repartitionByRange(partitions, key) if partitions else df.repartitionByRange(key)).sortWithinPartitions(*(c for c in (key, "part") if c in df.columns))
         df.write.parquet(f"{folder}/v{version}/{name}")
     jvm, fs, _ = _files(spark, folder)
     fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/v{version}/{MARKER}")).close()

@@ -39,9 +39,9 @@ def test_search(spark, built):
 
 
 def test_postings_scan_is_filtered(spark, built):
-    from folioscan.operators import index
+    from folioscan.operators import impact
 
-    hits = index.search(store.load(spark, built.index_dir, "postings"), spark.createDataFrame([(0, "骨折 肺结节")], "qid int, query string"), 8, 5, id="report_id")
+    hits = impact.search(store.load(spark, built.index_dir, "blocks"), spark.createDataFrame([(0, "骨折 肺结节")], "qid int, query string"), 8, 5, id="report_id")
     assert "In(term" in hits._jdf.queryExecution().toString() or "term IN" in hits._jdf.queryExecution().toString()
 
 

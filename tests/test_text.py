@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioscan.functions import hashing, text
-from folioscan.operators import dedup, index, keywords, segment, spell
+from folioscan.operators import dedup, impact, index, keywords, segment, spell
 
 
 def test_jenkins():
@@ -111,6 +111,39 @@ def test_spelling_equals_all_pairs(spark):
     assert got == {(q, w, d) for q in asked for w in words if (d := distance(q, w)) <= 2}
 
 
+def test_spelling_of_long_words(spark):
+    """Signatures do not grow in number with a word, so words of any length have suggestions; lengths 3 to 12 too."""
+    r = random.Random(14)
+    long = "".join(r.choice("abcd") for _ in range(10_000))
+    words = [long, long[:4_000] + "x" + long[4_000:], long[:-3], *("".join(r.choice("ab") for _ in range(r.randint(3, 12))) for _ in range(300))]
+    terms = spark.createDataFrame([(w, 1) for w in set(words)], "term string, freq long")
+    known = spell.variants(terms)
+    assert known.groupBy("term").count().agg(F.max("count")).first()[0] <= 11
+    asked = [long[:9] + long[10:], *words[3:40]]
+    got = {(x.query, x.term, x.distance) for x in spell.within_distance(spark.createDataFrame([(w,) for w in asked], "query string"), known).collect()}
+    assert {(q[:12], t[:12], len(t), d) for q, t, d in got if len(q) > 12} == {(asked[0][:12], long[:12], 10_000, 1), (asked[0][:12], long[:12], 10_001, 2)}
+    assert {x for x in got if len(x[0]) <= 12} == {(q, w, d) for q in asked[1:] for w in set(words) if abs(len(q) - len(w)) <= 2 and (d := distance(q, w)) <= 2}
+
+
+@pytest.mark.parametrize("documents, first", [(256, 8), (8, 2)])
+def test_pruned_search(spark, documents, first, monkeypatch):
+    """The hits of scoring everything, ties included, of few and many queries, from fewer postings."""
+    monkeypatch.setattr(impact, "FIRST_DOCUMENTS", first)
+    r = random.Random(7)
+    hot = ["the", "of", "and"]
+    texts = [" ".join(r.choices(hot, k=r.randint(1, 60)) + r.choices([f"w{i}" for i in range(80)], k=r.randint(1, 60))) for _ in range(300)] + ["the w1 w2"] * 9 + [None, "", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    built = index.build(docs, {"text": 1})
+    queries = spark.createDataFrame([(0, "the of w1"), (1, "w2 w2 w3 and"), (2, "none at all"), (3, None), (4, "the"), (5, "w1 w2 the")], "qid int, query string")
+    asked = impact.Search(impact.blocks(built, documents=documents).cache(), queries, len(texts), 5)
+    want = {tuple(x) for x in index.search(built, queries, len(texts), 5).select("qid", "doc_id", "score", "rank").collect()}
+    assert {tuple(x) for x in asked.hits().select("qid", "doc_id", "score", "rank").collect()} == want and len(want) == 20
+    work = asked.work().collect()
+    assert all(x.n_read <= x.n_postings and x.n_blocks_read <= x.n_blocks for x in work)
+    if documents == 8:
+        assert sum(x.n_read for x in work) < 0.3 * sum(x.n_postings for x in work)
+
+
 def test_suggest_merges_and_orders(spark):
     terms = spark.createDataFrame([("肺结节", 2), ("肺结节", 3), ("肺结", 4), ("骨折", 9)], "term string, freq long")
     got = spell.suggest(spark.createDataFrame([("肺节结",)], "query string"), terms).orderBy("rank").collect()
