@@ -6,8 +6,8 @@ twice the width. All contexts of an anchor that stands twice or more go through
 the anchors and, reversed, what precedes them are ordered by deep-shallow sorting (multikey quicksort to a shallow
 depth, then blind tries for groups that share more), and the common prefixes of neighbours say which windows are equal.
 
-Contexts of one 128-bit digest are one suffix with a count before anything is moved, so copies of a text, however many,
-cost one. An anchor of very many different contexts (a license line between other texts) is lengthened by the bytes
+Contexts of one 128-bit digest are one suffix with a count before they are sorted, so of copies of a text, however many,
+one is sorted; rows equal in doc_id too share one list of spans. An anchor of very many different contexts (a license line between other texts) is lengthened by the bytes
 that half of its windows share to the right, and the other half to the left, again and again, until each group of
 contexts fits a task; all of them end in the same sort.
 """
@@ -211,9 +211,12 @@ _PIECE_NAMES = ["id", "row", "g", "h", "c", "n", "place", "a", "b", "lo", "hi",
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts out of texts: rows (id, row, text, wanted) to pieces. What stands alone needs no bytes."""
+    """Contexts out of texts: rows (id, row, text, wanted) to pieces. What stands alone needs no bytes. Rows of one id
+    and text meet in one task, or in a few if they are very many, and each task cuts one of them."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
-        out = []
+        fresh = [i for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())) if key not in seen and not seen.add(key)]
+        batch, out = batch.take(pa.array(fresh, pa.int64())), []
         for i, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
             data = text.encode()
             for x in wanted:
@@ -299,7 +302,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     start = F.shiftright("place", 16)
     whole = matched(again, equal.where("copies").select("h", "c").distinct(), ["h", "c"])
     spans = whole.select("id", "row", start.alias("start"), (start + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + (WIDTH - 1)).alias("stop"))
-    return rows, spans.unionByName(equal.where("not copies").select("id", "row", "start", "stop"))
+    return rows, spans.unionByName(equal.where("not copies").select("id", "row", "start", "stop")).distinct()  # rows of one id and text share theirs
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -120,3 +120,12 @@ def test_rows_of_one_id(spark):
     assert sorted(x.n_removed for x in got)[:3] == [0, 0, 0] or min(x.n_removed for x in got) == 0
     mail = spark.createDataFrame([(1, "see a@b.org now"), (1, "nothing in it"), (None, "c@d.org"), (None, "plain")], "doc_id long, text string")
     assert sorted(x.text for x in pii.sanitised(mail).collect()) == ["[EMAIL]", "nothing in it", "plain", "see [EMAIL] now"]
+
+
+@pytest.mark.parametrize("id", ["id", "7L", "CAST(NULL AS long)"])
+def test_many_equal_rows_in_the_suffix_operator(spark, id):
+    """Thousands of rows of one text, with ids of their own, one id, or none: linear, and all bytes go."""
+    text = "".join(random.Random(2).choice("abcdefgh ") for _ in range(420))
+    rows = suffixes.without_repeats(spark.range(12_000).selectExpr(f"{id} AS doc_id", f"'{text}' AS text"))
+    (got,) = rows.groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    assert tuple(got) == (420, 420, 1, 12_000)
