@@ -8,6 +8,8 @@ or above the threshold are generalised like the entities, wherever they stand in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,19 +29,39 @@ TERM, TERM_PATTERN = "term", r"\p{L}{4,}+"
 DISCLOSURE = 0.9
 
 
+#: Entries that a scan goes through by itself; longer lists are scanned in as many parts as each part has entries.
+SHORT = 64
+
+
+def in_parts(items: Column) -> Column:
+    """items as a list of lists, of about as many entries as there are lists."""
+    def cut(x: Column, size: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(x), F.lit(1)) - 1) / size).cast("int")), lambda i: F.slice(x, i * size + 1, size))
+
+    return let(items, lambda x: let(F.ceil(F.sqrt(F.greatest(F.size(x), F.lit(1)))).cast("int"), lambda size: cut(x, size)))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """combine over values (whole numbers from 0 on) up to and with each of them. A list grows by copying, so a long
+    one is scanned in parts, which copies n ** 1.5 entries for n instead of their square."""
+    add = lambda acc, v: F.array_append(acc, combine(F.element_at(acc, -1), v))
+    after = lambda first, x: F.aggregate(x, F.array(first), add)  # noqa: E731  with what comes before at its head
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: combine(a, v))
+    part_by_part = lambda p: F.flatten(F.transform(F.arrays_zip(p.alias("x"), F.slice(after(F.lit(0), F.transform(p, total)), 1, F.size(p)).alias("before")), lambda z: F.slice(after(z["before"], z["x"]), 2, F.size(z["x"]))))
+    return let(values, lambda v: F.when(F.size(v) <= SHORT, F.slice(after(F.lit(0), v), 2, F.greatest(F.size(v), F.lit(1)))).otherwise(let(in_parts(v), part_by_part)))
+
+
 def matches(text: Column, pattern: str | Column) -> Column:
     """[(start, stop, match)] of a pattern, leftmost and non-overlapping, in code points. The pieces between matches
     and the matches alternate, so positions are running sums of their lengths."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    kind = "struct<at:int,out:array<struct<start:int,stop:int,match:string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
 
-    def step(acc: Column, x: Column) -> Column:
-        a, m = acc["at"] + F.length(x["between"]), x["match"]
-        return F.struct((a + F.length(m)).alias("at"), F.array_append(acc["out"], F.struct(a.alias("start"), (a + F.length(m)).alias("stop"), m.alias("match"))).alias("out"))
+    def placed(f: Column) -> Column:
+        steps = F.zip_with(F.slice(between, 1, F.size(f)), f, lambda b, m: F.length(b) + F.length(m))
+        return F.zip_with(running(steps, lambda x, y: x + y), f, lambda stop, m: F.struct((stop - F.length(m)).alias("start"), stop.alias("stop"), m.alias("match")))
 
-    return let(found, lambda f: F.aggregate(F.arrays_zip(F.slice(between, 1, F.size(f)).alias("between"), f.alias("match")), start, step)["out"])
+    return let(found, placed)
 
 
 def digits(x: Column) -> Column:
@@ -188,24 +210,28 @@ def sanitised(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     only the marks of words are joined, so no text is shuffled unless very many texts have marks."""
     _, marks = terms(docs, threshold)
     a, b, c, d, own, more = unused(docs, "k1", "k2", "of1", "of2", "spans", "terms")
-    kind = "array<struct<start:int,k:int,stop:int>>"
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        longer = F.struct(last["start"].alias("start"), last["k"].alias("k"), F.greatest(last["stop"], s["stop"]).alias("stop"))
-        return F.when((F.size(acc) > 0) & (s["start"] < last["stop"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.array_append(acc, s))
-
     every = F.when(F.col(more).isNull(), _plain(F.col(own))).otherwise(F.array_sort(F.concat(_plain(F.col(own)), more)))
-    merged = F.aggregate(every, F.array().cast(kind), merge)
     label = lambda s: F.concat(F.lit("["), F.upper(F.get(F.array(*map(F.lit, NAMES)), s["k"])), F.lit("]"))
     whole = F.col("text").cast("string")
 
+    def joined_up(spans: Column) -> Column:
+        """Spans that overlap as one: it starts where none before it reaches, and stops where the next one starts anew."""
+        ends = running(F.transform(spans, lambda s: s["stop"]), lambda x, y: F.greatest(x, y))
+        heads = lambda e: F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(e, i - 1)))
+        return let(ends, lambda e: let(heads(e), lambda h: F.transform(h, lambda i, j: F.struct(F.get(spans, i)["start"].alias("start"), F.get(spans, i)["k"].alias("k"), F.get(e, F.coalesce(F.get(h, j + 1), F.size(spans)) - 1).alias("stop")))))
+
+    def written(piece: Column, at: Column, m: Column) -> Column:
+        """piece, which begins at `at` of the text, up to the last of its spans m."""
+        begins = F.concat(F.array(at), F.transform(m, lambda s: s["stop"]))
+        return F.array_join(F.zip_with(m, F.slice(begins, 1, F.size(m)), lambda s, e: F.concat(F.substring(piece, e - at + 1, s["start"] - e), label(s))), "")
+
     def text(m: Column) -> Column:
-        ends = F.concat(F.array(F.lit(0)), F.transform(m, lambda s: s["stop"]))
-        parts = F.zip_with(m, F.slice(ends, 1, F.size(m)), lambda s, e: F.concat(F.substring(whole, e + 1, s["start"] - e), label(s)))
-        return F.concat(F.array_join(parts, ""), F.substring(whole, F.element_at(ends, -1) + 1, F.length(whole)))
+        """Places in a string are found from its start, so a text of many spans is cut into parts first."""
+        last = F.element_at(m, -1)["stop"]
+        by_part = lambda p: F.array_join(F.transform(p, lambda x, i: let(F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.get(p, i - 1), -1)["stop"]), lambda at: written(F.substring(whole, at + 1, F.element_at(x, -1)["stop"] - at), at, x))), "")
+        return F.concat(F.when(F.size(m) <= SHORT, written(whole, F.lit(0), m)).otherwise(let(in_parts(m), by_part)), F.substring(whole, last + 1, F.length(whole)))
 
     k1, k2 = text_key(F.col("text"))
     rows = docs.withColumns({a: k1, b: k2, own: base_spans(F.coalesce(whole, F.lit("")))})
     joined = rows.join(small(marks.toDF(c, d, more), size=F.size(more) + 1), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), "left")
-    return joined.withColumn("text", F.when(F.size(own) == 0, F.col("text")).otherwise(let(merged, text))).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.size(own) == 0, F.col("text")).otherwise(let(every, lambda spans: let(joined_up(spans), text)))).select(*docs.columns)

@@ -4,6 +4,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from folioscan.llm import bpe, chunking, decontaminate, langid, minhash, pii, quality, rules, secrets, simhash, suffixes
 
@@ -129,3 +130,17 @@ def test_many_equal_rows_in_the_suffix_operator(spark, id):
     rows = suffixes.without_repeats(spark.range(12_000).selectExpr(f"{id} AS doc_id", f"'{text}' AS text"))
     (got,) = rows.groupBy("n_bytes", "n_removed", "n_spans").count().collect()
     assert tuple(got) == (420, 420, 1, 12_000)
+
+
+def test_many_entities_in_one_text(spark):
+    """A hundred thousand addresses in one text: places, digests and the sanitised text, in time that grows with them."""
+    n = 100_000
+    text = "".join(f"é{i % 10} u{i}@ab.org; " if i % 2 else f"+1 555 {1000000 + i}, " for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "x a@b.org")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in docs.select("doc_id", pii.base_spans(F.col("text")).alias("spans")).collect()}
+    assert len(got[1]) == n and all(text[s.start : s.stop] == s.match for s in got[1][:: n // 500])
+    spans = F.expr("transform(sequence(0, 99999), i -> named_struct('start', cast(i * 3 as int), 'stop', cast(i * 3 + if(i % 5 = 0, 7, 2) as int)))")
+    ends = spark.range(1).select(pii.running(F.transform(spans, lambda s: s["stop"]), F.greatest).alias("e")).first().e
+    assert ends[:4] == [7, 7, 8, 11] and len(ends) == n and ends == sorted(ends)
+    plain = spark.createDataFrame([(1, " ".join(f"u{i}@ab.org" for i in range(20_000)))], "doc_id long, text string")
+    assert pii.sanitised(plain).first().text == " ".join(["[EMAIL]"] * 20_000)
