@@ -28,7 +28,7 @@ def _xml(id: Column, patient: Column, conclusion: Column, description: Column) -
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report of every document: pairs share an id, some lack a patient or a conclusion, some are cut short."""
     docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
-    words = F.trim(F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z&<>]+", " "), 1, 60))
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x20]+", " "))
     conclusion = F.when(i % 7 == 3, F.lit("")).otherwise(F.concat(F.lit("<conclusion>"), _escaped(F.concat(F.lit("c "), F.col("source"))), F.lit("</conclusion>")))
     xml = _xml(F.concat(F.lit("R"), i - i % 2), F.when(i % 13 == 5, F.lit("")).otherwise(F.concat(F.lit("P"), i % 50)), conclusion, F.concat(F.lit("d "), words))
     return docs.select(F.concat(F.lpad(i.cast("string"), 12, "0"), F.lit(".xml")).alias("file"), F.when(i % 11 == 4, F.substring(xml, 1, 90)).otherwise(xml).alias("xml"))
@@ -64,6 +64,14 @@ def _element(tag: str, vr: str, value: Column, explicit: Column | bool = True) -
     return short if explicit is True else F.when(explicit, short).otherwise(long)
 
 
+#: In hex: a sequence and an item of no stated length with a patient's id that is not the file's; an element of unknown
+#: kind; pixel data, cut short as it is never read.
+NESTED = "08004011" + "5351" + "0000" + "FFFFFFFF" + "FEFF00E0" + "FFFFFFFF" + "10002000" + "4C4F" + "0200" + "5858" + "FEFF0DE0" + "00000000" + "FEFFDDE0" + "00000000"
+UNKNOWN, PIXELS = "09001010" + "554E" + "0000" + "04000000" + "01020304", "E07F1000" + "4F57" + "0000" + "00100000" + "0102"
+NESTED_IMPLICIT = "08004011" + "FFFFFFFF" + "FEFF00E0" + "FFFFFFFF" + "10002000" + "02000000" + "5858" + "FEFF0DE0" + "00000000" + "FEFFDDE0" + "00000000"
+PIXELS_IMPLICIT = "E07F1000" + "00100000" + "0102"
+
+
 def _image(key: Column, name: Column, kind: Column, date: Column) -> Column:
     """The bytes of a header; kind says what is wrong with it (0 to 3) or how it is coded."""
     explicit = kind != 4
@@ -74,7 +82,9 @@ def _image(key: Column, name: Column, kind: Column, date: Column) -> Column:
         F.unhex(F.lit("00" * 128)), F.encode(F.when(kind == 0, "DICN").otherwise("DICM"), "UTF-8"), _element("02001000", "UI", syntax), _element("08001800", "UI", uid("1.2."), explicit), _element("08002000", "DA", date, explicit),
         _element("10001000", "PN", name, explicit), _element("10002000", "LO", uid("P"), explicit), _element("20000D00", "UI", uid("1.3."), explicit), series, _element("20001300", "IS", F.lpad((key % 1000).cast("string"), 4, "0"), explicit),
     )
-    return F.when(kind == 3, F.substring(whole, F.lit(1), F.octet_length(whole) - 3)).otherwise(whole)
+    # a sequence without a length, then an element of a long kind and the pixel data, each with its four bytes of length
+    tail = F.unhex(F.when(explicit, F.lit(NESTED + UNKNOWN + PIXELS)).otherwise(F.lit(NESTED_IMPLICIT + PIXELS_IMPLICIT)))
+    return F.when(kind == 3, F.substring(whole, F.lit(1), F.octet_length(whole) - 3)).otherwise(F.concat(whole, tail))
 
 
 def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +97,12 @@ def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder of image files, one a nation: size, digest and header."""
+    """A folder of image files, one a nation, read by ranges: size, digest and header."""
     rows = table(spark, sf_dir, "nation").select("n_nationkey", _image(F.col("n_nationkey"), F.col("n_name"), F.lit(5), F.lit("20240102")).alias("x")).collect()
     folder = scratch(spark)
     write_files(spark, folder, {f"{r.n_nationkey}.dcm": bytes(r.x) for r in rows})
     read = images.read_images(spark, folder)
-    return read.select(F.substring_index(F.substring_index("path", "/", -1), ".", 1).cast("int").alias("n_nationkey"), F.col("meta.outcome").alias("outcome"), F.col("meta.patient_name").alias("n_name"), (F.length("sha256") == 64).alias("digest"))
+    return read.select("file_size", "sha256", F.substring_index(F.substring_index("path", "/", -1), ".", 1).cast("int").alias("n_nationkey"), F.col("meta.outcome").alias("outcome"), F.col("meta.patient_name").alias("n_name"))
 
 
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +218,7 @@ QUERIES = [
 ]
 
 _REPORT = r"""r AS (SELECT doc_id, lpad(doc_id::VARCHAR, 12, '0') || '.xml' AS file, CASE WHEN doc_id % 11 = 4 THEN 'not well-formed' WHEN doc_id % 13 = 5 THEN 'no patient_id' WHEN doc_id % 7 = 3 THEN 'no conclusion' END AS reason, 'R' || (doc_id - doc_id % 2) AS report_id,
-  'P' || (doc_id % 50) AS patient_id, 'c ' || source AS conclusion, trim('d ' || trim(substr(regexp_replace(coalesce(text, ''), '[^A-Za-z&<>]+', ' ', 'g'), 1, 60))) AS description FROM documents)"""
+  'P' || (doc_id % 50) AS patient_id, 'c ' || source AS conclusion, trim('d ' || trim(regexp_replace(coalesce(text, ''), '[\x00-\x20]+', ' ', 'g'))) AS description FROM documents)"""
 _TRY = f"""
 a AS (SELECT event_id, lpad(event_id::VARCHAR, 12, '0') AS path, user_id || '.' || (event_id % 4) AS uid, CASE WHEN value > 60 THEN 'a' ELSE 'b' END AS sha, event_id % 3 = 0 AS crashed, ts >= TIMESTAMP '{CUT}' AS later, user_id, event_type, event_id % 17 = 0 AS bad FROM events),
 f AS (SELECT *, first_value(sha) OVER w AS sha0, row_number() OVER w AS rn FROM a WHERE NOT bad WINDOW w AS (PARTITION BY uid ORDER BY later, path)),
@@ -220,6 +230,12 @@ _STUDIES = f"""WITH {_PARTS} SELECT o_orderkey AS study_instance_uid, c_name AS
 _ROUND = f"""o AS (SELECT event_id AS id, ['PENDING', 'PUBLISHED', 'CONFIRMED', 'DEAD'][event_id % 4 + 1] AS status, event_id % 7 AS retry_count, ts AS created_at, ts + INTERVAL 64 SECOND AS next_retry_at FROM events),
 due AS (SELECT id FROM o WHERE (status = 'PENDING' AND created_at < TIMESTAMP '{NOW}' - INTERVAL 5 SECOND) OR (status = 'PUBLISHED' AND next_retry_at <= TIMESTAMP '{NOW}' AND retry_count < 5))"""
 
+def _hex(tag: str, vr: str, value: str) -> str:
+    """An element as SQL that gives its hex digits."""
+    n = f"octet_length(encode({value}))"
+    return f"'{tag}{vr.encode().hex().upper()}' || lpad(hex({n} + {n} % 2), 2, '0') || '00' || hex(encode({value})) || repeat('00', ({n} % 2)::INT)"
+
+
 SQL = {
     "report_records": f"WITH {_REPORT} SELECT report_id, file, patient_id, '' AS study_instance_uid, conclusion, description FROM r WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY file) = 1",
     "report_rejects": f"WITH {_REPORT} SELECT file, reason FROM r WHERE reason IS NOT NULL",
@@ -228,7 +244,7 @@ SQL = {
     "image_headers": """WITH k AS (SELECT o_orderkey, o_orderkey % 8 AS kind, c_name, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey)
 SELECT o_orderkey, CASE kind WHEN 0 THEN 'NOT_DICOM' WHEN 1 THEN 'UNSUPPORTED_TS' WHEN 2 THEN 'MISSING_REQUIRED' WHEN 3 THEN 'TRUNCATED' ELSE 'OK' END AS outcome, CASE WHEN kind > 3 THEN '1.2.' || o_orderkey END AS sop_instance_uid, CASE WHEN kind > 3 THEN '1.4.' || o_orderkey END AS series_instance_uid,
   CASE WHEN kind > 3 THEN 'P' || o_orderkey END AS patient_id, CASE WHEN kind > 3 THEN c_name END AS patient_name, CASE WHEN kind > 3 THEN (o_orderkey % 1000)::INT END AS instance_number, CASE WHEN kind > 3 THEN -1 END AS series_number, CASE WHEN kind > 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS study_date FROM k""",
-    "image_scan": "SELECT n_nationkey, 'OK' AS outcome, n_name, true AS digest FROM nation",
+    "image_scan": f"WITH f AS (SELECT n_nationkey, n_name, repeat('00', 128) || '4449434D' || {_hex('02001000', 'UI', "'1.2.840.10008.1.2.1'")} || {_hex('08001800', 'UI', "'1.2.' || n_nationkey")} || {_hex('08002000', 'DA', "'20240102'")} || {_hex('10001000', 'PN', 'n_name')} || {_hex('10002000', 'LO', "'P' || n_nationkey")} || {_hex('20000D00', 'UI', "'1.3.' || n_nationkey")} || {_hex('20000E00', 'UI', "'1.4.' || n_nationkey")} || {_hex('20001300', 'IS', "lpad((n_nationkey % 1000)::VARCHAR, 4, '0')")} || '{NESTED}{UNKNOWN}{PIXELS}' AS x FROM nation) SELECT n_nationkey, 'OK' AS outcome, n_name, (len(x) // 2)::BIGINT AS file_size, sha256(unhex(x)) AS sha256 FROM f",
     "import_next_replies": f"WITH {_TRY} SELECT path, decision, CASE WHEN crashed AND decision IN ('NEW', 'RESUME') THEN 500 WHEN decision = 'CONFLICT' THEN 409 WHEN decision = 'DUPLICATE' THEN 200 ELSE 201 END AS status FROM d WHERE later UNION ALL SELECT path, 'TRUNCATED', 400 FROM a WHERE bad AND later",
     "import_next_instances": f"""WITH {_TRY}, s AS (SELECT uid, any_value(sha0) AS sha256, CASE WHEN bool_or(decision IN ('NEW', 'RESUME') AND NOT crashed) THEN 'ARCHIVED' WHEN bool_or(decision = 'CONFLICT') THEN 'CONFLICT' ELSE 'PARSED' END AS status,
   max(event_id) FILTER (decision = 'NEW') AS file_size, any_value(user_id) AS user_id FROM d GROUP BY uid) SELECT uid AS sop_instance_uid, sha256, status, file_size, CASE WHEN status = 'ARCHIVED' THEN 's' || user_id || '/e' || uid || '/' || uid || '.dcm' END AS storage_path FROM s""",

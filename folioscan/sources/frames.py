@@ -30,21 +30,22 @@ class Decoder:
 
     def feed(self, data: bytes) -> list[tuple[int, int, bytes]]:
         self.held += data
-        out = []
+        out, at = [], 0
         while self.status not in ("BAD_TYPE", "TOO_LONG"):
             self.status = "PARTIAL"
-            if len(self.held) < HEADER:
+            if len(self.held) - at < HEADER:
                 break
-            kind, flags, n = struct.unpack(">BBI", self.held[:HEADER])
+            kind, flags, n = struct.unpack_from(">BBI", self.held, at)
             if kind not in TYPES:
                 self.status = "BAD_TYPE"
             elif n > self.most:
                 self.status = "TOO_LONG"
-            elif len(self.held) < HEADER + n:
+            elif len(self.held) - at < HEADER + n:
                 break
             else:
-                out.append((kind, flags, self.held[HEADER : HEADER + n]))
-                self.held = self.held[HEADER + n :]
+                out.append((kind, flags, self.held[at + HEADER : at + HEADER + n]))
+                at += HEADER + n
+        self.held = self.held[at:]  # once, not for each frame
         return out
 
 

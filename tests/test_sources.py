@@ -120,3 +120,31 @@ def test_dictionaries(spark, tmp_path):
     assert {r.term: r.idf for r in known.collect()} == {"肺": 2.0, "骨": 4.0} and default == 2.0
     (tmp_path / "s").write_text("的\n\n了\n的\n")
     assert dictionaries.stop_words(spark, str(tmp_path / "s")) == ["了", "的"]
+
+
+def test_images_by_ranges(spark, tmp_path):
+    """Headers without the pixels behind them; with the digest a file is read through, piece by piece."""
+    import hashlib
+
+    pixels = b"\2" * 3_000_000
+    files = {f"{k}.dcm": image(extra=element((0x0009, 0x0010), b"UN", b"z" * k * 20_000)) + pixels for k in range(5)} | {"short.dcm": image()[:200], "none.dcm": b"", "_hidden": b"x"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: r for r in images.read_ranges(spark, str(tmp_path)).collect()}
+    assert set(got) == set(files) - {"_hidden"} and all(r.file_size == len(files[n]) and r.sha256 is None for n, r in got.items())
+    assert all(got[f"{k}.dcm"].bytes_read <= 4 * images.BLOCK and got[f"{k}.dcm"].meta.outcome == "OK" and got[f"{k}.dcm"].meta.patient_id == "P1" for k in range(5))
+    assert got["short.dcm"].meta.outcome == "TRUNCATED" and got["none.dcm"].meta.outcome == "NOT_DICOM"
+    whole = {r.path.rsplit("/", 1)[1]: r.sha256 for r in images.read_images(spark, f"file:{tmp_path}", most_bytes=3_050_000).collect()}
+    assert whole == {n: hashlib.sha256(files[n]).hexdigest() for n in set(files) - {"_hidden"} if len(files[n]) <= 3_050_000}
+    for name, data in files.items():
+        class Counted:
+            def __init__(self):
+                self.at = 0
+
+            def seek(self, at):
+                self.at = at
+
+            def read(self, n):
+                return data[self.at : self.at + n]
+
+        assert images.read_metadata(images.Ranges(Counted(), len(data), 16)) == images.read_metadata(data)
