@@ -178,9 +178,12 @@ def page_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tlv_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's turns as frames of one byte string, read back."""
+    """Each conversation's turns as frames of one byte string, read back; of four, one has a bad frame at its end, one is
+    cut short, and one ends in a frame that is too long."""
     turns = table(spark, sf_dir, "conversations").withColumn("frame", frames.encoded(F.when(F.col("role") == "user", 1).otherwise(0x11), F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     joined = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "frame"))).alias("x")).select("conv_id", F.unhex(F.array_join(F.transform("x.frame", lambda f: F.hex(f)), "")).alias("data"))
+    kind, data = F.col("conv_id") % 4, F.col("data")
+    joined = joined.withColumn("data", F.when(kind == 1, F.concat(data, F.unhex(F.lit("990000000000")))).when(kind == 2, F.substring(data, F.lit(1), F.octet_length(data) - 3)).when(kind == 3, F.concat(data, F.unhex(F.lit("010000100001")))).otherwise(data))
     return frames.decoded(joined).select("conv_id", "seq", "status", "type", F.octet_length("payload").alias("bytes"))
 
 
@@ -242,5 +245,7 @@ SELECT event_id, task_id, CASE WHEN task_id LIKE '%3' THEN 'missing' WHEN task_i
     "rbac_decisions": """SELECT *, role = 'admin' OR (role = 'radiologist' AND action IN ('images:import', 'studies:read')) AS allowed
 FROM (SELECT event_id, ['admin', 'radiologist', 'guest'][event_id % 3 + 1] AS role, ['images:import', 'studies:read', 'admin:backup'][(event_id // 3) % 3 + 1] AS action FROM events)""",
     "page_rejects": "SELECT page_id, CASE WHEN NOT contains(lower(html), '<html') THEN 'no html' WHEN NOT contains(lower(html), '<title') THEN 'no title' WHEN NOT contains(lower(html), '<body') THEN 'no body' WHEN NOT contains(lower(html), '<p') THEN 'no paragraph' ELSE 'accepted' END AS reason FROM pages",
-    "tlv_frames": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS seq, 'OK' AS status, CASE WHEN role = 'user' THEN 1 ELSE 17 END AS type, octet_length(encode(coalesce(text, '')))::INT AS bytes FROM conversations",
+    "tlv_frames": """WITH f AS (SELECT conv_id, row_number() OVER w - 1 AS seq, CASE WHEN role = 'user' THEN 1 ELSE 17 END AS type, octet_length(encode(coalesce(text, ''))) AS bytes, conv_id % 4 = 2 AND row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS cut FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, seq::INT AS seq, CASE WHEN cut THEN 'PARTIAL' ELSE 'OK' END AS status, CASE WHEN NOT cut THEN type END AS type, (CASE WHEN cut THEN bytes + 3 ELSE bytes END)::INT AS bytes FROM f
+UNION ALL SELECT conv_id, count(*)::INT, CASE conv_id % 4 WHEN 1 THEN 'BAD_TYPE' ELSE 'TOO_LONG' END, NULL, 6 FROM f WHERE conv_id % 4 IN (1, 3) GROUP BY conv_id""",
 }

@@ -12,8 +12,8 @@ from folioscan.plans.archive import CUSTOMER, NOW, _outbox
 from folioscan.plans.common import scratch, table, write_files
 from folioscan.sources import images, reports, store
 
-#: The study whose series are listed, and the time that divides events into two batches of imports.
-STUDY, CUT = 7, "2024-01-16 00:00:00"
+#: The study whose series are listed, the time that divides events into two batches of imports, an instance.
+STUDY, CUT, INSTANCE = 7, "2024-01-16 00:00:00", "7.3"
 
 
 def _escaped(value: Column) -> Column:
@@ -110,7 +110,7 @@ def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, i = table(spark, sf_dir, "events"), F.col("event_id")
     uid = F.concat(F.col("user_id").cast("string"), F.lit("."), (i % 4).cast("string"))
     fields = {c: F.lit("") for c in images.STRINGS} | {"series_number": F.lit(-1), "instance_number": (i % 9).cast("int")}
-    fields |= {"sop_instance_uid": uid, "study_instance_uid": F.concat(F.lit("s"), "user_id"), "series_instance_uid": F.concat(F.lit("e"), uid), "patient_id": F.concat(F.lit("p"), F.col("user_id") % 50), "patient_name": F.col("event_type"), "study_date": F.date_format("ts", "yyyyMMdd")}
+    fields |= {"sop_instance_uid": uid, "study_instance_uid": F.concat(F.lit("s"), "user_id"), "series_instance_uid": F.concat(F.lit("e"), uid), "patient_id": F.concat(F.lit("p"), F.col("user_id") % 50), "patient_name": F.col("event_type"), "modality": F.col("event_type"), "study_date": F.date_format("ts", "yyyyMMdd")}
     meta = F.struct(F.when(i % 17 == 0, "TRUNCATED").otherwise("OK").alias("outcome"), *(c.alias(n) for n, c in fields.items()))
     return e.select(F.lpad(i.cast("string"), 12, "0").alias("path"), i.alias("file_size"), F.when(F.col("value") > 60, "a").otherwise("b").alias("sha256"), meta.alias("meta"), (i % 3 == 0).alias("crash"), (F.col("ts") >= F.lit(CUT).cast("timestamp")).alias("later"))
 
@@ -137,6 +137,21 @@ def import_next_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_batches(spark, sf_dir)["patients"].select("patient_id", "patient_name")
 
 
+def import_next_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Studies of the first batch, with the date of the second where that has one of theirs, and new ones."""
+    return _two_batches(spark, sf_dir)["studies"].select("study_instance_uid", "patient_id", F.col("study_date").cast("string").alias("study_date"))
+
+
+def import_next_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series stay as they came first."""
+    return _two_batches(spark, sf_dir)["series"].select("series_instance_uid", "study_instance_uid", "modality")
+
+
+def instance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One instance of the archive after both batches."""
+    return archive.get_instance(_two_batches(spark, sf_dir)["instances"], INSTANCE).select("sop_instance_uid", "series_instance_uid", "sha256", "status", "instance_number")
+
+
 def import_next_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_batches(spark, sf_dir)["backup_events"]
 
@@ -184,6 +199,11 @@ def dispatch_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dispatched(spark, sf_dir)[1].select("id", "status")
 
 
+def recent_backup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest events after a round of the dispatcher."""
+    return archive.recent_backup_events(_dispatched(spark, sf_dir)[1], 20)
+
+
 def account_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logins by name against accounts; a name that no account has is refused."""
     logins = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Customer#"), F.lpad((F.col("user_id") * 13).cast("string"), 9, "0")).alias("username"))
@@ -213,14 +233,14 @@ def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    report_records, report_rejects, report_build_counts, report_scan, image_headers, image_scan, import_next_replies, import_next_instances, import_next_patients, import_next_events, study_list, study_list_of_patient, series_list, event_paths,
+    report_records, report_rejects, report_build_counts, report_scan, image_headers, image_scan, import_next_replies, import_next_instances, import_next_patients, import_next_studies, import_next_series, instance_lookup, import_next_events, recent_backup_events, study_list, study_list_of_patient, series_list, event_paths,
     dispatch_messages, dispatch_states, account_lookup, text_functions, index_versions,
 ]
 
 _REPORT = r"""r AS (SELECT doc_id, lpad(doc_id::VARCHAR, 12, '0') || '.xml' AS file, CASE WHEN doc_id % 11 = 4 THEN 'not well-formed' WHEN doc_id % 13 = 5 THEN 'no patient_id' WHEN doc_id % 7 = 3 THEN 'no conclusion' END AS reason, 'R' || (doc_id - doc_id % 2) AS report_id,
   'P' || (doc_id % 50) AS patient_id, 'c ' || source AS conclusion, trim('d ' || trim(regexp_replace(coalesce(text, ''), '[\x00-\x20]+', ' ', 'g'))) AS description FROM documents)"""
 _TRY = f"""
-a AS (SELECT event_id, lpad(event_id::VARCHAR, 12, '0') AS path, user_id || '.' || (event_id % 4) AS uid, CASE WHEN value > 60 THEN 'a' ELSE 'b' END AS sha, event_id % 3 = 0 AS crashed, ts >= TIMESTAMP '{CUT}' AS later, user_id, event_type, event_id % 17 = 0 AS bad FROM events),
+a AS (SELECT event_id, lpad(event_id::VARCHAR, 12, '0') AS path, user_id || '.' || (event_id % 4) AS uid, CASE WHEN value > 60 THEN 'a' ELSE 'b' END AS sha, event_id % 3 = 0 AS crashed, ts >= TIMESTAMP '{CUT}' AS later, user_id, event_type, ts, event_id % 17 = 0 AS bad FROM events),
 f AS (SELECT *, first_value(sha) OVER w AS sha0, row_number() OVER w AS rn FROM a WHERE NOT bad WINDOW w AS (PARTITION BY uid ORDER BY later, path)),
 g AS (SELECT *, max((sha = sha0 AND NOT crashed)::INT) OVER (PARTITION BY uid ORDER BY later, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM f),
 d AS (SELECT *, CASE WHEN rn = 1 THEN 'NEW' WHEN sha <> sha0 THEN 'CONFLICT' WHEN done = 1 THEN 'DUPLICATE' ELSE 'RESUME' END AS decision FROM g)"""
@@ -249,6 +269,11 @@ SELECT o_orderkey, CASE kind WHEN 0 THEN 'NOT_DICOM' WHEN 1 THEN 'UNSUPPORTED_TS
     "import_next_instances": f"""WITH {_TRY}, s AS (SELECT uid, any_value(sha0) AS sha256, CASE WHEN bool_or(decision IN ('NEW', 'RESUME') AND NOT crashed) THEN 'ARCHIVED' WHEN bool_or(decision = 'CONFLICT') THEN 'CONFLICT' ELSE 'PARSED' END AS status,
   max(event_id) FILTER (decision = 'NEW') AS file_size, any_value(user_id) AS user_id FROM d GROUP BY uid) SELECT uid AS sop_instance_uid, sha256, status, file_size, CASE WHEN status = 'ARCHIVED' THEN 's' || user_id || '/e' || uid || '/' || uid || '.dcm' END AS storage_path FROM s""",
     "import_next_patients": f"WITH {_TRY} SELECT 'p' || (user_id % 50) AS patient_id, arg_max(event_type, (later, path)) AS patient_name FROM d WHERE decision IN ('NEW', 'RESUME') GROUP BY ALL",
+    "import_next_studies": f"WITH {_TRY} SELECT 's' || user_id AS study_instance_uid, 'p' || (user_id % 50) AS patient_id, strftime(arg_max(ts, (later, path)), '%Y-%m-%d') AS study_date FROM d WHERE decision IN ('NEW', 'RESUME') GROUP BY user_id",
+    "import_next_series": f"WITH {_TRY} SELECT 'e' || uid AS series_instance_uid, 's' || any_value(user_id) AS study_instance_uid, arg_min(event_type, (later, path)) AS modality FROM d WHERE decision IN ('NEW', 'RESUME') GROUP BY uid",
+    "instance_lookup": f"""WITH {_TRY} SELECT uid AS sop_instance_uid, 'e' || uid AS series_instance_uid, any_value(sha0) AS sha256, CASE WHEN bool_or(decision IN ('NEW', 'RESUME') AND NOT crashed) THEN 'ARCHIVED' WHEN bool_or(decision = 'CONFLICT') THEN 'CONFLICT' ELSE 'PARSED' END AS status,
+  (max(event_id) FILTER (decision = 'NEW') % 9)::INT AS instance_number FROM d WHERE uid = '{INSTANCE}' GROUP BY uid""",
+    "recent_backup_events": f"WITH {_ROUND} SELECT 't' || id AS task_id, 3 * id AS instance_id, CASE WHEN status = 'PENDING' AND id % 5 <> 2 AND id IN (SELECT id FROM due) THEN 'PUBLISHED' ELSE status END AS status, retry_count FROM o ORDER BY id DESC LIMIT 20",
     "import_next_events": f"WITH {_TRY} SELECT sha256(uid || '|' || path) AS task_id, uid, 'PENDING' AS status, 0 AS retry_count FROM d WHERE later AND decision IN ('NEW', 'RESUME') AND NOT crashed",
     "study_list": _STUDIES.format(where=""),
     "study_list_of_patient": _STUDIES.format(where=f"WHERE c_custkey = {CUSTOMER}"),
