@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.functions.text import dicom_date, sex, storage_path
 from folioscan.operators import hierarchy, lifecycle
 from folioscan.sources import store
+from folioscan.sources.images import opened
 
 UID, SHA = "sop_instance_uid", "sha256"
 STUDIES = 200
@@ -85,21 +89,34 @@ def recent_backup_events(events: DataFrame, most: int) -> DataFrame:
     return hierarchy.list_top(events, [F.desc("id")], most).select("task_id", "instance_id", "status", "retry_count")
 
 
-def store_files(spark: SparkSession, files: list[tuple[str, str]], root: str) -> list[bool]:
-    """Copies each (source, relative path) to a staging name under root and renames it, so that no half file is seen;
-    whether each arrived. One that does not is removed from staging. Paths are any that Hadoop's file systems open."""
-    jvm, fs, base = store._files(spark, root)
-    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), jvm.org.apache.hadoop.fs.Path
-    out = []
-    for source, relative in files:
-        target, staging = path(base, relative), path(base, f".staging/{relative}")
-        try:
-            src = path(source)
-            fs.mkdirs(target.getParent())
-            jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(conf), src, fs, staging, False, True, conf)
-            out.append((fs.exists(target) and fs.delete(target, False) or True) and fs.rename(staging, target))
-        except Exception:  # the file is missing or cannot be written: the caller answers 500
-            out.append(False)
-        finally:
-            fs.delete(staging, False)
-    return out
+def store_files(files: DataFrame, root: str) -> DataFrame:
+    """(source, relative, stored) for files (source, relative path): tasks copy each to a staging name of its own under
+    root and rename it, so that no half file is seen and an attempt that runs again does no harm; stored is false for
+    one that is missing or cannot be written, whose staging file is removed. Pyarrow opens sources and root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = opened(root)
+        for batch in batches:
+            done = [_stored(fs, base, *pair) for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.bool_())], ["source", "relative", "stored"])
+
+    return files.select(F.col("source").cast("string").alias("source"), F.col("relative").cast("string").alias("relative")).mapInArrow(run, "source string, relative string, stored boolean")
+
+
+def _stored(fs: pyarrow.fs.FileSystem, base: str, source: str | None, relative: str | None) -> bool:
+    if not source or not relative or ".." in relative.split("/"):
+        return False
+    staging, target = f"{base}/.staging/{uuid.uuid4().hex}", f"{base}/{relative}"
+    try:
+        from_fs, path = opened(source)
+        for folder in (f"{base}/.staging", target.rpartition("/")[0]):
+            fs.create_dir(folder, recursive=True)
+        with from_fs.open_input_stream(path) as file, fs.open_output_stream(staging) as out:
+            while piece := file.read(1 << 20):
+                out.write(piece)
+        fs.move(staging, target)
+        return True
+    except OSError:
+        if fs.get_file_info(staging).is_file:
+            fs.delete_file(staging)
+        return False

@@ -17,6 +17,7 @@ class Settings:
     suggestions: int = 5
     cache_entries: int = 512
     cache_seconds: int = 300
+    shared_results: str = ""
     shuffle_partitions: int = 200
 
     @classmethod

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +45,45 @@ class ResultCache:
             self.held.popitem(last=False)
 
 
+class SharedResults:
+    """Answers that all instances of the service share: a file for each version and query under a folder, for a time.
+    Whatever fails, the service answers without it."""
+
+    def __init__(self, spark: SparkSession, folder: str, seconds: float, clock: Callable[[], float] = time.time):
+        self.spark, self.folder, self.seconds, self.clock = spark, folder, seconds, clock
+
+    def _path(self, key: str):
+        return store._files(self.spark, f"{self.folder}/{hashlib.sha256(key.encode()).hexdigest()}.json")
+
+    def get(self, key: str) -> str | None:
+        try:
+            _, fs, path = self._path(key)
+            if not fs.exists(path):
+                return None
+            file = fs.open(path)
+            try:
+                held = json.loads(bytes(file.readAllBytes()).decode())
+            finally:
+                file.close()
+            return held["answer"] if held["key"] == key and self.clock() - held["at"] < self.seconds else None
+        except (Py4JError, ValueError, KeyError, TypeError):  # unreachable, or half written by something else
+            return None
+
+    def put(self, key: str, value: str) -> None:
+        """Written under a name of its own and renamed, so that no half answer is read; the last of several stays."""
+        try:
+            jvm, fs, path = self._path(key)
+            staged = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/.{uuid.uuid4().hex}")
+            out = fs.create(staged, True)
+            out.write(bytearray(json.dumps({"key": key, "at": self.clock(), "answer": value}).encode()))
+            out.close()
+            if not fs.rename(staged, path):  # a file system that does not rename onto a file
+                fs.delete(path, False)
+                fs.rename(staged, path)
+        except Py4JError:
+            pass
+
+
 def build_index(spark: SparkSession, reports_dir: str, index_dir: str, words: index.Words | None = None) -> int:
     """Scan, parse, keep the first report of each id, weigh, normalise, publish; returns the new version. Terms and
     their signatures are published with it, for suggestions. words says how text is cut (`segment.words_by`)."""
@@ -73,6 +115,7 @@ class SearchService:
         """words must be what the index was built with."""
         self.spark, self.settings, self.archived, self.words = spark, settings, archived, words
         self.cache = ResultCache(settings.cache_entries, settings.cache_seconds)
+        self.shared = SharedResults(spark, settings.shared_results, settings.cache_seconds) if settings.shared_results else None
 
     def _version(self) -> int:
         known = store.versions(self.spark, self.settings.index_dir)
@@ -85,6 +128,10 @@ class SearchService:
         key = cache_key(version, query)
         if (known := self.cache.get(key)) is not None:
             return known
+        of_index = f"{self.settings.index_dir}|{key}"
+        if self.shared and (known := self.shared.get(of_index)) is not None:
+            self.cache.put(key, known)
+            return known
         docs, blocks = (store.load(self.spark, self.settings.index_dir, t, version) for t in ("docs", "blocks"))
         asked = self.spark.createDataFrame([(0, query)], "qid int, query string")
         hits = impact.search(blocks, asked, docs.count(), self.settings.top_k, id="report_id", words=self.words).join(docs, "report_id")
@@ -104,6 +151,8 @@ class SearchService:
             rows = answered(plain)
         out = json.dumps({"query": query, "version": version, "count": len(rows), "hits": rows}, ensure_ascii=False)
         self.cache.put(key, out)
+        if self.shared:
+            self.shared.put(of_index, out)
         return out
 
     def suggest(self, query: str) -> str:

@@ -123,12 +123,43 @@ def test_search_without_the_archive(spark, built):
 
 
 def test_files_are_stored_whole_or_not(spark, tmp_path):
-    (tmp_path / "a.dcm").write_bytes(b"one")
-    (tmp_path / "b.dcm").write_bytes(b"two")
-    root = str(tmp_path / "store")
-    done = archive.store_files(spark, [(str(tmp_path / "a.dcm"), "1/2/3.dcm"), (str(tmp_path / "missing.dcm"), "1/2/4.dcm"), (str(tmp_path / "b.dcm"), "1/2/3.dcm")], root)
-    assert done == [True, False, True] and (tmp_path / "store/1/2/3.dcm").read_bytes() == b"two"
-    assert not [p for p in (tmp_path / "store/.staging").rglob("*") if p.is_file() and not p.name.endswith(".crc")]
+    """In tasks: many files, a missing one, one that is there already, a path that leads out, nulls."""
+    (tmp_path / "in").mkdir()
+    for k in range(300):
+        (tmp_path / f"in/{k}.dcm").write_bytes(b"%d" % k * 1000)
+    root = tmp_path / "store"
+    (root / "1/2").mkdir(parents=True)
+    (root / "1/2/3.dcm").write_bytes(b"old")
+    rows = [(str(tmp_path / f"in/{k}.dcm"), f"1/2/{k}.dcm") for k in range(300)] + [(f"file:{tmp_path}/in/7.dcm", "a/b.dcm"), (str(tmp_path / "missing.dcm"), "1/x.dcm"), (str(tmp_path / "in/1.dcm"), "../out.dcm"), (None, "1/y.dcm"), (str(tmp_path / "in/1.dcm"), None)]
+    done = archive.store_files(spark.createDataFrame(rows, "source string, relative string").repartition(4), f"file:{root}").collect()
+    assert {(r.source, r.relative) for r in done if not r.stored} == set(rows[-4:]) and len(done) == len(rows)
+    assert all((root / f"1/2/{k}.dcm").read_bytes() == b"%d" % k * 1000 for k in range(300)) and (root / "a/b.dcm").read_bytes() == b"7" * 1000
+    assert not list((root / ".staging").iterdir()) and not (tmp_path / "out.dcm").exists() and not (root / "1/x.dcm").exists()
+
+
+def test_results_are_shared(spark, built, tmp_path):
+    """A second instance answers from what the first has found; answers expire; a failing store is left out."""
+    import dataclasses
+
+    settings = dataclasses.replace(built, shared_results=str(tmp_path / "shared"))
+    one, two = service.SearchService(spark, settings), service.SearchService(spark, settings)
+    said = one.search("骨折")
+    two._version = lambda: json.loads(said)["version"]
+    key = f'{built.index_dir}|{service.cache_key(json.loads(said)["version"], "骨折")}'
+    assert two.shared.get(key) == said
+    blocks, service.impact.search = service.impact.search, None  # a search would fail now
+    try:
+        assert two.search("骨折") == said and len(two.cache.held) == 1
+    finally:
+        service.impact.search = blocks
+    late = service.SharedResults(spark, settings.shared_results, 10, lambda: 1e12)
+    assert late.get(key) is None
+    (tmp_path / "file").write_text("x")
+    broken = service.SearchService(spark, dataclasses.replace(built, shared_results=str(tmp_path / "file/under")))
+    assert json.loads(broken.search("骨折"))["hits"] == json.loads(said)["hits"]
+    for f in (tmp_path / "shared").glob("*.json"):
+        f.write_text("{half")
+    assert json.loads(service.SearchService(spark, settings).search("骨折"))["hits"] == json.loads(said)["hits"]
 
 
 def test_build_from_the_command_line(spark, built, tmp_path, monkeypatch, capsys):
