@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from folioscan.functions.hashing import jenkins64_column
 from folioscan.functions.text import hamming
 
-BITS, MOST_BITS = 64, 3
+#: Bits, the greatest distance of a pair, and keys of a fingerprint at most.
+BITS, MOST_BITS, MOST_KEYS = 64, 3, 84
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -42,20 +44,40 @@ def simhash_jenkins(terms: DataFrame, id: str = "doc_id", term: str = "term", we
     return simhash(terms.join(known, term), id, "_h", weight, lambda h: h)
 
 
-def near_pairs(fps: DataFrame, most: int = MOST_BITS, id: str = "doc_id") -> DataFrame:
+def _masks(blocks: int, most: int) -> list[int]:
+    """64-bit masks of all choices of blocks - most blocks."""
+    edges = [k * BITS // blocks for k in range(blocks + 1)]
+    own = [((1 << hi) - (1 << lo)) for lo, hi in itertools.pairwise(edges)]
+    return [sum(x) for x in itertools.combinations(own, blocks - most)]
+
+
+def blocks_for(fingerprints: int, most: int = MOST_BITS) -> int:
+    """Blocks to cut fingerprints into: as many as it takes that a key's bits tell so many fingerprints apart. With one
+    more than `most` a key is one block; each block more makes keys longer, and more of them (4, 10, 20, 35, ...)."""
+    for blocks in range(most + 1, BITS):
+        if fingerprints <= 1 << min(m.bit_count() for m in _masks(blocks, most)) or len(_masks(blocks + 1, most)) > MOST_KEYS:
+            return blocks
+    return BITS
+
+
+def near_pairs(fps: DataFrame, most: int = MOST_BITS, id: str = "doc_id", blocks: int | None = None) -> DataFrame:
     """(a, b, distance) over representatives of equal fingerprints, a < b, that differ in at most `most` bits.
 
     The representative of a fingerprint is its smallest id, so copies never make pairs. Fingerprints are cut into
-    most + 1 bands, and two within the distance agree in one of them.
+    blocks; two within the distance agree in all but `most` of them, so in the bits of one choice of that many blocks.
+    Choices grow with the number of fingerprints, so that those that meet do not grow with its square. A pair is kept
+    where it meets first.
     """
-    bands = most + 1
-    width = BITS // bands
     own = fps.groupBy("fp").agg(F.min(id).alias("id"))
-    keys = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << (width if k < bands - 1 else BITS - k * width)) - 1)).alias("value")) for k in range(bands)))
-    banded = own.select("id", "fp", F.explode(keys).alias("x")).select("id", "fp", "x.*")
-    left, right = banded.withColumnsRenamed({"id": "a", "fp": "fa"}), banded.withColumnsRenamed({"id": "b", "fp": "fb"})
+    if blocks is None:
+        blocks = blocks_for(own.count(), most)
+    masks = F.array(*(F.lit(m - (1 << BITS) if m >> BITS - 1 else m).cast("long") for m in _masks(blocks, most)))
+    keyed = own.select("id", "fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("choice", "value"))
+    left, right = keyed.withColumnsRenamed({"id": "a", "fp": "fa"}), keyed.withColumnsRenamed({"id": "b", "fp": "fb"})
     close = hamming(F.col("fa"), F.col("fb"))
-    return left.join(right, ["band", "value"]).where((F.col("a") < F.col("b")) & (close <= most)).select("a", "b", close.cast("int").alias("distance")).distinct()
+    met = left.join(right, ["choice", "value"]).where((F.col("a") < F.col("b")) & (close <= most))
+    first = F.array_position(F.transform(masks, lambda m: F.col("fa").bitwiseXOR(F.col("fb")).bitwiseAND(m) == 0), True) - 1
+    return met.where(first == F.col("choice")).select("a", "b", close.cast("int").alias("distance"))
 
 
 def classes(fps: DataFrame, id: str = "doc_id") -> DataFrame:

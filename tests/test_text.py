@@ -150,12 +150,18 @@ def test_suggest_merges_and_orders(spark):
     assert [(x.term, x.distance, x.freq) for x in got] == [("肺结", 1, 4), ("肺结节", 2, 5)]
 
 
-def test_near_pairs_equal_all_pairs(spark):
+def test_blocks_grow_with_the_fingerprints():
+    assert [dedup.blocks_for(n) for n in (0, 10, 1 << 16, (1 << 16) + 1, 1 << 25, 10**9, 10**11, 10**18)] == [4, 4, 4, 5, 5, 6, 8, 9]
+    assert all(sum(dedup._masks(m, 3)) and len(set(dedup._masks(m, 3))) == math.comb(m, 3) for m in range(4, 9))
+
+
+@pytest.mark.parametrize("blocks", [None, 5, 6])
+def test_near_pairs_equal_all_pairs(spark, blocks):
     r = random.Random(2)
     base = [r.getrandbits(64) for _ in range(30)]
     fps = [b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(8)]
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = {(x.a, x.b, x.distance) for x in dedup.near_pairs(spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")).collect()}
+    got = {(x.a, x.b, x.distance) for x in dedup.near_pairs(spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long"), blocks=blocks).collect()}
     first = {}
     for i, f in enumerate(fps):
         first.setdefault(f, i)
