@@ -309,11 +309,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """(doc_id, fp, component_id) for each row of docs: component_id is the smallest doc_id of its component.
 
     Fingerprints link at `radius` differing bits or fewer. Texts without a word, null ones too, have fingerprint zero
-    and link like any other; repeated rows share their component; a null doc_id takes the component of its fingerprint
-    but gives it no name; columns beyond doc_id and text play no part; an empty table gives an empty result.
+    and link like any other; repeated rows share their component; a row without a doc_id links like any other but gives
+    no name, so a component of such rows alone has a null component_id; columns beyond doc_id and text play no part; an
+    empty table gives an empty result.
     """
     own = saved(fingerprints(docs, shingle))
-    fps = saved(own.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = connected_components(links(fps, radius))
-    whole = fps.join(found, fps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return matched(own, whole, ["fp"], "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    fps = saved(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = connected_components(links(fps.select("fp", F.col("fp").alias("rep")), radius))
+    whole = saved(fps.join(found, fps.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component")))
+    names = whole.groupBy("component").agg(F.min("first").alias("component_id"))
+    whole = matched(whole, names, ["component"]).select("fp", "component_id")
+    return matched(own, whole, ["fp"], "left").select("doc_id", "fp", "component_id")

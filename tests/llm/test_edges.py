@@ -144,3 +144,15 @@ def test_many_entities_in_one_text(spark):
     assert ends[:4] == [7, 7, 8, 11] and len(ends) == n and ends == sorted(ends)
     plain = spark.createDataFrame([(1, " ".join(f"u{i}@ab.org" for i in range(20_000)))], "doc_id long, text string")
     assert pii.sanitised(plain).first().text == " ".join(["[EMAIL]"] * 20_000)
+
+
+def test_rows_without_an_id_link(spark):
+    """A text without an id within three bits of others joins their component and gives it no name."""
+    r = random.Random(8)
+    words = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(60)]
+    fps = {x.text: x.fp & (1 << 64) - 1 for x in simhash.fingerprints(spark.createDataFrame([(t, t) for t in texts], "doc_id string, text string").selectExpr("CAST(hash(doc_id) AS long) AS doc_id", "text")).join(spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("CAST(hash(text) AS long) AS doc_id", "text"), "doc_id").collect()}
+    a, b = next((a, b) for a in texts for b in texts if 0 < (fps[a] ^ fps[b]).bit_count() <= 3)
+    rows = [(None, a), (70, b), (None, "quite another text of five words"), (None, "quite another text of five words")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(x.component_id) for x in got) == ["70", "70", "None", "None"]
