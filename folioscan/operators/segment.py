@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column
@@ -57,9 +58,32 @@ class Dictionary:
         drop = lambda d: {k: v for k, v in d.items() if k != word}
         return replace(self, frequency=drop(self.frequency), tags=drop(self.tags), user=drop(self.user), user_frequency=drop(self.user_frequency))
 
+    @cached_property
+    def trie(self) -> dict:
+        """Characters to nodes; an empty string in a node says that a word ends there. Made where it is first used, in a
+        task, and not sent there."""
+        root: dict = {}
+        for word in self.weight:
+            node = root
+            for c in word:
+                node = node.setdefault(c, {})
+            node[""] = None
+        return root
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "trie"}
+
     def words_at(self, text: str, i: int) -> list[int]:
-        """Ends of dictionary words that start at i; the single character always counts."""
-        return [i + 1, *(j for j in range(i + 2, min(len(text), i + self.longest) + 1) if text[i:j] in self.weight)]
+        """Ends of dictionary words that start at i; the single character always counts. The walk ends where no word
+        goes on."""
+        out, node = [i + 1], self.trie
+        for j in range(i, min(len(text), i + self.longest)):
+            node = node.get(text[j])
+            if node is None:
+                break
+            if "" in node and j > i:
+                out.append(j + 1)
+        return out
 
 
 def pieces(text: str, separators: str = SEPARATORS) -> list[str]:
@@ -78,8 +102,15 @@ def most_probable(text: str, d: Dictionary, longest: int | None = None) -> list[
     """The words of the likeliest path, found from the right; unknown characters weigh as the rarest word."""
     n = len(text)
     best: list[tuple[float, int]] = [(0.0, n)] * (n + 1)
+    weight, least = d.weight, d.least
     for i in range(n - 1, -1, -1):
-        best[i] = max(((d.weight.get(text[i:j], d.least) + best[j][0], j) for j in d.words_at(text, i) if longest is None or j - i <= longest), key=lambda x: x[0])
+        score, end = weight.get(text[i], least) + best[i + 1][0], i + 1
+        for j in d.words_at(text, i)[1:]:
+            if longest is not None and j - i > longest:
+                break
+            if (x := weight[text[i:j]] + best[j][0]) > score:
+                score, end = x, j
+        best[i] = score, end
     out, i = [], 0
     while i < n:
         out.append(text[i : best[i][1]])

@@ -176,6 +176,12 @@ def segment_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *counts, F.size(segment.segmented(F.col("text"), d, "mp", longest=4)).alias("n_short"))
 
 
+def segment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most probable words of every document by a given dictionary: their number and a digest of all in order."""
+    words = segment.segmented(F.coalesce("text", F.lit("")), _dictionary(spark, sf_dir), "mp")
+    return table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("n_words"), F.md5(F.array_join("w", "/").cast("binary")).alias("words_md5"))
+
+
 def top_terms_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The service's term listing by language: most documents first."""
     docs = table(spark, sf_dir, "documents")
@@ -185,7 +191,7 @@ def top_terms_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     tfidf_postings, term_document_frequency, postings_l2_normalised, search_topk, search_batch_topk, search_batch_pruned, search_pruning, field_weighted_tf, search_with_link_flag, search_results_json, snippets, spell_suggest, spell_suggest_batch,
-    keyword_topn, keyword_default_idf, keyword_offsets, word_count, search_mode_ngrams, textrank_keywords, pos_tags, segment_modes, top_terms_per_language,
+    keyword_topn, keyword_default_idf, keyword_offsets, word_count, search_mode_ngrams, textrank_keywords, pos_tags, segment_modes, segment_words, top_terms_per_language,
 ]
 
 _TF = r"""
@@ -273,6 +279,20 @@ SELECT gram, count(*) AS n FROM g WHERE gram IN (SELECT term FROM df) GROUP BY g
 k AS (SELECT * FROM (VALUES ('the', 'r'), ('of', 'p'), ('de', 'p'), ('und', 'c'), ('la', 'r')) AS v(word, tag)),
 s AS (SELECT term AS word, substr(regexp_replace(term, '[^\\x00-\\x7f]', '', 'g'), 1, (length(term) // 2)::INT) AS seen FROM df)
 SELECT s.word, coalesce(tag, CASE WHEN seen = '' THEN 'x' WHEN regexp_matches(seen, '^[0-9]+$') THEN 'm' ELSE 'eng' END) AS tag FROM s LEFT JOIN k USING (word)""",
+    "segment_words": r"""
+WITH RECURSIVE dict AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[^\p{L}\p{N}]+')) AS w FROM benchmark) WHERE strlen(w) > 1 GROUP BY w),
+wt AS (SELECT w, ln(n / (SELECT sum(n) FROM dict)::DOUBLE) AS lw FROM dict),
+known AS (SELECT min(lw) AS least, max(length(w)) AS longest FROM wt),
+part AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS place FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n，。]+|[ \t\n，。]') AS ps FROM documents)),
+piece AS (SELECT DISTINCT p, length(p) AS n FROM part),
+spot AS (SELECT p, n, unnest(range(0, n)) AS i FROM piece),
+cand AS (SELECT p, i, unnest(range(1, least(longest, n - i) + 1)) AS l FROM spot, known),
+edge AS (SELECT p, i, list(struct_pack(j := i + l, lw := coalesce(lw, known.least))) AS e FROM cand LEFT JOIN wt ON w = substr(p, i + 1, l), known WHERE l = 1 OR lw IS NOT NULL GROUP BY p, i),
+walk AS (SELECT p, n AS i, [0::DOUBLE] AS best, [''] AS said, [0::BIGINT] AS cnt FROM piece
+  UNION ALL SELECT p, i, list_prepend(-x.s, best), list_prepend(substr(p, i + 1, x.j - i) || CASE WHEN x.j < length(p) THEN '/' || said[x.j - i] ELSE '' END, said), list_prepend(1 + cnt[x.j - i], cnt)
+  FROM (SELECT walk.p, edge.i, best, said, cnt, list_min(list_transform(e, lambda y: struct_pack(s := -(y.lw + best[y.j - edge.i]), j := y.j))) AS x FROM walk JOIN edge ON edge.p = walk.p AND edge.i = walk.i - 1)),
+done AS (SELECT p, said[1] AS said, cnt[1] AS cnt FROM walk WHERE i = 0)
+SELECT doc_id, coalesce(sum(cnt), 0)::INT AS n_words, md5(coalesce(string_agg(said, '/' ORDER BY place), '')) AS words_md5 FROM documents LEFT JOIN part USING (doc_id) LEFT JOIN done USING (p) GROUP BY doc_id""",
     "top_terms_per_language": f"""WITH {_TF},
 l AS (SELECT lang, term, count(*) AS df FROM tf JOIN documents USING (doc_id) GROUP BY ALL)
 SELECT *, (row_number() OVER (PARTITION BY lang ORDER BY df DESC, term))::INT AS rank FROM l QUALIFY rank <= 20""",
