@@ -286,7 +286,7 @@ def _equal(pieces: DataFrame, kinds: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): rows (id, row, doc_id, text) of docs, where id and row, 128 bits, tell rows apart by doc_id and
-    text; spans (id, row, start, stop) of bytes that repeated windows cover, which may overlap."""
+    text; spans (id, row, start, stop) of bytes that repeated windows cover, which may overlap and repeat."""
     arrow_limits(docs.sparkSession)
     rows = keyed(docs).select(F.coalesce("doc_id", "k2").alias("id"), F.col("k1").alias("row"), "doc_id", "text")
     every = _occurrences(rows.select("id", "row", "text"))
@@ -302,7 +302,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     start = F.shiftright("place", 16)
     whole = matched(again, equal.where("copies").select("h", "c").distinct(), ["h", "c"])
     spans = whole.select("id", "row", start.alias("start"), (start + F.shiftright("place", 8).bitwiseAND(F.lit(255)) + (WIDTH - 1)).alias("stop"))
-    return rows, spans.unionByName(equal.where("not copies").select("id", "row", "start", "stop")).distinct()  # rows of one id and text share theirs
+    return rows, spans.unionByName(equal.where("not copies").select("id", "row", "start", "stop"))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,8 +349,8 @@ def without_repeats(docs: DataFrame, texts_too: bool = False) -> DataFrame:
     other columns play no part; an empty table gives an empty result.
     """
     rows, spans = repeated_spans(docs)
-    gone = spans.groupBy("id", "row").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
-    both = rows.join(gone.hint("shuffle_hash"), ["id", "row"], "left").select("doc_id", "text", "start", "stop")
+    gone = spans.groupBy("id", "row").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))  # rows of one id and text share theirs
+    both = rows.join(gone.hint("shuffle_hash"), ["id", "row"], "left").select("doc_id", "text", F.col("gone.start").alias("start"), F.col("gone.stop").alias("stop"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in steps(batches, most=1 << 20):
