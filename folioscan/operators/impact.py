@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.operators.index import PUSHED_TERMS, Words, _words, idf, small
+from folioscan.operators.index import BROADCAST_ROWS, PUSHED_TERMS, Words, _words, asked_terms, small
 
 #: Documents in a block. For its threshold a query scores its blocks of the highest bounds: until they hold so many times
 #: k documents, and no more than so many blocks.
@@ -24,30 +24,39 @@ PUSHED_BLOCKS = 2000
 SLACK = 1e-6
 
 
-def blocks(postings: DataFrame, id: str = "doc_id", documents: int = BLOCK_DOCUMENTS) -> DataFrame:
-    """(term, part, df, most, n, docs) of normalised postings: one row for each term of a block (part) of about so many
-    documents, with its n postings (id, weight) of some weight. Publish it laid out by term."""
-    level = F.floor(2 * F.log2("terms")).cast("long")
-    lengths = postings.groupBy(id).agg(F.count("*").alias("terms")).select(id, level.alias("level"))
+def parts(norms: DataFrame, id: str = "doc_id", documents: int = BLOCK_DOCUMENTS) -> DataFrame:
+    """(id, part, norm): the block of each document of norms (id, terms, norm), by its number of terms."""
+    lengths = norms.select(id, F.floor(2 * F.log2("terms")).cast("long").alias("level"), "norm")
     levels = lengths.groupBy("level").agg(F.ceil(F.count("*") / documents).alias("splits"))  # some sixty rows
-    parts = lengths.join(F.broadcast(levels), "level").select(id, (F.shiftleft("level", 48) + F.pmod(F.xxhash64(id), F.col("splits"))).alias("part"))
-    rows = postings.where("weight > 0").select(id, "term", "df", "weight").join(parts, id)
-    return rows.groupBy("term", "part").agg(F.max("df").alias("df"), F.max("weight").alias("most"), F.count("*").alias("n"), F.collect_list(F.struct(id, "weight")).alias("docs"))
+    return lengths.join(F.broadcast(levels), "level").select(id, (F.shiftleft("level", 48) + F.pmod(F.xxhash64(id), F.col("splits"))).alias("part"), "norm")
+
+
+def blocks(postings: DataFrame, id: str = "doc_id", documents: int = BLOCK_DOCUMENTS, dealt: DataFrame | None = None) -> DataFrame:
+    """(term, part, df, most, n, docs) of normalised postings: one row for each term of a block (part) of about so many
+    documents, with its n postings (id, weight) of some weight. Publish it laid out by term.
+
+    If dealt has the parts of documents (stored), weights are those before normalisation, of which a term has few and
+    which take little space; only most is normalised, and `Search` needs the same parts."""
+    own = small(dealt) if dealt is not None else parts(postings.groupBy(id).agg(F.count("*").alias("terms"), F.lit(1.0).alias("norm")), id, documents)
+    rows = postings.where("weight > 0").select(id, "term", "df", "weight").join(own, id)
+    return rows.groupBy("term", "part").agg(F.max("df").alias("df"), F.max(F.col("weight") / F.col("norm")).alias("most"), F.count("*").alias("n"), F.collect_list(F.struct(id, "weight")).alias("docs"))
 
 
 class Search:
-    """A batch of queries (qid, query) over blocks: hits, and what had to be read for them."""
+    """A batch of queries (qid, query) over blocks: hits, and what had to be read for them. Rows of blocks are dealt by
+    block before they meet the queries, so that bounds and scores are summed where they are made."""
 
-    def __init__(self, blocks: DataFrame, queries: DataFrame, documents: int, k: int, id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None):
+    def __init__(self, blocks: DataFrame, queries: DataFrame, documents: int, k: int, id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None, dealt: DataFrame | None = None):
         self.k, self.id = k, id
+        self.norms = None if dealt is None else dealt.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct(id, "norm"))).alias("norms"))
         asked = queries.select("qid", F.explode(_words(F.col("query"), stop_words, words)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
         terms = [r.term for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-        self.blocks = blocks.where(F.col("term").isin(terms)) if len(terms) <= PUSHED_TERMS else blocks
-        self.wanted = self.blocks.select("term", "part", "df", "most", "n").join(small(asked), "term").withColumn("q", F.col("qtf") * idf(F.col("df"), documents)).where("q > 0")
-        once = self.wanted.groupBy("qid", "term").agg(F.first("q").alias("q"))
-        self.norms = once.groupBy("qid").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
-        bound = self.wanted.groupBy("qid", "part").agg(F.sum(F.col("q") * F.col("most")).alias("dot"), F.max("n").alias("n"))
-        self.bounds = bound.join(self.norms, "qid").select("qid", "part", "n", (F.col("dot") / F.col("norm")).alias("bound"))
+        near = F.broadcast if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
+        self.blocks = blocks.where(F.col("term").isin(terms)) if len(terms) <= PUSHED_TERMS else blocks.join(near(asked.select("term").distinct()), "term", "left_semi")
+        self.asked = near(asked_terms(self.blocks.groupBy("term").agg(F.max("df").alias("df")), asked, documents))
+        self.wanted = self.blocks.select("term", "part", "most", "n").repartition("part").join(self.asked, "term")
+        bound = self.wanted.groupBy("qid", "part").agg((F.sum(F.col("q") * F.col("most")) / F.first("qnorm")).alias("bound"), F.max("n").alias("n"))
+        self.bounds = bound.select("qid", "part", "n", "bound")
         best = Window.partitionBy("qid").orderBy(F.desc("bound"), "part")
         first = self.bounds.withColumn("r", F.row_number().over(best)).where(F.col("r") <= FIRST_BLOCKS)
         self.first = first.withColumn("held", F.sum("n").over(best) - F.col("n")).where(F.col("held") < FIRST_DOCUMENTS * k).select("qid", "part")
@@ -58,11 +67,17 @@ class Search:
 
     def _scores(self, parts: DataFrame) -> DataFrame:
         """(qid, id, score) of all documents of these blocks (qid, part)."""
-        need = self.wanted.select("qid", "term", "part", "q").join(parts, ["qid", "part"])
         known = [r.part for r in parts.select("part").distinct().limit(PUSHED_BLOCKS + 1).collect()]
         read = self.blocks.where(F.col("part").isin(known)) if len(known) <= PUSHED_BLOCKS else self.blocks
-        found = read.select("term", "part", "docs").join(need, ["term", "part"]).select("qid", "q", F.explode("docs").alias("x")).select("qid", F.col(f"x.{self.id}").alias(self.id), (F.col("q") * F.col("x.weight")).alias("w"))
-        return found.groupBy("qid", self.id).agg(F.sum("w").alias("dot")).join(self.norms, "qid").select("qid", self.id, F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+        asking = parts.groupBy("part").agg(F.collect_set("qid").alias("qids"))
+        rows = read.select("term", "part", "docs").repartition("part").join(asking, "part")
+        if self.norms is not None:
+            normal = F.transform("docs", lambda x: F.struct(x[self.id].alias(self.id), (x["weight"] / F.element_at("norms", x[self.id])).alias("weight")))
+            rows = rows.join(self.norms, "part").withColumn("docs", normal).drop("norms")
+        need = rows.join(self.asked, "term").where(F.array_contains("qids", F.col("qid")))
+        found = need.select("qid", "part", "q", "qnorm", F.explode("docs").alias("x")).select("qid", "part", "q", "qnorm", F.col(f"x.{self.id}").alias(self.id), F.col("x.weight").alias("weight"))
+        dots = found.groupBy("qid", "part", self.id).agg((F.sum(F.col("q") * F.col("weight")) / F.first("qnorm")).alias("dot"))
+        return dots.select("qid", self.id, F.round("dot", 6).alias("score"))
 
     def _best(self, scores: DataFrame) -> DataFrame:
         order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc(self.id))
@@ -81,6 +96,6 @@ class Search:
         return both.groupBy("qid").agg(F.sum("n").alias("n_postings"), F.sum(F.col("n") * F.col("read")).alias("n_read"), F.count_distinct("part").alias("n_blocks"), distinct.alias("n_blocks_read"))
 
 
-def search(blocks: DataFrame, queries: DataFrame, documents: int, k: int, id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None) -> DataFrame:
+def search(blocks: DataFrame, queries: DataFrame, documents: int, k: int, id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None, dealt: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank): the k best documents of each query, without scoring every posting."""
-    return Search(blocks, queries, documents, k, id, stop_words, words).hits()
+    return Search(blocks, queries, documents, k, id, stop_words, words, dealt).hits()

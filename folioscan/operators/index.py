@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import tokens
+from folioscan.functions.text import let, tokens
 
 #: Rows of a query side that may be broadcast; a larger batch of queries is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -32,17 +32,37 @@ def _words(text: Column, stop_words: Sequence[str], words: Words | None) -> Colu
 
 def term_frequencies(docs: DataFrame, fields: Mapping[str, int], id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None) -> DataFrame:
     """(id, term, tf): occurrences of each term, each weighted by its field's weight. Terms are what `words` makes of the
-    text, without those of a single byte and stop words."""
-    parts = [F.transform(_words(F.col(c), stop_words, words), lambda t: F.struct(t.alias("term"))) for c in fields]
+    text, without those of a single byte and stop words. A single field is counted within its row, without a shuffle;
+    rows that share an id are counted together."""
     if len(fields) == 1:
-        (weight,) = fields.values()
-        words = docs.select(F.col(id), F.explode(parts[0]).alias("x")).select(id, "x.term")
-        return words.groupBy(id, "term").agg((F.count("*") * weight).cast("long").alias("tf"))
+        ((field, weight),) = fields.items()
+
+        def counted(docs: DataFrame) -> DataFrame:
+            found = docs.select(F.col(id), F.explode(occurrences(_words(F.col(field), stop_words, words))).alias("x"))
+            return found.select(id, "x.term", (F.col("x.n") * weight).cast("long").alias("tf"))
+
+        twice = docs.groupBy(F.col(id).alias("_of")).agg(F.count("*").alias("_n")).where("_n > 1").select("_of")
+        if twice.isEmpty():
+            return counted(docs)
+        same = F.col(id).eqNullSafe(F.col("_of"))
+        shared = counted(docs.join(small(twice), same, "left_semi")).groupBy(id, "term").agg(F.sum("tf").alias("tf"))
+        return counted(docs.join(small(twice), same, "left_anti")).unionByName(shared)
+    parts = [F.transform(_words(F.col(c), stop_words, words), lambda t: F.struct(t.alias("term"))) for c in fields]
     weighed = [F.transform(p, _weighed(w)) for p, w in zip(parts, fields.values())]
     words = docs.select(F.col(id), F.explode(F.concat(*weighed)).alias("x")).select(id, "x.term", "x.w")
     return words.groupBy(id, "term").agg(F.sum("w").cast("long").alias("tf"))
 
 
+def occurrences(words: Column) -> Column:
+    """Array of (term, n): the distinct words of an array and how often each stands there, by runs of the sorted array."""
+
+    def runs(x: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1)))
+        return let(starts, lambda s: F.transform(s, lambda at, k: F.struct(F.get(x, at).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(x)) - at).alias("n"))))
+
+    return let(F.sort_array(words), lambda x: F.when(F.size(x) > 0, runs(x)))
+
+
 def _weighed(weight: int):
     return lambda x: F.struct(x["term"].alias("term"), F.lit(weight).alias("w"))
 
@@ -68,31 +88,54 @@ def normalised(weights: DataFrame, id: str = "doc_id") -> DataFrame:
     return weights.withColumn("norm", norm).withColumn("weight", F.when(F.col("norm") > 0, F.col("weight") / F.col("norm")).otherwise(0.0)).drop("norm")
 
 
+def norms(weights: DataFrame, id: str = "doc_id") -> DataFrame:
+    """(id, terms, norm): the number of each document's terms and the norm of its weights."""
+    return weights.groupBy(id).agg(F.count("*").alias("terms"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+
+
 def build(docs: DataFrame, fields: Mapping[str, int], id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None) -> DataFrame:
     """Normalised postings of documents that are already unique by id."""
     return normalised(postings(term_frequencies(docs, fields, id, stop_words, words), docs.count(), id), id)
 
 
-def search(index: DataFrame, queries: DataFrame, documents: int, k: int, id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None) -> DataFrame:
+def asked_terms(dfs: DataFrame, asked: DataFrame, documents: int) -> DataFrame:
+    """(qid, term, q, qnorm): weights of the queries' terms (qid, term, qtf) that dfs (term, df) knows and that weigh
+    something, and the norm of each query's weights."""
+    found = asked.join(dfs, "term").withColumn("q", F.col("qtf") * idf(F.col("df"), documents)).where("q > 0")
+    return found.select("qid", "term", "q", F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("qid"))).alias("qnorm"))
+
+
+def search(index: DataFrame, queries: DataFrame, documents: int, k: int, id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None, norms: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank): the k best documents of each query (qid, query) by cosine, score at six decimals, ties by id.
 
-    Queries are cut into words as the index was: give both the same `words`. Only postings of the queries' terms are read: a few terms become a filter that reaches the scan, many are joined.
+    Queries are cut into words as the index was: give both the same `words`. Weights of the index are normalised, or
+    norms has each document's (id, norm). Only postings of the queries' terms are read: a few terms become a filter that
+    reaches the scan, many are joined. These postings are dealt by document before they meet the queries, so that
+    scores are summed, and all but the k best of each task dropped, where they are made.
     A query without a known term of some weight has no hits.
     """
     asked_words = queries.select("qid", F.explode(_words(F.col("query"), stop_words, words)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     asked = [r.term for r in asked_words.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-    rows = index.select(id, "term", "df", "weight")
-    if len(asked) <= PUSHED_TERMS:
-        rows = rows.where(F.col("term").isin(asked))
-    found = rows.join(small(asked_words), "term").withColumn("q", F.col("qtf") * idf(F.col("df"), documents)).where("q > 0")
-    # the query's norm is over its distinct terms, the dot product over postings
-    norms = found.groupBy("qid", "term").agg(F.first("q").alias("q")).groupBy("qid").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
-    dots = found.groupBy("qid", id).agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
-    scores = dots.join(norms, "qid").select("qid", id, F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    few = asked_words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    near = F.broadcast if few else lambda df: df
+    rows = index.where(F.col("term").isin(asked)) if len(asked) <= PUSHED_TERMS else index.join(near(asked_words.select("term").distinct()), "term", "left_semi")
+    weighed = near(asked_terms(rows.groupBy("term").agg(F.max("df").alias("df")), asked_words, documents))
+    rows = rows.select(id, "term", "weight")
+    found = (rows.repartition(id) if few else rows).join(weighed, "term")
+    dots = found.groupBy("qid", id).agg((F.sum(F.col("weight") * F.col("q")) / F.first("qnorm")).alias("dot"))
+    if norms is not None:
+        dots = dots.join(norms.select(id, "norm"), id).withColumn("dot", F.col("dot") / F.col("norm"))
+    scores = dots.select("qid", id, F.round("dot", 6).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc(id))
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A positive double at so many decimals, by its own value, as SQL engines round doubles; F.round goes by its
+    shortest decimal text, which may stand at a half that the double is below."""
+    return F.floor(value * 10.0**digits + 0.5) / 10.0**digits
+
+
 def with_link_flag(hits: DataFrame, linked: DataFrame, on: str, name: str = "has_image", most_bytes: int = 128) -> DataFrame:
     """hits with whether `on` is found in linked; over-long or null keys are not."""
     known = linked.select(F.col(on).alias("_key")).where(F.octet_length(F.col("_key").cast("string")) <= most_bytes).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions.text import search_ngrams, snippet, tokens
 from folioscan.operators import impact, index, keywords, segment, spell
-from folioscan.plans.common import fingerprint, scratch, table
+from folioscan.plans.common import arrow_limits, fingerprint, scratch, table
 from folioscan.sources import store
 
 #: The fixed query of the flagship, its page, and the word that snippets are made for.
@@ -35,15 +35,22 @@ def _stored(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, int
         folder = scratch(spark)
         if name == "variants":
             made, n = spell.variants(index.document_frequencies(_tf(spark, sf_dir)).withColumnRenamed("df", "freq")), 0
+        elif name == "postings":  # weights before they are divided by the document's norm, so that one deal, by term, is enough
+            n = table(spark, sf_dir, "documents").count()
+            made = index.postings(_tf(spark, sf_dir), n).select("doc_id", "term", "df", "weight")
         else:
-            made, n = _index(spark, sf_dir)
-            made = impact.blocks(made) if name == "blocks" else made
-        store.publish(spark, folder, {name: made})
+            made, n = _stored(spark, sf_dir, "postings")
+            made = index.norms(made) if name == "norms" else impact.blocks(made, dealt=_parts(spark, sf_dir))
+        store.publish(spark, folder, {name: made}, dealt=name in ("postings", "blocks"))
         _published[key] = folder, n
     folder, n = _published[key]
     return store.load(spark, folder, name), n
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.parts(_stored(spark, sf_dir, "norms")[0])
+
+
 def tfidf_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return index.postings(_tf(spark, sf_dir), docs.count()).select("doc_id", "term", "tf", F.round("weight", 5).alias("weight"))
@@ -59,7 +66,7 @@ def postings_l2_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _found(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
     built, n = _stored(spark, sf_dir, "postings")
-    return index.search(built, queries, n, PAGE)
+    return index.search(built, queries, n, PAGE, norms=_stored(spark, sf_dir, "norms")[0])
 
 
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,14 +84,14 @@ def search_batch_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of search_batch_topk, from the blocks of postings that can hold a hit."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     built, n = _stored(spark, sf_dir, "blocks")
-    return impact.search(built, queries, n, PAGE).select("qid", "rank", "doc_id", "score")
+    return impact.search(built, queries, n, PAGE, dealt=_parts(spark, sf_dir)).select("qid", "rank", "doc_id", "score")
 
 
 def search_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings of each benchmark item's terms, and those that its search reads."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     built, n = _stored(spark, sf_dir, "blocks")
-    return impact.Search(built, queries, n, PAGE).work()
+    return impact.Search(built, queries, n, PAGE, dealt=_parts(spark, sf_dir)).work()
 
 
 def field_weighted_tf(spark: SparkSession, sf_dir: str) -> DataFrame:

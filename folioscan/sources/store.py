@@ -46,16 +46,19 @@ def _taken(spark: SparkSession, file: str, content: bytes = b"") -> bool:
     return True
 
 
-def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], partitions: int | None = None, token: str = "") -> int:
+def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], partitions: int | None = None, token: str = "", dealt: bool = False) -> int:
     """Writes tables as the next version and returns it. Postings are laid out by term, spelling variants by block, so
-    that a query reads few files. The marker holds the token, which says what the version was made of."""
+    that a query reads few files; what is dealt by term already is sorted only, and a query reads few pages of its files.
+    The marker holds the token, which says what the version was made of."""
     version = max(versions(spark, folder, published=False), default=0) + 1
     while not _taken(spark, f"{folder}/v{version}/{OWNER}"):
         version += 1
     for name, df in tables.items():
         key = next((c for c in ("block", "term") if c in df.columns), None)
         if key:
-            df = (df.repartitionByRange(partitions, key) if partitions else df.repartitionByRange(key)).sortWithinPartitions(*(c for c in (key, "part") if c in df.columns))
+            if not dealt:
+                df = df.repartitionByRange(partitions, key) if partitions else df.repartitionByRange(key)
+            df = df.sortWithinPartitions(*(c for c in (key, "part") if c in df.columns))
         df.write.parquet(f"{folder}/v{version}/{name}")
     if not _taken(spark, f"{folder}/v{version}/{MARKER}", token.encode()):
         raise FileExistsError(f"version {version} in {folder} was published by another writer")

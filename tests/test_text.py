@@ -239,3 +239,29 @@ def test_modes_on_one_text():
     assert segment.segment(text, d, "search") == ["我", "来到", "北京", "清华", "华大", "大学", "清华大学"]
     assert segment.segment(text, d, "hmm") == list(text)
     assert segment.segment("，。 ", d) == ["，", "。", " "] and segment.segment("", d) == []
+
+
+def test_terms_are_counted_in_their_rows(spark):
+    """No shuffle of words, and rows that share an id, or have none, are counted together."""
+    one = index.term_frequencies(spark.createDataFrame([(1, "aa bb aa"), (2, None), (3, "")], "doc_id long, text string"), {"text": 2})
+    assert {tuple(x) for x in one.collect()} == {(1, "aa", 4), (1, "bb", 2)}
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    many = index.term_frequencies(spark.createDataFrame([(1, "aa bb aa"), (1, "bb"), (None, "cc"), (None, "cc dd"), (2, "aa")], "doc_id long, text string"), {"text": 1})
+    assert {tuple(x) for x in many.collect()} == {(1, "aa", 2), (1, "bb", 2), (None, "cc", 2), (None, "dd", 1), (2, "aa", 1)}
+
+
+def test_search_of_weights_and_norms(spark):
+    """Stored weights before normalisation give the hits of normalised ones, in all postings and by blocks."""
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(r.choices([f"w{k}" for k in range(40)], k=r.randint(1, 30)))) for i in range(200)], "doc_id long, text string")
+    queries = spark.createDataFrame([(0, "w1 w2 w2"), (1, "w7"), (2, "none")], "qid int, query string")
+    want = {tuple(x) for x in index.search(index.build(docs, {"text": 1}), queries, 200, 5).select("qid", "doc_id", "score", "rank").collect()}
+    plain = index.postings(index.term_frequencies(docs, {"text": 1}), 200)
+    norms = index.norms(plain)
+    dealt = impact.parts(norms)
+    by_blocks = impact.search(impact.blocks(plain, dealt=dealt), queries, 200, 5, dealt=dealt)
+    found = index.search(plain, queries, 200, 5, norms=norms)
+    assert all({tuple(x) for x in got.select("qid", "doc_id", "score", "rank").collect()} == want for got in (found, by_blocks)) and len(want) == 10
+    found.collect()  # no pairs of query and document are shuffled but the best
+    dealt_by = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
+    assert dealt_by and not any("qid#" in x and "doc_id#" in x for x in dealt_by)
