@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.plans.common import arrow_limits as arrow_limits
+
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 1 << 21
 #: Rows of a few numbers that may be broadcast (some 50 MB); more are joined by a shuffle.
@@ -51,15 +53,6 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def arrow_limits(spark: SparkSession) -> None:
-    """Arrow batches by bytes as well as rows, so that a run of long documents stays small in a worker. The setting has
-    to hold when the plan runs, so it stays in the session; a smaller one that was set in bytes is kept."""
-    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
-    own = spark.conf.get(name).lower().rstrip("b")
-    if not (own.isdigit() and 0 < int(own) <= most):
-        spark.conf.set(name, str(most))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The session's folder below spark.checkpoint.dir. Where that is not set, a local session (as in tests) gets a
     temporary one; a cluster has no folder that could be guessed, so there it is an error."""

@@ -179,8 +179,9 @@ def _dictionary(spark: SparkSession, sf_dir: str) -> segment.Dictionary:
 def segment_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of words that each mode finds in every document by a given dictionary, also with words of up to four."""
     docs, d = table(spark, sf_dir, "documents"), _dictionary(spark, sf_dir)
-    counts = [F.size(segment.segmented(F.col("text"), d, mode)).alias(f"n_{mode}") for mode in ("mix", "mp", "full", "search", "hmm")]
-    return docs.select("doc_id", *counts, F.size(segment.segmented(F.col("text"), d, "mp", longest=4)).alias("n_short"))
+    arrow_limits(spark)
+    modes = {f"n_{mode}": (mode, None) for mode in ("mix", "mp", "full", "search", "hmm")} | {"n_short": ("mp", 4)}
+    return docs.select("doc_id", segment.counted(F.col("text"), d, modes).alias("n")).select("doc_id", "n.*")
 
 
 def segment_words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import math
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -265,3 +266,12 @@ def test_search_of_weights_and_norms(spark):
     found.collect()  # no pairs of query and document are shuffled but the best
     dealt_by = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
     assert dealt_by and not any("qid#" in x and "doc_id#" in x for x in dealt_by)
+
+
+def test_counted_as_segmented(spark):
+    d = replace(DICT, hmm=segment.Hmm([-0.3, segment.IMPOSSIBLE, segment.IMPOSSIBLE, -1.4], [[-1.0] * 4] * 4, [{}, {}, {}, {}]))
+    texts = ["南京市长江大桥 abc12 x", "", None, "南京 南京，大桥\n" + "y" * 100]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    modes = {f"n_{m}": (m, None) for m in segment.MODES} | {"n_short": ("mp", 2)}
+    got = [tuple(x.n) for x in df.select(segment.counted(F.col("text"), d, modes).alias("n")).collect()]
+    assert got == [tuple(None if t is None else len(segment.segment(t, d, m, longest=k)) for m, k in modes.values()) for t in texts]
