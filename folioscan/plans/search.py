@@ -109,7 +109,8 @@ def search_with_link_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item's hits as the service would send them."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return index.hits_json(_found(spark, sf_dir, queries).withColumn("score", F.round("score", 4)), ["doc_id", "score"])
+    sent = index.hits_json(_found(spark, sf_dir, queries).withColumn("score", index.rounded(F.col("score"), 4)), ["doc_id", "score"])
+    return sent.withColumn("json", F.regexp_replace("json", r"([0-9])\.0E-4", "0.000$1"))  # no exponents
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,3 +275,9 @@ def test_counted_as_segmented(spark):
     modes = {f"n_{m}": (m, None) for m in segment.MODES} | {"n_short": ("mp", 2)}
     got = [tuple(x.n) for x in df.select(segment.counted(F.col("text"), d, modes).alias("n")).collect()]
     assert got == [tuple(None if t is None else len(segment.segment(t, d, m, longest=k)) for m, k in modes.values()) for t in texts]
+
+
+def test_rounded_by_the_double(spark):
+    """0.16695 is a double below its decimal text, so SQL on doubles rounds it down."""
+    got = spark.createDataFrame([(0.16695,), (0.00004,), (0.00006,), (1.0,)], "x double").select(index.rounded(F.col("x"), 4)).collect()
+    assert [x[0] for x in got] == [0.1669, 0.0, 0.0001, 1.0]
