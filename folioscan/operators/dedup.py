@@ -39,9 +39,8 @@ def simhash(terms: DataFrame, id: str = "doc_id", term: str = "term", weight: st
 
 
 def simhash_jenkins(terms: DataFrame, id: str = "doc_id", term: str = "term", weight: str = "tf") -> DataFrame:
-    """simhash with the Jenkins hash; each distinct term is hashed once."""
-    known = terms.select(term).distinct().withColumn("_h", jenkins64_column(F.col(term)))
-    return simhash(terms.join(known, term), id, "_h", weight, lambda h: h)
+    """simhash with the Jenkins hash, where the terms stand."""
+    return simhash(terms, id, term, weight, jenkins64_column)
 
 
 def _masks(blocks: int, most: int) -> list[int]:

@@ -281,3 +281,14 @@ def test_rounded_by_the_double(spark):
     """0.16695 is a double below its decimal text, so SQL on doubles rounds it down."""
     got = spark.createDataFrame([(0.16695,), (0.00004,), (0.00006,), (1.0,)], "x double").select(index.rounded(F.col("x"), 4)).collect()
     assert [x[0] for x in got] == [0.1669, 0.0, 0.0001, 1.0]
+
+
+def test_jenkins_of_many():
+    values = ["x" * n for n in range(40)] + ["ä" * 7, "肺结节"]
+    assert hashing.jenkins64_many([v.encode() for v in values]).tolist() == [hashing.jenkins64(v.encode()) for v in values]
+
+
+def test_simhash_jenkins_deals_no_words(spark):
+    terms = index.term_frequencies(spark.createDataFrame([(1, "aa bb"), (2, "cc")], "doc_id long, text string"), {"text": 1})
+    plan = dedup.simhash_jenkins(terms)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "term" not in next(x for x in plan.splitlines() if "hashpartitioning" in x).split("hashpartitioning")[1]
