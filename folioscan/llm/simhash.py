@@ -53,6 +53,29 @@ def majority(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > np.diff(at)[:, None], axis=1).view(">u8").ravel()
 
 
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """The unsigned fingerprint of each row of text."""
+    digest, join = xxhash.xxh64_digest, b" ".join
+    text, cuts = data.tobytes().lower(), offsets.tolist()
+    parts, counts = [], []
+    for a, b in zip(cuts, cuts[1:]):
+        words = text[a:b].split()
+        if len(words) >= shingle:
+            parts += [digest(join(s), SEED) for s in zip(*(words[k:] for k in range(shingle)))]
+            counts.append(len(words) - shingle + 1)
+        elif words:
+            parts.append(digest(join(words), SEED))
+            counts.append(1)
+        else:
+            counts.append(0)
+    some = np.flatnonzero(counts)
+    hashes = np.frombuffer(b"".join(parts), ">u8").astype(np.uint64)
+    out = np.zeros(len(counts), np.uint64)
+    if len(some):
+        out[some] = majority(hashes, np.concatenate([[0], np.cumsum(np.array(counts)[some])]))
+    return out
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): 64-bit SimHash of the word shingles of the whole ASCII-lower-cased text, as a signed long.
 
@@ -61,26 +84,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     arrow_limits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, join = xxhash.xxh64_digest, b" ".join
         for rows, data, offsets in steps(batches):
-            text, cuts = data.tobytes().lower(), offsets.tolist()
-            parts, counts = [], []
-            for a, b in zip(cuts, cuts[1:]):
-                words = text[a:b].split()
-                if len(words) >= shingle:
-                    parts += [digest(join(s), SEED) for s in zip(*(words[k:] for k in range(shingle)))]
-                    counts.append(len(words) - shingle + 1)
-                elif words:
-                    parts.append(digest(join(words), SEED))
-                    counts.append(1)
-                else:
-                    counts.append(0)
-            some = np.flatnonzero(counts)
-            hashes = np.frombuffer(b"".join(parts), ">u8").astype(np.uint64)
-            out = np.zeros(len(counts), np.uint64)
-            if len(some):
-                out[some] = majority(hashes, np.concatenate([[0], np.cumsum(np.array(counts)[some])]))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprints_of(data, offsets, shingle).view(np.int64))], ["doc_id", "fp"])
 
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
 

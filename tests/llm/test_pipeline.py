@@ -107,3 +107,16 @@ def test_tokens(steps):
 def test_run(spark, steps):
     where, by = steps
     assert sorted(map(tuple, corpus_pipeline.run(spark, where).collect())) == sorted(map(tuple, by["tokens"][1].collect()))
+
+
+def test_near_dedup_links_by_simhash(spark, steps):
+    """No two documents that stay are in one component of op3's links, nor do links by SimHash keep the similar ones."""
+    from folioscan.llm.simhash import near_duplicates
+
+    _, by = steps
+    before, after = by["near_dedup"]
+    assert near_duplicates(after).select("component_id").distinct().count() == after.count()
+    # shingles mostly of one phrase again and again: one SimHash, but few five-word shingles in common
+    docs = spark.createDataFrame([(i, "a b c d e f g " * 100 + " ".join(f"t{i}x{k}" for k in range(10))) for i in range(3)], "doc_id long, text string")
+    assert near_duplicates(docs).select("component_id").distinct().count() == 1
+    assert ids(corpus_pipeline.near_dedup(spark, docs, "")) == {0}
