@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import arrow_limits, byte_values, keyed, matched, mixed, per_row, saved, steps, window_hash
+from folioscan.llm.common import BROADCAST_ROWS, arrow_limits, byte_values, keyed, matched, mixed, per_row, saved, steps, stored, window_hash
 
 WIDTH, ANCHOR_LOG2 = 200, 5
 #: Depth in bytes of the quicksort; contexts compared at a time; from so many contexts of an anchor on, it is lengthened.
@@ -256,6 +256,13 @@ def _large(pieces: DataFrame, most: int) -> DataFrame:
     return pieces.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") >= most).select("g")
 
 
+def _split(pieces: DataFrame, many: DataFrame, how: str) -> DataFrame:
+    """The pieces of the groups in many (left_semi), or of the others (left_anti): where they are, if many is small."""
+    if many.count() <= BROADCAST_ROWS:
+        return pieces.join(F.broadcast(many), "g", how).select(*pieces.columns)  # in their order
+    return matched(pieces, many, ["g"], "inner" if how == "left_semi" else how)
+
+
 def _sorted(pieces: DataFrame) -> DataFrame:
     return pieces.repartition("g").sortWithinPartitions("g").mapInArrow(_compare, _EQUAL)
 
@@ -266,10 +273,11 @@ _EQUAL = f"h long, c long, {_ROW}, start long, stop long, copies boolean"
 def _equal(pieces: DataFrame, kinds: DataFrame) -> DataFrame:
     """What `_compare` finds in pieces. Counts of kinds say which anchors have too many contexts for one task; their
     pieces are put into groups of longer anchors, round by round, until every group fits."""
-    many = kinds.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") >= MOST_CONTEXTS).select(F.col("h").alias("g"))
+    many = saved(kinds.groupBy("h").agg(F.count("*").alias("size")).where(F.col("size") >= MOST_CONTEXTS).select(F.col("h").alias("g")))
     if many.isEmpty():
         return _sorted(pieces)
-    out, rest = _sorted(matched(pieces, many, ["g"], "left_anti")), matched(pieces, many, ["g"])
+    pieces = stored(pieces)  # read twice, made once
+    out, rest = _sorted(_split(pieces, many, "left_anti")), _split(pieces, many, "left_semi")
     while True:
         rest = saved(rest.mapInArrow(_lengthen, _PIECE))
         # with all of a window's bytes in the anchor, the windows of a group are one string
@@ -278,10 +286,10 @@ def _equal(pieces: DataFrame, kinds: DataFrame) -> DataFrame:
         out = out.unionByName(matched(whole, _large(whole, 2), ["g"]).select("h", "c", "id", "row", start.alias("start"), (start + WIDTH).alias("stop"), (F.col("n") > 1).alias("copies")))
         rest = rest.where(F.col("a") + F.col("b") < WIDTH)
         many = saved(_large(rest, MOST_CONTEXTS))
-        out = out.unionByName(_sorted(matched(rest, many, ["g"], "left_anti")))
+        out = out.unionByName(_sorted(_split(rest, many, "left_anti")))
         if many.isEmpty():
             return out
-        rest = matched(rest, many, ["g"])
+        rest = _split(rest, many, "left_semi")
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -458,3 +458,23 @@ def test_quality_sees_text_only(spark, documents, sf_dir):
     a = {r.doc_id: r.score for r in quality.score_documents(documents, model).collect()}
     b = {r.doc_id: r.score for r in quality.score_documents(documents.withColumn("lang", F.lit("x")).withColumn("doc_id", F.col("doc_id") + 7), model).collect()}
     assert all(b[i + 7] == s for i, s in a.items())
+
+
+def test_pieces_are_cut_once(spark, monkeypatch):
+    """Also where anchors with many contexts are lengthened, apart from the others."""
+    r = random.Random(9)
+    same = "".join(r.choices("abcdef ", k=400))
+    docs = spark.createDataFrame([(i, "".join(r.choices("abcdef ", k=300)) + same + str(i)) for i in range(12)], "doc_id long, text string")
+    cut, found = suffixes._cut, []
+    for many in (8000, 3):
+        n = spark.sparkContext.accumulator(0)
+
+        def counted(batches, n=n):
+            for batch in cut(batches):
+                n.add(batch.num_rows)
+                yield batch
+
+        monkeypatch.setattr(suffixes, "_cut", counted)
+        monkeypatch.setattr(suffixes, "MOST_CONTEXTS", many)
+        found.append((sorted(map(tuple, suffixes.without_repeats(docs).collect())), n.value))
+    assert found[0] == found[1] and found[0][1] > 0
