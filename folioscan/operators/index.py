@@ -11,6 +11,8 @@ from folioscan.functions.text import let, tokens
 
 #: Rows of a query side that may be broadcast; a larger batch of queries is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Most frequent terms that are broadcast with their document frequencies; rarer ones are joined by a shuffle.
+COMMON_TERMS = 500_000
 #: Query terms that are pushed into the scan as a filter.
 PUSHED_TERMS = 500
 
@@ -77,6 +79,22 @@ def idf(df: Column, documents: int) -> Column:
     return F.ln(F.lit(float(documents)) / df)
 
 
+def looked_up(tf: DataFrame, terms: DataFrame, most: int = COMMON_TERMS) -> DataFrame:
+    """tf with the columns of terms (term, df, ...), null where it lacks a term. The most frequent terms, up to so many,
+    have nearly all postings and are broadcast, so that only postings of the others are shuffled. Both are read more than
+    once: best they are stored."""
+    if terms.limit(most + 1).count() <= most:
+        return tf.join(F.broadcast(terms), "term", "left")
+    held, least = 0, 1
+    for bits, n in sorted(terms.groupBy(F.length(F.bin("df")).alias("bits")).count().collect(), reverse=True):  # 64 rows at most
+        if (held := held + n) > most:
+            least = 1 << bits
+            break
+    common = F.broadcast(terms.where(F.col("df") >= least).withColumn("_common", F.lit(True)))
+    rest = tf.join(common.select("term"), "term", "left_anti").join(terms.where(F.col("df") < least), "term", "left")
+    return tf.join(common, "term").drop("_common").unionByName(rest)
+
+
 def postings(tf: DataFrame, documents: int, id: str = "doc_id") -> DataFrame:
     """(id, term, tf, df, weight): weight = tf * idf."""
     return tf.join(document_frequencies(tf), "term").withColumn("weight", F.col("tf") * idf(F.col("df"), documents)).select(id, "term", "tf", "df", "weight")
@@ -89,8 +107,10 @@ def normalised(weights: DataFrame, id: str = "doc_id") -> DataFrame:
 
 
 def norms(weights: DataFrame, id: str = "doc_id") -> DataFrame:
-    """(id, terms, norm): the number of each document's terms and the norm of its weights."""
-    return weights.groupBy(id).agg(F.count("*").alias("terms"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    """(id, terms, norm): the number of each document's terms and the norm of its weights; and the segment of its postings,
+    if they name one."""
+    of = [F.max("segment").alias("segment")] if "segment" in weights.columns else []
+    return weights.groupBy(id).agg(F.count("*").alias("terms"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), *of)
 
 
 def build(docs: DataFrame, fields: Mapping[str, int], id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None) -> DataFrame:
@@ -98,18 +118,21 @@ def build(docs: DataFrame, fields: Mapping[str, int], id: str = "doc_id", stop_w
     return normalised(postings(term_frequencies(docs, fields, id, stop_words, words), docs.count(), id), id)
 
 
-def asked_terms(dfs: DataFrame, asked: DataFrame, documents: int) -> DataFrame:
+def asked_terms(dfs: DataFrame, asked: DataFrame, documents: int, counts: bool = False) -> DataFrame:
     """(qid, term, q, qnorm): weights of the queries' terms (qid, term, qtf) that dfs (term, df) knows and that weigh
-    something, and the norm of each query's weights."""
+    something, and the norm of each query's weights. If they will meet counts in place of weights, q has the IDF that
+    these lack."""
     found = asked.join(dfs, "term").withColumn("q", F.col("qtf") * idf(F.col("df"), documents)).where("q > 0")
-    return found.select("qid", "term", "q", F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("qid"))).alias("qnorm"))
+    q = F.col("q") * idf(F.col("df"), documents) if counts else F.col("q")
+    return found.select("qid", "term", q.alias("q"), F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("qid"))).alias("qnorm"))
 
 
-def search(index: DataFrame, queries: DataFrame, documents: int, k: int, id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None, norms: DataFrame | None = None) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, documents: int, k: int, id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None, norms: DataFrame | None = None, dfs: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank): the k best documents of each query (qid, query) by cosine, score at six decimals, ties by id.
 
     Queries are cut into words as the index was: give both the same `words`. Weights of the index are normalised, or
-    norms has each document's (id, norm). Only postings of the queries' terms are read: a few terms become a filter that
+    norms has each document's (id, norm). With dfs (term, df) the index has counts (id, term, tf), which become weights
+    here, so that it is written without a shuffle. Only postings of the queries' terms are read: a few terms become a filter that
     reaches the scan, many are joined. These postings are dealt by document before they meet the queries, so that
     scores are summed, and all but the k best of each task dropped, where they are made.
     A query without a known term of some weight has no hits.
@@ -118,9 +141,11 @@ def search(index: DataFrame, queries: DataFrame, documents: int, k: int, id: str
     asked = [r.term for r in asked_words.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
     few = asked_words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     near = F.broadcast if few else lambda df: df
-    rows = index.where(F.col("term").isin(asked)) if len(asked) <= PUSHED_TERMS else index.join(near(asked_words.select("term").distinct()), "term", "left_semi")
-    weighed = near(asked_terms(rows.groupBy("term").agg(F.max("df").alias("df")), asked_words, documents))
-    rows = rows.select(id, "term", "weight")
+    of_asked = lambda df: df.where(F.col("term").isin(asked)) if len(asked) <= PUSHED_TERMS else df.join(near(asked_words.select("term").distinct()), "term", "left_semi")
+    rows = of_asked(index)
+    known = rows.groupBy("term").agg(F.max("df").alias("df")) if dfs is None else of_asked(dfs)
+    weighed = near(asked_terms(known, asked_words, documents, counts=dfs is not None))
+    rows = rows.select(id, "term", F.col("weight" if dfs is None else "tf").alias("weight"))
     found = (rows.repartition(id) if few else rows).join(weighed, "term")
     dots = found.groupBy("qid", id).agg((F.sum(F.col("weight") * F.col("q")) / F.first("qnorm")).alias("dot"))
     if norms is not None:

@@ -35,13 +35,19 @@ def _stored(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, int
         folder = scratch(spark)
         if name == "variants":
             made, n = spell.variants(index.document_frequencies(_tf(spark, sf_dir)).withColumnRenamed("df", "freq")), 0
-        elif name == "postings":  # weights before they are divided by the document's norm, so that one deal, by term, is enough
+        elif name == "postings":  # counts, each task's sorted in a file of its own (its segment), so that nothing is shuffled
             n = table(spark, sf_dir, "documents").count()
-            made = index.postings(_tf(spark, sf_dir), n).select("doc_id", "term", "df", "weight")
+            made = _tf(spark, sf_dir).withColumn("segment", F.spark_partition_id())
         else:
             made, n = _stored(spark, sf_dir, "postings")
-            made = index.norms(made) if name == "norms" else impact.blocks(made, dealt=_parts(spark, sf_dir))
-        store.publish(spark, folder, {name: made}, dealt=name in ("postings", "blocks"))
+            if name == "dfs":
+                made = index.document_frequencies(made)
+            elif name == "norms":
+                known = _stored(spark, sf_dir, "dfs")[0]
+                made = index.norms(index.looked_up(made, known).withColumn("weight", F.col("tf") * index.idf(F.col("df"), n)))
+            else:
+                made = impact.segment_blocks(made, _parts(spark, sf_dir))
+        store.publish(spark, folder, {name: made}, dealt=name in ("postings", "dfs", "blocks"))
         _published[key] = folder, n
     folder, n = _published[key]
     return store.load(spark, folder, name), n
@@ -66,7 +72,7 @@ def postings_l2_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _found(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
     built, n = _stored(spark, sf_dir, "postings")
-    return index.search(built, queries, n, PAGE, norms=_stored(spark, sf_dir, "norms")[0])
+    return index.search(built, queries, n, PAGE, norms=_stored(spark, sf_dir, "norms")[0], dfs=_stored(spark, sf_dir, "dfs")[0])
 
 
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +90,14 @@ def search_batch_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of search_batch_topk, from the blocks of postings that can hold a hit."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     built, n = _stored(spark, sf_dir, "blocks")
-    return impact.search(built, queries, n, PAGE, dealt=_parts(spark, sf_dir)).select("qid", "rank", "doc_id", "score")
+    return impact.search(built, queries, n, PAGE, dealt=_parts(spark, sf_dir), dfs=_stored(spark, sf_dir, "dfs")[0]).select("qid", "rank", "doc_id", "score")
 
 
 def search_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings of each benchmark item's terms, and those that its search reads."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     built, n = _stored(spark, sf_dir, "blocks")
-    return impact.Search(built, queries, n, PAGE, dealt=_parts(spark, sf_dir)).work()
+    return impact.Search(built, queries, n, PAGE, dealt=_parts(spark, sf_dir), dfs=_stored(spark, sf_dir, "dfs")[0]).work()
 
 
 def field_weighted_tf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,3 +292,47 @@ def test_simhash_jenkins_deals_no_words(spark):
     terms = index.term_frequencies(spark.createDataFrame([(1, "aa bb"), (2, "cc")], "doc_id long, text string"), {"text": 1})
     plan = dedup.simhash_jenkins(terms)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1 and "term" not in next(x for x in plan.splitlines() if "hashpartitioning" in x).split("hashpartitioning")[1]
+
+
+def _segments(spark, tmp_path, n=200):
+    """Counts of n documents as tasks write them, document frequencies, and norms."""
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(r.choices([f"w{k}" for k in range(40)], k=r.randint(1, 30)))) for i in range(n)], "doc_id long, text string")
+    index.term_frequencies(docs, {"text": 1}).withColumn("segment", F.spark_partition_id()).sortWithinPartitions("term").write.parquet(f"{tmp_path}/tf")
+    tf = spark.read.parquet(f"{tmp_path}/tf")
+    index.document_frequencies(tf).write.parquet(f"{tmp_path}/dfs")
+    dfs = spark.read.parquet(f"{tmp_path}/dfs")
+    return docs, tf, dfs, index.norms(index.looked_up(tf, dfs).withColumn("weight", F.col("tf") * index.idf(F.col("df"), n)))
+
+
+def test_blocks_of_segments_shuffle_nothing(spark, tmp_path):
+    """Blocks within the tasks that wrote their postings give the hits of scoring everything, and are made without a shuffle."""
+    docs, tf, dfs, norms = _segments(spark, tmp_path)
+    queries = spark.createDataFrame([(0, "w1 w2 w2"), (1, "w7"), (2, "none")], "qid int, query string")
+    want = {tuple(x) for x in index.search(index.build(docs, {"text": 1}), queries, 200, 5).select("qid", "doc_id", "score", "rank").collect()}
+    dealt = impact.parts(norms, documents=8)
+    made = impact.segment_blocks(tf, dealt)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not any("term#" in x for x in plan.splitlines() if "hashpartitioning" in x or "rangepartitioning" in x)
+    rows = made.select("term", "part", "n", F.size("docs").alias("size")).collect()
+    assert len(rows) > 40 and all(x.n == x.size for x in rows) and sum(x.n for x in rows) == tf.join(norms.where("norm > 0"), "doc_id").count()
+    asked = impact.Search(made, queries, 200, 5, dealt=dealt, dfs=dfs)
+    assert {tuple(x) for x in asked.hits().select("qid", "doc_id", "score", "rank").collect()} == want and len(want) == 10
+    assert all(0 < x.n_read <= x.n_postings and x.n_blocks_read <= x.n_blocks for x in asked.work().collect())
+
+
+def test_search_of_counts(spark, tmp_path):
+    """Counts, with document frequencies beside them, give the hits of normalised weights."""
+    docs, tf, dfs, norms = _segments(spark, tmp_path)
+    queries = spark.createDataFrame([(0, "w1 w2 w2"), (1, "w7"), (2, "none")], "qid int, query string")
+    want = {tuple(x) for x in index.search(index.build(docs, {"text": 1}), queries, 200, 5).select("qid", "doc_id", "score", "rank").collect()}
+    assert {tuple(x) for x in index.search(tf, queries, 200, 5, norms=norms, dfs=dfs).select("qid", "doc_id", "score", "rank").collect()} == want and len(want) == 10
+
+
+@pytest.mark.parametrize("most", [0, 7, 1000])
+def test_looked_up(spark, most):
+    """All, some and no terms by a shuffle give the same; terms that the table lacks stay."""
+    tf = spark.createDataFrame([(d, f"w{k}", 1) for d in range(30) for k in range(d + 1)], "doc_id long, term string, tf long")
+    terms = index.document_frequencies(tf).where("term <> 'w3'")
+    got = {(x.doc_id, x.term, x.df) for x in index.looked_up(tf, terms, most).collect()}
+    assert got == {(d, f"w{k}", None if k == 3 else 30 - k) for d in range(30) for k in range(d + 1)}
