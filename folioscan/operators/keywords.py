@@ -9,16 +9,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscan.operators.index import looked_up
+
 #: Fixed values of TextRank: words of a window, rounds, damping.
 SPAN, ROUNDS, DAMPING = 5, 10, 0.85
 
 
 def top_keywords(tf: DataFrame, idf: DataFrame, n: int, id: str = "doc_id", default: float | None = None) -> DataFrame:
-    """(id, term, weight, rank): tf * idf; a term that the idf table lacks takes the default, its mean if none is given."""
+    """(id, term, weight, rank): tf * idf; a term that the idf table lacks, or has null for, takes the default, its mean if
+    none is given. If the table has df too, values of frequent terms are broadcast, so that a document's terms are ranked
+    where they stand and few are shuffled."""
     if default is None:
         default = idf.agg(F.avg("idf")).first()[0] or 0.0
     order = Window.partitionBy(id).orderBy(F.desc("weight"), "term")
-    weighed = tf.join(idf.select("term", "idf"), "term", "left").withColumn("weight", F.round(F.col("tf") * F.coalesce("idf", F.lit(default)), 6))
+    joined = looked_up(tf, idf.select("term", "df", "idf")) if "df" in idf.columns else tf.join(idf.select("term", "idf"), "term", "left")
+    weighed = joined.withColumn("weight", F.round(F.col("tf") * F.coalesce("idf", F.lit(default)), 6))
     return weighed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(id, "term", "weight", "rank")
 
 

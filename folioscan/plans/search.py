@@ -139,9 +139,9 @@ def keyword_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword_default_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of IDF values lacks all words with a capital letter; these take its mean."""
-    tf, n = _tf(spark, sf_dir), table(spark, sf_dir, "documents").count()
-    known = index.document_frequencies(tf.where(~F.rlike("term", F.lit("[A-Z]")))).select("term", F.round(index.idf(F.col("df"), n), 9).alias("idf"))
-    return keywords.top_keywords(tf, known, 3)
+    (tf, n), dfs = _stored(spark, sf_dir, "postings"), _stored(spark, sf_dir, "dfs")[0]
+    known = dfs.select("term", "df", F.when(~F.rlike("term", F.lit("[A-Z]")), F.round(index.idf(F.col("df"), n), 9)).alias("idf"))
+    return keywords.top_keywords(tf.drop("segment"), known, 3)
 
 
 def keyword_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -336,3 +336,16 @@ def test_looked_up(spark, most):
     terms = index.document_frequencies(tf).where("term <> 'w3'")
     got = {(x.doc_id, x.term, x.df) for x in index.looked_up(tf, terms, most).collect()}
     assert got == {(d, f"w{k}", None if k == 3 else 30 - k) for d in range(30) for k in range(d + 1)}
+
+
+def test_keywords_of_frequent_terms_are_ranked_where_they_stand(spark):
+    tf = index.term_frequencies(spark.createDataFrame([(i, f"aa bb w{i % 3} X{i} X{i}") for i in range(9)], "doc_id long, text string"), {"text": 1})
+    known = index.document_frequencies(tf).select("term", "df", F.when(~F.rlike("term", F.lit("[A-Z]")), index.idf(F.col("df"), 9)).alias("idf"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, want = keywords.top_keywords(tf, known, 2), keywords.top_keywords(tf, known.where("idf IS NOT NULL").drop("df"), 2)
+        assert {tuple(x) for x in got.collect()} == {tuple(x) for x in want.collect()} and got.count() == 18
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
