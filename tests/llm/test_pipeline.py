@@ -6,6 +6,7 @@ import re
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioscan.llm import bpe, quality
@@ -120,3 +121,17 @@ def test_near_dedup_links_by_simhash(spark, steps):
     docs = spark.createDataFrame([(i, "a b c d e f g " * 100 + " ".join(f"t{i}x{k}" for k in range(10))) for i in range(3)], "doc_id long, text string")
     assert near_duplicates(docs).select("component_id").distinct().count() == 1
     assert ids(corpus_pipeline.near_dedup(spark, docs, "")) == {0}
+
+
+def test_links_are_stored_as_they_are_found(spark):
+    """What comes after the links plans none of the work that led to them."""
+    from folioscan.llm import minhash
+
+    texts = ["one two three four five six seven"] * 2 + ["One two three four five six seven eight", "other words altogether here and now", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = minhash.saved(minhash._sketches(docs))
+    nodes = own.groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("one"), F.first("bands").alias("bands"))
+    nodes = minhash.saved(nodes.withColumn("rep", F.monotonically_increasing_id()))
+    links = minhash.similar_links(docs, nodes, 0.5).unionByName(minhash.close_links(own, nodes, 3))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Exchange" not in plan and links.count() >= 1
