@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,8 @@ BROADCAST_ROWS = 1_000_000
 COMMON_TERMS = 500_000
 #: Query terms that are pushed into the scan as a filter.
 PUSHED_TERMS = 500
+#: Rows of one id whose texts meet in one task.
+HOT_ROWS = 1000
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -32,23 +35,33 @@ def _words(text: Column, stop_words: Sequence[str], words: Words | None) -> Colu
     return F.filter(words(text), lambda t: (F.octet_length(t) > 1) & ~t.isin(*stop_words)) if stop_words else F.filter(words(text), lambda t: F.octet_length(t) > 1)
 
 
-def term_frequencies(docs: DataFrame, fields: Mapping[str, int], id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None) -> DataFrame:
+def row_frequencies(docs: DataFrame, field: str, weight: int = 1, id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None) -> DataFrame:
+    """(id, term, tf) of each row, without a shuffle: rows that share an id may each have a row of a term."""
+    found = docs.select(F.col(id), F.explode(occurrences(_words(F.col(field), stop_words, words))).alias("x"))
+    return found.select(id, "x.term", (F.col("x.n") * weight).cast("long").alias("tf"))
+
+
+def term_frequencies(docs: DataFrame, fields: Mapping[str, int], id: str = "doc_id", stop_words: Sequence[str] = (), words: Words | None = None, most: int = BROADCAST_ROWS, hot: int = HOT_ROWS) -> DataFrame:
     """(id, term, tf): occurrences of each term, each weighted by its field's weight. Terms are what `words` makes of the
-    text, without those of a single byte and stop words. A single field is counted within its row, without a shuffle;
-    rows that share an id are counted together."""
+    text, without those of a single byte and stop words. A single field is counted within its row, without a shuffle.
+    Rows that share an id are counted together: their texts are dealt by id, not their terms, which take several times
+    the space. Terms are dealt for ids of more than `hot` rows only, whose texts one task would get."""
     if len(fields) == 1:
         ((field, weight),) = fields.items()
-
-        def counted(docs: DataFrame) -> DataFrame:
-            found = docs.select(F.col(id), F.explode(occurrences(_words(F.col(field), stop_words, words))).alias("x"))
-            return found.select(id, "x.term", (F.col("x.n") * weight).cast("long").alias("tf"))
-
-        twice = docs.groupBy(F.col(id).alias("_of")).agg(F.count("*").alias("_n")).where("_n > 1").select("_of")
+        counted = lambda docs: row_frequencies(docs, field, weight, id, stop_words, words)
+        merged = lambda tf: tf.groupBy(id, "term").agg(F.sum("tf").alias("tf"))
+        twice = docs.groupBy(F.col(id).alias("_of")).agg(F.count("*").alias("_n")).where("_n > 1")
         if twice.isEmpty():
             return counted(docs)
-        same = F.col(id).eqNullSafe(F.col("_of"))
-        shared = counted(docs.join(small(twice), same, "left_semi")).groupBy(id, "term").agg(F.sum("tf").alias("tf"))
-        return counted(docs.join(small(twice), same, "left_anti")).unionByName(shared)
+        docs, same = docs.select(id, field), F.col(id).eqNullSafe(F.col("_of"))
+        those = lambda df, ids, how: df.join(F.broadcast(ids.select("_of")), same, how)
+        parts, shared = [], docs
+        if twice.limit(most + 1).count() <= most:
+            parts, shared = [counted(those(docs, twice, "left_anti"))], those(docs, twice, "left_semi")
+        crowded = twice.where(F.col("_n") > hot)
+        if not crowded.isEmpty():
+            parts, shared = [*parts, merged(counted(those(shared, crowded, "left_semi")))], those(shared, crowded, "left_anti")
+        return functools.reduce(DataFrame.unionByName, [merged(counted(shared.repartition(id))), *parts])
     parts = [F.transform(_words(F.col(c), stop_words, words), lambda t: F.struct(t.alias("term"))) for c in fields]
     weighed = [F.transform(p, _weighed(w)) for p, w in zip(parts, fields.values())]
     words = docs.select(F.col(id), F.explode(F.concat(*weighed)).alias("x")).select(id, "x.term", "x.w")

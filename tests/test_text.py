@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import hashing, text
 from folioscan.operators import dedup, impact, index, keywords, segment, spell
+from folioscan.plans import search
 
 
 def test_jenkins():
@@ -251,6 +252,16 @@ def test_terms_are_counted_in_their_rows(spark):
     assert {tuple(x) for x in many.collect()} == {(1, "aa", 2), (1, "bb", 2), (None, "cc", 2), (None, "dd", 1), (2, "aa", 1)}
 
 
+@pytest.mark.parametrize(("most", "hot"), [(1000, 1000), (1000, 2), (0, 1000), (0, 2)])
+def test_texts_of_shared_ids_are_dealt_not_terms(spark, most, hot):
+    """However many ids are shared, and by however many rows; terms are dealt for ids of too many rows alone."""
+    rows = [(1, "aa bb aa"), (1, "bb"), (1, None), (None, "cc"), (None, "cc dd"), (2, "aa"), (3, ""), (3, "ee ee")]
+    got = index.term_frequencies(spark.createDataFrame(rows, "doc_id long, text string"), {"text": 3}, most=most, hot=hot)
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(1, "aa", 6), (1, "bb", 6), (None, "cc", 6), (None, "dd", 3), (2, "aa", 3), (3, "ee", 6)], "doc_id long, term string, tf long").collect()))
+    dealt = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x and "term" in x.split("hashpartitioning")[1]]
+    assert bool(dealt) == (hot == 2)
+
+
 def test_search_of_weights_and_norms(spark):
     """Stored weights before normalisation give the hits of normalised ones, in all postings and by blocks."""
     r = random.Random(3)
@@ -349,3 +360,23 @@ def test_keywords_of_frequent_terms_are_ranked_where_they_stand(spark):
         assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def _shuffled(spark):
+    """Records that all stages of the session have shuffled."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none, gateway = spark.sparkContext._jvm.java.util.ArrayList(), spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("query", ["search_topk"])
+def test_searches_deal_no_terms_of_shared_ids(spark, tmp_path, query):
+    """The index of texts that share ids shuffles these texts, not each of their terms."""
+    r = random.Random(7)
+    texts = [r.sample([f"w{k}" for k in range(30)], 20) + ["the"] * (k % 9 == 0) for k in range(200)]
+    spark.createDataFrame([(k // 2, " ".join(x), "en", "web") for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "the w1")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = _shuffled(spark)
+    assert getattr(search, query)(spark, str(tmp_path)).count() > 0
+    assert _shuffled(spark) - before < sum(len(set(a + b)) for a, b in zip(texts[::2], texts[1::2]))
