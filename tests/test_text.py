@@ -370,7 +370,7 @@ def _shuffled(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("query", ["search_topk", "search_batch_topk"])
+@pytest.mark.parametrize("query", ["search_topk", "search_batch_topk", "search_results_json"])
 def test_searches_deal_no_terms_of_shared_ids(spark, tmp_path, query):
     """The index of texts that share ids shuffles these texts, not each of their terms."""
     r = random.Random(7)
