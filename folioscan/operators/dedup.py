@@ -28,7 +28,8 @@ def md5_hash(term: Column) -> Column:
 
 
 def simhash(terms: DataFrame, id: str = "doc_id", term: str = "term", weight: str = "tf", hashed: Callable[[Column], Column] = md5_hash) -> DataFrame:
-    """(id, fp): bit j is set if the weights of terms with it exceed those without. One aggregation, 64 sums a row."""
+    """(id, fp): bit j is set if the weights of terms with it exceed those without. One aggregation, 64 sums a row; a
+    term of an id may come in several rows, whose weights add."""
     votes = [F.sum(F.when(F.getbit("h", F.lit(j)) == 1, F.col(weight)).otherwise(-F.col(weight))).alias(f"b{j}") for j in range(BITS)]
     summed = terms.select(id, weight, hashed(F.col(term)).alias("h")).groupBy(id).agg(*votes)
     one = lambda j: F.lit((1 << j) - ((1 << BITS) if j == BITS - 1 else 0)).cast("long")

@@ -14,7 +14,8 @@ CUSTOMER, PAGE, NOW = 42, 200, "2024-06-15 00:00:00"
 
 
 def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.term_frequencies(table(spark, sf_dir, "documents"), {"text": 1})
+    """Terms of each row; votes of rows that share an id add up as they are."""
+    return index.row_frequencies(table(spark, sf_dir, "documents"), "text")
 
 
 def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import hashing, text
 from folioscan.operators import dedup, impact, index, keywords, segment, spell
-from folioscan.plans import search
+from folioscan.plans import archive, search
 
 
 def test_jenkins():
@@ -380,3 +380,24 @@ def test_searches_deal_no_terms_of_shared_ids(spark, tmp_path, query):
     before = _shuffled(spark)
     assert getattr(search, query)(spark, str(tmp_path)).count() > 0
     assert _shuffled(spark) - before < sum(len(set(a + b)) for a, b in zip(texts[::2], texts[1::2]))
+
+
+@pytest.fixture
+def shared_ids(spark, tmp_path):
+    """Documents of which several share an id or have none."""
+    rows = [(1, "aa bb aa"), (1, "bb cc"), (2, "aa bb"), (2, "aa bb cc"), (3, "dd"), (None, "ee"), (None, "ee ff"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def _dealt(df):
+    return [x.split("hashpartitioning")[1] for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
+
+
+def test_simhash64_deals_votes_alone(spark, shared_ids):
+    """Rows that share an id are voted for together, without dealing their words."""
+    docs = spark.createDataFrame([(1, "aa bb aa bb cc"), (2, "aa bb aa bb cc"), (3, "dd"), (None, "ee ee ff")], "doc_id long, text string")
+    want = dedup.simhash(index.term_frequencies(docs, {"text": 1})).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fp"))
+    got = archive.simhash64(spark, shared_ids)
+    assert len(_dealt(got)) == 1 and "term" not in _dealt(got)[0]
+    assert {tuple(x) for x in got.collect()} == {tuple(x) for x in want.collect()}
