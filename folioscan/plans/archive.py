@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.operators import dedup, hierarchy, index, lifecycle
-from folioscan.plans.common import table
+from folioscan.plans.common import stored, table
 from folioscan.sources import frames
 
 #: Fixed points of the queries: a customer, a page size, the time that scans take for now.
@@ -32,7 +32,7 @@ def simhash64(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_pairs(dedup.simhash(_tf(spark, sf_dir)))
+    return dedup.near_pairs(stored(spark, dedup.simhash(_tf(spark, sf_dir))))
 
 
 def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/folioscan-{uuid.uuid4().hex}"
 
 
+def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df as a table of the shared folder: made once, however often it is read."""
+    folder = scratch(spark)
+    df.write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def write_files(spark: SparkSession, folder: str, files: dict[str, bytes]) -> None:
     """A few small files, from the driver."""
     conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path

@@ -401,3 +401,10 @@ def test_simhash64_deals_votes_alone(spark, shared_ids):
     got = archive.simhash64(spark, shared_ids)
     assert len(_dealt(got)) == 1 and "term" not in _dealt(got)[0]
     assert {tuple(x) for x in got.collect()} == {tuple(x) for x in want.collect()}
+
+
+def test_near_duplicate_pairs_read_stored_fingerprints(spark, shared_ids):
+    """In place of the documents twice."""
+    pairs = archive.near_duplicate_pairs(spark, shared_ids)
+    assert "documents.parquet" not in " ".join(pairs.inputFiles()) and "term" not in " ".join(_dealt(pairs))
+    assert pairs.collect() == []
