@@ -408,3 +408,9 @@ def test_near_duplicate_pairs_read_stored_fingerprints(spark, shared_ids):
     pairs = archive.near_duplicate_pairs(spark, shared_ids)
     assert "documents.parquet" not in " ".join(pairs.inputFiles()) and "term" not in " ".join(_dealt(pairs))
     assert pairs.collect() == []
+
+
+def test_near_duplicate_classes_deal_no_words(spark, shared_ids):
+    classes = archive.near_duplicate_classes(spark, shared_ids)
+    assert "term" not in " ".join(_dealt(classes))
+    assert {tuple(x) for x in classes.collect()} == {(1, 1), (2, 1), (3, 3), (None, None)}
