@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions.text import let, tokens
@@ -18,6 +18,9 @@ COMMON_TERMS = 500_000
 PUSHED_TERMS = 500
 #: Rows of one id whose texts meet in one task.
 HOT_ROWS = 1000
+#: Scores (pairs of query and document) that a task sums, on average: they stay in memory, however many documents there
+#: are and however few partitions the session asks for.
+TASK_SCORES = 1_000_000
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -25,6 +28,11 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def tasks_for(spark: SparkSession, things: int, most: int) -> int:
+    """Partitions that hold no more than `most` things each on average, and no fewer than there are cores."""
+    return max(spark.sparkContext.defaultParallelism, -(-things // most))
+
+
 #: A column of text to a column of its words: `tokens` by default, or segmentation by a dictionary.
 Words = Callable[[Column], Column]
 
@@ -147,7 +155,8 @@ def search(index: DataFrame, queries: DataFrame, documents: int, k: int, id: str
     norms has each document's (id, norm). With dfs (term, df) the index has counts (id, term, tf), which become weights
     here, so that it is written without a shuffle. Only postings of the queries' terms are read: a few terms become a filter that
     reaches the scan, many are joined. These postings are dealt by document before they meet the queries, so that
-    scores are summed, and all but the k best of each task dropped, where they are made.
+    scores are summed, and all but the k best of each task dropped, where they are made; so many tasks that none holds
+    more than some TASK_SCORES scores, which would be written to disk, several times what the documents take.
     A query without a known term of some weight has no hits.
     """
     asked_words = queries.select("qid", F.explode(_words(F.col("query"), stop_words, words)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
@@ -159,10 +168,12 @@ def search(index: DataFrame, queries: DataFrame, documents: int, k: int, id: str
     known = rows.groupBy("term").agg(F.max("df").alias("df")) if dfs is None else of_asked(dfs)
     weighed = near(asked_terms(known, asked_words, documents, counts=dfs is not None))
     rows = rows.select(id, "term", F.col("weight" if dfs is None else "tf").alias("weight"))
-    found = (rows.repartition(id) if few else rows).join(weighed, "term")
+    tasks = tasks_for(index.sparkSession, documents * asked_words.select("qid").distinct().count(), TASK_SCORES) if few else 0
+    found = (rows.repartition(tasks, id) if few else rows).join(weighed, "term")
     dots = found.groupBy("qid", id).agg((F.sum(F.col("weight") * F.col("q")) / F.first("qnorm")).alias("dot"))
     if norms is not None:
-        dots = dots.join(norms.select(id, "norm"), id).withColumn("dot", F.col("dot") / F.col("norm"))
+        norms = norms.select(id, "norm")  # hashed, as the scores would have to be sorted
+        dots = dots.join(norms.repartition(tasks, id).hint("shuffle_hash") if few else norms, id).withColumn("dot", F.col("dot") / F.col("norm"))
     scores = dots.select("qid", id, F.round("dot", 6).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc(id))
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import math
 from dataclasses import replace
@@ -414,3 +415,23 @@ def test_near_duplicate_classes_deal_no_words(spark, shared_ids):
     classes = archive.near_duplicate_classes(spark, shared_ids)
     assert "term" not in " ".join(_dealt(classes))
     assert {tuple(x) for x in classes.collect()} == {(1, 1), (2, 1), (3, 3), (None, None)}
+
+
+@pytest.fixture
+def searched(spark, tmp_path):
+    """80 documents and 5 queries that all of them score for."""
+    r = random.Random(8)
+    spark.createDataFrame([(k, " ".join(r.sample([f"w{i}" for i in range(30)], 20) + ["the"] * (k % 2))) for k in range(80)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(k, k + 20))) for k in range(5)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("query", ["search_batch_topk"])
+def test_scores_of_a_task_are_bounded(spark, searched, monkeypatch, query):
+    """By the number of tasks, whatever the session's partitions are; and they are not sorted to meet the norms."""
+    want = getattr(search, query)(spark, searched).collect()
+    monkeypatch.setattr(index, "TASK_SCORES", 20, raising=False)
+    got = getattr(search, query)(spark, searched)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(doc_id#\d+L?, 20\), REPARTITION_BY_NUM", plan) and "ShuffledHashJoin [doc_id" in plan
+    assert len(want) and set(map(str, got.collect())) == set(map(str, want))
