@@ -426,7 +426,7 @@ def searched(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("query", ["search_batch_topk"])
+@pytest.mark.parametrize("query", ["search_batch_topk", "search_results_json"])
 def test_scores_of_a_task_are_bounded(spark, searched, monkeypatch, query):
     """By the number of tasks, whatever the session's partitions are; and they are not sorted to meet the norms."""
     want = getattr(search, query)(spark, searched).collect()
