@@ -36,7 +36,7 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.classes(dedup.simhash(_tf(spark, sf_dir)))
+    return dedup.classes(stored(spark, dedup.simhash(_tf(spark, sf_dir))))
 
 
 def simhash_jenkins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -435,3 +435,10 @@ def test_scores_of_a_task_are_bounded(spark, searched, monkeypatch, query):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"Exchange hashpartitioning\(doc_id#\d+L?, 20\), REPARTITION_BY_NUM", plan) and "ShuffledHashJoin [doc_id" in plan
     assert len(want) and set(map(str, got.collect())) == set(map(str, want))
+
+
+def test_near_duplicate_classes_read_stored_fingerprints(spark, shared_ids):
+    """Of which each is made once, in place of once for its class and once for its row."""
+    classes = archive.near_duplicate_classes(spark, shared_ids)
+    assert "documents.parquet" not in " ".join(classes.inputFiles()) and "sum(" not in classes._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(x) for x in classes.collect()} == {(1, 1), (2, 1), (3, 3), (None, None)}
